@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import simhash
+from sparkloom.llm import simhash, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,31 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = winnow.find_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + (r["stop"] - r["start"]))
+    return got.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op10_winnowing": op10_winnowing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP10_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bn as (select item_id, w, least(len(w), 10) n from b where len(w) > 0),
+iw as (select distinct item_id, n, array_to_string(w[p : p + n - 1], ' ') s from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) p from bn)),
+dw as (select doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') s from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) p from d, (select distinct n from iw) where len(w) >= n)),
+m as materialized (select doc_id, p, dw.n, item_id from dw join iw using (n, s)),
+h as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from m) group by 1),
+i as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, cast(item_id as varchar) item from m) group by 1)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join h using (doc_id) left join i using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_winnowing": OP10_SQL}
