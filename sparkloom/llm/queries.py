@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import packing, simhash, winnow
+from sparkloom.llm import html_text, packing, simhash, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = winnow.find_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + (r["stop"] - r["start"]))
@@ -39,6 +43,7 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
+    "op5_html_density": op5_html_density,
     "op10_winnowing": op10_winnowing,
 }
 
