@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import html_text, packing, simhash, winnow
+from sparkloom.llm import html_text, packing, secrets, simhash, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,19 @@ def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(_read(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "learned")
+    return got.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("learned")
+    )
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = winnow.find_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + (r["stop"] - r["start"]))
@@ -44,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
     "op5_html_density": op5_html_density,
+    "op8_secrets": op8_secrets,
     "op10_winnowing": op10_winnowing,
 }
 
