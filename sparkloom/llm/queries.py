@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import html_text, packing, secrets, simhash, winnow
+from sparkloom.llm import html_text, packing, secrets, simhash, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.roundtrip(_read(spark, sf_dir, "pages"), least_revisit_bytes=0)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op5_html_density": op5_html_density,
     "op8_secrets": op8_secrets,
     "op10_winnowing": op10_winnowing,
@@ -74,4 +80,13 @@ select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesc
 from d left join h using (doc_id) left join i using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_winnowing": OP10_SQL}
+OP4_SQL = r"""
+with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h, max(page_id) over (partition by coalesce(html, '')) keep from pages),
+b as (select *, list_aggregate(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', h[i])]), 'string_agg', '') bits from p)
+select page_id, octet_length(encode(html)) payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * cast(bits[5*i+1] as int) + 8 * cast(bits[5*i+2] as int) + 4 * cast(bits[5*i+3] as int) + 2 * cast(bits[5*i+4] as int) + cast(bits[5*i+5] as int)]), 'string_agg', '') payload_digest,
+  case when page_id = keep then 'response' else 'revisit' end record_type, case when page_id <> keep then keep end refers_to
+from b
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op10_winnowing": OP10_SQL}
