@@ -162,7 +162,7 @@ def write_archives(
             for b in batches:
                 for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if writer is None:
-                        out = fs.open_output_stream(part)
+                        out = fs.open_output_stream(part, compression=None)
                         writer = BundleWriter(out, frame_bytes)
                         info = b"software: sparkloom\r\nformat: WARC File Format 1.1\r\n"
                         head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(name)}\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
