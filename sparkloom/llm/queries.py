@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import html_text, packing, secrets, simhash, warc, winnow
+from sparkloom.llm import html_text, lzprint, packing, secrets, simhash, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op6_lz_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.neighbour_prints(_read(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_html_density": op5_html_density,
+    "op6_lz_phrases": op6_lz_phrases,
     "op8_secrets": op8_secrets,
     "op10_winnowing": op10_winnowing,
 }
