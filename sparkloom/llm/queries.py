@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import html_text, lzprint, packing, secrets, simhash, warc, winnow
+from sparkloom.llm import html_text, lzprint, packing, quality, secrets, simhash, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     got = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
     return got.select(
@@ -64,6 +69,7 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_weak_labels": op2_weak_labels,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_html_density": op5_html_density,
