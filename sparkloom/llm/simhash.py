@@ -219,3 +219,238 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
     by_fp = salted_join(whole.select("fp", "root"), least, "root", F.col("fp")).select("fp", "component_id")
     out = salted_join(own, by_fp, "fp", F.col("id"), "left")
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+#: The wide fingerprint: eight 64-bit words.  Twelve tables of 40 bits are cut from the first 480 bits.
+WIDE_WORDS, TABLES, TABLE_BITS = 8, 12, 40
+#: Of 512 bits: texts within TIGHT are surely alike (0.9 or more); beyond LOOSE they surely aren't (under 0.74).
+TIGHT, LOOSE = 32, 97
+CHECK_BITS = 20
+WIDE_TOP = 6
+
+
+def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
+    """512-bit SimHash over the set of word shingles of the whole text; no words: 0."""
+    data = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not data:
+        return np.zeros(WIDE_WORDS, np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
+    digest, count = xxhash.xxh64_intdigest, max(1, len(gaps) + 2 - words)
+    h = np.fromiter((digest(data[s:e], SEED) for s, e in zip(starts[:count].tolist(), ends[-count:].tolist(), strict=True)), np.uint64, count)
+    h = np.unique(h)
+    total = np.zeros(64 * WIDE_WORDS, np.int64)
+    for at in range(0, len(h), 4080):
+        part = h[at : at + 4080]
+        wide = np.empty((len(part), WIDE_WORDS), np.uint64)
+        for k in range(WIDE_WORDS):
+            x = part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            wide[:, k] = x ^ x >> np.uint64(31)
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            total += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _tables(wide: np.ndarray) -> np.ndarray:
+    """The tables' bits of rows of wide fingerprints, as numbers."""
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")[:, : TABLES * TABLE_BITS]
+    weights = np.uint64(1) << np.arange(TABLE_BITS, dtype=np.uint64)
+    return (bits.reshape(len(wide), TABLES, TABLE_BITS) * weights).sum(axis=2, dtype=np.uint64)
+
+
+def _forest_by_check(pairs: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Of candidate pairs of rows, a spanning forest that takes the pairs with the nearest check words first."""
+    n = len(check)
+    root = np.arange(n)
+    far = np.bitwise_count(check[pairs[:, 0]] ^ check[pairs[:, 1]])
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], far))]
+    out: list[np.ndarray] = []
+    while len(pairs):
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        a, b = root[pairs[:, 0]], root[pairs[:, 1]]
+        pairs, a, b = pairs[a != b], a[a != b], b[a != b]
+        if not len(pairs):
+            break
+        # the nearest pair of every tree joins it to another; a tree joins a smaller one, so that no ring can close
+        both, mine = np.concatenate((a, b)), np.concatenate((np.arange(len(a)),) * 2)
+        order = np.lexsort((mine, both))
+        first = np.concatenate(([True], np.diff(both[order]) != 0))
+        chosen = np.unique(mine[order][first])
+        made = []
+        for i, x, y in zip(chosen.tolist(), a[chosen].tolist(), b[chosen].tolist(), strict=True):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                made.append(i)
+        out.append(pairs[made])
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _wide_candidates(values: np.ndarray, prefix: np.ndarray, check: np.ndarray, half: int) -> np.ndarray:
+    """Pairs of rows of one group whose table values share a variant and whose check words are near."""
+    low = TABLE_BITS - WIDE_TOP
+    lows = _masks(low, half)
+    flips = values >> np.uint64(low) ^ prefix
+    used = np.bitwise_count(flips)
+    sizes = np.array([len(lows[half - r]) for r in range(half + 1)])[used]
+    turns, found = max(1, -(-int(sizes.sum()) // CHUNK)), []
+    base = values ^ flips << np.uint64(low)
+    slab = max(1, CHUNK // len(lows[half]))
+    for turn in range(turns):
+        vs, rows = [], []
+        for r in range(half + 1):
+            at = np.flatnonzero(used == half - r)
+            for k in range(0, len(at), slab):
+                own = at[k : k + slab]
+                v = (base[own][:, None] ^ lows[r][None, :]).ravel()
+                who = np.repeat(own, len(lows[r]))
+                if turns > 1:
+                    mine = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(turns) == turn
+                    v, who = v[mine], who[mine]
+                vs.append(v)
+                rows.append(who)
+        v, who = np.concatenate(vs), np.concatenate(rows)
+        s = np.sort(v)
+        dup = np.unique(s[1:][s[1:] == s[:-1]])
+        if not len(dup):
+            continue
+        at = np.searchsorted(dup, v)
+        at[at == len(dup)] = 0
+        hit = dup[at] == v
+        group, who = at[hit], who[hit]
+        order = np.lexsort((who, group))
+        group, who = group[order], who[order]
+        first = np.concatenate(([True], np.diff(group) != 0))
+        heads = who[np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))]
+        a = np.concatenate((heads[~first], who[:-1][~first[1:]]))
+        b = np.concatenate((who[~first], who[1:][~first[1:]]))
+        near = (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS) & (a != b)
+        if near.any():
+            code = np.unique(np.minimum(a, b)[near] << 32 | np.maximum(a, b)[near])
+            found.append(np.stack([code >> 32, code & 0xFFFFFFFF], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def wide_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): candidate links among rows (node, wide array<long>), by ball hashing of each table."""
+    half = (radius + 1) // 2
+    kinds = pa.schema([("part", pa.int32()), ("value", pa.int64()), ("check", pa.int64()), ("node", pa.int64())])
+    flips = _masks(WIDE_TOP, half)[half]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                node = np.asarray(b.column(0).slice(at, 2000))
+                wide = np.stack(b.column(1).slice(at, 2000).to_numpy(zero_copy_only=False)).view(np.uint64)
+                values, check = _tables(wide), np.ascontiguousarray(wide[:, -1])
+                part = (values >> np.uint64(TABLE_BITS - WIDE_TOP))[:, :, None] ^ flips[None, None, :] | (np.arange(TABLES, dtype=np.uint64) << np.uint64(WIDE_TOP))[None, :, None]
+                each = TABLES * len(flips)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(part.ravel().astype(np.int32)), pa.array(np.repeat(values.ravel(), len(flips)).view(np.int64)),
+                    pa.array(np.repeat(check, each).view(np.int64)), pa.array(np.repeat(node, each)),
+                ], schema=kinds)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        part, value, check, node = (np.concatenate(x) for x in zip(*got, strict=True))
+        names, index = np.unique(node, return_inverse=True)
+        order = np.lexsort((index, part))
+        part, value, check, index = part[order], value[order].view(np.uint64), check[order].view(np.uint64), index[order]
+        words = np.zeros(len(names), np.uint64)
+        words[index] = check
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+        found = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            prefix = np.full(hi - lo, int(part[lo]) & (1 << WIDE_TOP) - 1, np.uint64)
+            pairs = index[lo:hi][_wide_candidates(value[lo:hi], prefix, check[lo:hi], half)]
+            if len(pairs):
+                found.append(_forest_by_check(np.unique(np.sort(pairs, axis=1), axis=0), words))
+        if found:
+            pairs = names[_forest_by_check(np.unique(np.concatenate(found), axis=0), words)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    dealt = nodes.select("node", "wide").mapInArrow(deal, "part int, value long, check long, node long").repartition("part")
+    return dealt.mapInArrow(link, "a long, b long")
+
+
+def shingle_set(text: str, words: int) -> set[bytes]:
+    ws = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))} if ws else set()
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: one row of each group stays, that with the smallest id.
+
+    Two texts are linked if the sets of their word shingles have a Jaccard similarity of ``similarity`` or more; groups
+    are connected over links.  Texts at 0.8 differ in some 15 % of a SimHash's bits, beyond the reach of one ball of
+    radius 4 in 64 bits, so twelve tables of 40 bits are ball-hashed side by side (a pair at 0.8 collides in one of
+    them with a chance of 96 %, at 0.85 of 99.7 %) and verified: within TIGHT bits of the 512-bit fingerprint a pair
+    links, beyond LOOSE it doesn't, and between the two the texts themselves are compared.
+
+    Null and empty texts form one group; repeated rows are one group; of rows with a null id one stays before others;
+    an empty table stays empty.
+    """
+    cols = docs.columns
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = np.stack([wide_fingerprint(t.as_py(), words) for t in b.column(2)]) if b.num_rows else np.zeros((0, WIDE_WORDS), np.uint64)
+            node = np.fromiter((xxhash.xxh64_intdigest(w.tobytes(), 0) for w in wide), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], names=["id", "hash", "node", "wide"])
+
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    own = materialise(keyed.mapInArrow(prints, f"id {kind}, hash long, node long, wide array<long>"), "wide")
+    nodes = own.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("first"), F.min("wide").alias("wide"))
+    nodes = materialise(nodes, "nodes")
+    pairs = materialise(wide_links(nodes).distinct(), "candidates")
+    bits = nodes.select("node", "wide")
+    near = salted_join(pairs.withColumnRenamed("a", "node"), bits, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("wide").alias("wa"))
+    near = salted_join(near, bits, "node", F.col("a")).select("a", F.col("node").alias("b"), F.zip_with("wa", "wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))).alias("d"))
+    near = near.select("a", "b", F.aggregate("d", F.lit(0), lambda s, x: s + x).alias("far")).where(F.col("far") <= LOOSE)
+    near = materialise(near, "near")
+    tight = connected_components(near.where(F.col("far") <= TIGHT))
+    tight = materialise(tight, "tight")
+    # the loose links between different tight groups, the nearest of each pair of groups
+    loose = near.where(F.col("far") > TIGHT)
+    for side in ("a", "b"):
+        loose = salted_join(loose.withColumnRenamed(side, "node"), tight, "node", F.col("far"), "left").withColumn("root", F.coalesce("root", "node")).withColumnsRenamed({"node": side, "root": f"root_{side}"})
+    loose = loose.where("root_a <> root_b").groupBy(F.least("root_a", "root_b").alias("ra"), F.greatest("root_a", "root_b").alias("rb")).agg(F.min(F.struct("far", "a", "b")).alias("best"))
+    loose = materialise(loose.select("ra", "rb", "best.a", "best.b"), "loose")
+    asked = loose.select(F.col("a").alias("node")).unionByName(loose.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first"), "node")
+    asked = asked.select("node", F.col("first.id").alias("id"), F.col("first.hash").alias("hash"))
+    texts = keyed.join(asked, keyed["id"].eqNullSafe(asked["id"]) & (keyed["hash"] == asked["hash"])).select("node", "text")
+    texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    full = salted_join(loose.withColumnRenamed("a", "node"), texts, "node", F.col("b")).select("ra", "rb", F.col("b").alias("node"), F.col("text").alias("ta"))
+    full = salted_join(full, texts, "node", F.xxhash64("ra", "rb")).select("ra", "rb", "ta", F.col("text").alias("tb"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = shingle_set(x.as_py(), words), shingle_set(y.as_py(), words)
+                both = len(p & q)
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield b.select(["ra", "rb"]).filter(pa.array(keep, pa.bool_()))
+
+    sure = materialise(full.mapInArrow(verify, "ra long, rb long"), "sure")
+    links = tight.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    roots = materialise(connected_components(links), "roots")
+    grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
+    marked = docs.withColumn("_hash_", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    out = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_hash_"] == kept["_hash"]), "left_semi")
+    return out.dropDuplicates([id_col, "_hash_"]).select(*[F.col(f"`{c}`") for c in cols])
