@@ -1,0 +1 @@
+"""Streaming: the workloads of this engine are batch only, so this subpackage holds no operator."""
