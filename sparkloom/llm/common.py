@@ -1,38 +1,14 @@
-"""Shared helpers: tables in the shared folder, joins that survive hot keys, connected components."""
+"""Shared helpers of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Copies of the unique side of a salted join, so that a key with a third of all rows is dealt over as many tasks.
-SALTS = 8
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one if unset (tests)."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(got)
-    return got.rstrip("/")
-
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from sparkloom.operators.joins import connected_components, salted_join
+from sparkloom.sources.shared import materialise, new_path
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives the loss of an executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "materialise", "need", "new_path", "salted_join"]
 
 
 def need(df: DataFrame, *names: str) -> DataFrame:
@@ -41,60 +17,3 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df.select(*[F.col(f"`{n}`") for n in names])
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, mix: Column, how: str = "inner") -> DataFrame:
-    """Equi-join on ``key`` where ``right`` has each key once and ``left`` may have a hot key.
-
-    ``mix`` is any column of ``left`` that spreads its rows.  The right side is copied SALTS times, so the hot key's
-    rows go to SALTS tasks at least, and adaptive execution can split them further.
-    """
-    salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(mix), F.lit(SALTS)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(salts))
-    return spread.join(copies, [key, "_salt"], how).drop("_salt")
-
-
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def as_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, root): for every node of an edge between different nodes, the smallest node reachable.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014).  Each step only takes minima per node, which
-    combine before the shuffle, and salted joins; a node with very many neighbours never meets in one task.  Every
-    round is written to the shared folder.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = materialise(e, "edges")
-
-    def signature(df: DataFrame) -> tuple:
-        row = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        return tuple(row)
-
-    seen = signature(e)
-    if not seen[0]:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both.where("v > u"), least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u <> v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, "u", F.col("v"))
-        moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        now = signature(e)
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
-    raise RuntimeError("components did not settle")
-
-
-def field_type(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
