@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import html_text, lzprint, packing, quality, secrets, simhash, warc, winnow
+from sparkloom.llm import chat, html_text, lzprint, packing, quality, secrets, simhash, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_lz_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.neighbour_prints(_read(spark, sf_dir, "documents"))
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.cut_answers(_read(spark, sf_dir, "conversations")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_html_density": op5_html_density,
     "op6_lz_phrases": op6_lz_phrases,
+    "op7_preferences": op7_preferences,
     "op8_secrets": op8_secrets,
     "op10_winnowing": op10_winnowing,
 }
@@ -100,4 +105,20 @@ select page_id, octet_length(encode(html)) payload_bytes,
 from b
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op10_winnowing": OP10_SQL}
+OP7_SQL = r"""
+with c as (select conv_id, turn, min(row(role, text)) v from (select conv_id, turn, coalesce(role, 'user') "role", coalesce(text, '') text from conversations) group by 1, 2),
+l as (select conv_id, max(case when role = 'assistant' then turn end) t from conversations group by 1),
+r as (select conv_id, turn, min(row(role, text)) v from (select conv_id, turn, coalesce(role, 'user') "role",
+  case when turn = t and role = 'assistant' then array_to_string(string_split(text, ' ')[1 : len(string_split(text, ' ')) // 2], ' ') else coalesce(text, '') end text from conversations join l using (conv_id)) group by 1, 2),
+b as (select conv_id, turn, c.v a, r.v b from c full join r using (conv_id, turn)),
+f as (select conv_id, min(case when a is distinct from b then turn end) "first" from b group by 1),
+p as (select conv_id, turn, a, b, "first" is null or turn < "first" same from b join f using (conv_id)),
+s as (select conv_id pair_id, 'prompt' segment, turn, a v from p where same union all select conv_id, 'chosen', turn, a from p where not same and a is not null union all select conv_id, 'rejected', turn, b from p where not same and b is not null),
+t as (select pair_id, segment, turn, v[1] "role", replace(v[2], '<|', '< |') text from s)
+select pair_id, segment, turn, "role", '<|' || "role" || '|>' || chr(10) || text || '<|end|>' || chr(10) rendered,
+  case when segment <> 'prompt' and "role" = 'assistant' then length("role") + 5 else 0 end::bigint train_from,
+  case when segment <> 'prompt' and "role" = 'assistant' then length(text) + 7 else 0 end::bigint train_chars
+from t
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_preferences": OP7_SQL, "op10_winnowing": OP10_SQL}
