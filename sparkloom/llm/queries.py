@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, html_text, lzprint, packing, quality, secrets, simhash, warc, winnow
+from sparkloom.llm import chains, chat, html_text, lzprint, packing, quality, secrets, simhash, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.repeated_passages(_read(spark, sf_dir, "documents"), least=50)
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = winnow.find_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + (r["stop"] - r["start"]))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lz_phrases": op6_lz_phrases,
     "op7_preferences": op7_preferences,
     "op8_secrets": op8_secrets,
+    "op9_chains": op9_chains,
     "op10_winnowing": op10_winnowing,
 }
 

@@ -30,7 +30,7 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def _mixed(tokens: list[bytes]) -> np.ndarray:
+def mixed(tokens: list[bytes]) -> np.ndarray:
     h = np.fromiter(map(crc32, tokens), np.uint64, len(tokens)) + np.uint64(1)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     return h ^ h >> np.uint64(29)
@@ -79,7 +79,7 @@ class Index:
     def build(self) -> Index:
         found: list[tuple[int, int, int]] = []
         for i, (_, ws) in enumerate(self.items):
-            h = _mixed(ws)
+            h = mixed(ws)
             if len(ws) >= self.span:
                 g = grams(h, self.k)
                 found += [(int(g[p]), i, int(p)) for p in kept(g, self.span - self.k + 1)]
@@ -185,7 +185,7 @@ def find_overlap(
                 for t in b.column(1):
                     text = t.as_py()
                     ws = words(text)
-                    got, seen = index.hits(ws, _mixed(ws)) if ws else ([], set())
+                    got, seen = index.hits(ws, mixed(ws)) if ws else ([], set())
                     digest.append(sha1((text or "").encode("utf-8", "surrogatepass")).digest() if digests else None)
                     n_words.append(len(ws))
                     runs.append([{"start": x, "stop": y} for x, y in _union(got)])
@@ -246,7 +246,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
                 keep = []
                 for t in b.column(at):
                     ws = words(t.as_py())
-                    runs = _union(index.hits(ws, _mixed(ws))[0]) if ws else []
+                    runs = _union(index.hits(ws, mixed(ws))[0]) if ws else []
                     keep.append(sum(y - x for x, y in runs) <= most_share * len(ws))
                 yield b.filter(pa.array(keep, pa.bool_()))
 
