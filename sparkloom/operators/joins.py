@@ -24,7 +24,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, mix: Column, how: s
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, root): for every node of an edge between different nodes, the smallest node reachable.
+    """(node, root): for every node that isn't the smallest of its component, the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014).  Each step only takes minima per node, which
     combine before the shuffle, and salted joins; a node with very many neighbours never meets in one task.  Every

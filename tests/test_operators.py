@@ -1,0 +1,133 @@
+"""Hand fixtures and invariants."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.functions.text import first_words, snippet, tokens
+from sparkloom.operators import classify, graph, search, text_stats
+from sparkloom.operators.joins import connected_components
+from sparkloom.sources import tables
+
+
+def test_tokens(spark):
+    row = spark.createDataFrame([("  Father's, --THE  42 x9 Été ",)], "text string").select(tokens("text").alias("t")).first()
+    assert row.t == ["father's", "the", "x", "t"]
+
+
+def test_first_words_go_on_past_an_empty_one(spark):
+    names = [a + b + "q" for a in "abcdefghij" for b in "abcdefghij"]
+    text = " ".join(names[:99] + ["42", "survivor", "late"])
+    got = spark.createDataFrame([(text,)], "text string").select(first_words("text").alias("w")).first().w
+    assert got == names[:99] + ["survivor"]
+
+
+def test_snippet(spark):
+    rows = spark.createDataFrame([("a" * 81 + "\nb",), ("short\nnext",)], "text string").select(snippet("text").alias("s")).collect()
+    assert [r.s for r in rows] == ["a" * 80 + "...", "short"]
+
+
+def test_few_records_have_no_pmi(spark):
+    docs = spark.createDataFrame([(i, "one two three") for i in range(9)], "doc_id long, text string")
+    assert text_stats.pmi_pairs(docs).count() == 0
+
+
+def test_pmi_is_symmetric_and_frequencies_sum_to_one(spark, sf):
+    docs = tables.load(spark, sf, "documents")
+    pmi = {(r.x, r.y): r.pmi for r in text_stats.pmi_pairs(docs).collect()}
+    assert pmi and all(pmi[y, x] == v for (x, y), v in pmi.items())
+    worst = text_stats.bigram_relfreq_pairs(docs).groupBy("a").agg(F.abs(F.sum("freq") - 1).alias("d")).agg(F.max("d")).first()[0]
+    assert worst < 1e-4
+
+
+def test_decode_gives_the_index_back_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 3)
+    docs = spark.createDataFrame([(i, "the cat" if i % 2 else "the dog the") for i in range(20)], "doc_id long, text string")
+    want = {tuple(r) for r in search.index_long(docs).collect()}
+    assert {(r.term, r.doc_id, r.tf) for r in search.decode(search.encode(docs)).collect()} == want
+    gaps = sorted((r.doc_id, r.gap) for r in search.index_gaps(docs).where("term = 'the'").collect())
+    assert gaps == [(i, min(i, 1)) for i in range(20)]
+
+
+def test_rpn(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "b c"), (4, "d")], "doc_id long, text string")
+    ids = lambda q: sorted(r.doc_id for r in search.search(docs, q).collect())
+    assert ids("a b OR c AND") == [3] and ids("a") == [1] and ids("nothing") == [] and ids("nothing d OR") == [4]
+    with pytest.raises(ValueError):
+        search.compile_rpn("a AND")
+
+
+def _toy(spark):
+    lines = spark.createDataFrame([("1 2 3",), ("2\t3",), ("3",), ("4 1 9",), ("",)], "value string")
+    return tables.parse_adjacency(lines)
+
+
+def test_pagerank_toy(spark):
+    nodes, edges = _toy(spark)
+    got = {r.id: r["rank"] for r in graph.pagerank(nodes, edges, 5).collect()}
+    assert math.isclose(sum(got.values()), 1, abs_tol=1e-12)
+    assert [round(got[i], 5) for i in (1, 2, 3, 4)] == [0.20336, 0.22928, 0.42500, 0.14236]
+    stats = graph.graph_stats(nodes, edges).first()
+    assert (stats.n_nodes, stats.n_edges, stats.n_active, stats.n_missing) == (4, 5, 3, 1)
+
+
+def test_personalised_toy(spark):
+    nodes, edges = _toy(spark)
+    got = {r.id: round(r["rank"], 6) for r in graph.personalised(nodes, edges, [1], 1).collect()}
+    assert got == {1: 0.15, 2: 0.425, 3: 0.425, 4: 0.0}
+    with pytest.raises(ValueError):
+        graph.personalised(nodes, edges, [77], 1)
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (70, 70)] + [(100, k) for k in range(101, 140)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    assert got == {i: 1 for i in range(2, 41)} | {55: 50, 60: 50} | {k: 100 for k in range(101, 140)}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_training_matches_plain_gradient_steps(spark):
+    rows = [(i, "spam" if i % 3 == 0 else "ham", [i % 5, 7, 7]) for i in range(30)]
+    got = {r.feature: r.weight for r in classify.train(spark.createDataFrame(rows, "doc_id long, label string, features array<int>")).collect()}
+    w: dict[int, float] = {}
+    for _, label, fs in rows:
+        s = sum(w.get(f, 0) for f in fs)
+        for f in fs:
+            w[f] = w.get(f, 0) + ((label == "spam") - 1 / (1 + math.exp(-s))) * 0.002
+    assert got.keys() == w.keys() and all(math.isclose(got[k], w[k], rel_tol=1e-12) for k in w)
+
+
+def test_vote_counts_zero_as_against(spark):
+    inst = spark.createDataFrame([(1, "spam", [1])], "doc_id long, label string, features array<int>")
+    models = spark.createDataFrame([(1, 1, 0.0), (2, 1, 2.0), (3, 1, -1.0)], "model_id int, feature int, weight double")
+    assert classify.apply_ensemble(inst, models, "vote").first().score == -1.0
+    assert round(classify.apply_ensemble(inst, models, "average").first().score, 6) == 0.333333
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "nation.tbl").write_text("0|ALGERIA|0|x|\n1|ARGENTINA|1|y|\n")
+    assert [tuple(r) for r in tables.read_tbl(spark, str(tmp_path / "nation.tbl"), "nation").collect()] == [(0, "ALGERIA"), (1, "ARGENTINA")]
+    lines = spark.createDataFrame([("d1 spam 3 4 4",)], "value string")
+    assert tuple(tables.parse_instances(lines).first()) == ("d1", "spam", [3, 4, 4])
+    df = spark.createDataFrame([("b", 2), ("a", 1)], "word string, n long")
+    tables.write_tsv(df, str(tmp_path / "out"))
+    tables.write_tsv(df, str(tmp_path / "out"))
+    assert tables.read_lines(spark, str(tmp_path / "out")).count() == 2
+    tables.write_sorted(df, str(tmp_path / "sorted"), "word")
+    assert spark.read.parquet(str(tmp_path / "sorted")).where("word = 'a'").first().n == 1
+    for _ in range(2):
+        tables.replace_table(df, "counts_test")
+    assert spark.table("counts_test").count() == 2
+
+
+def test_date_prefixes_reach_the_scan(spark, sf, capsys):
+    tables.load(spark, sf, "lineitem").where(tables.prefix_range("l_shipdate", "1996-12")).select("l_tax").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan and "l_comment" not in plan
+
+
+def test_sequential_ranks_settle(spark):
+    nodes, edges = _toy(spark)
+    got = {r.id: r["rank"] for r in graph.sequential_pagerank(nodes, edges).collect()}
+    assert math.isclose(sum(got.values()), 1, abs_tol=1e-9)
