@@ -334,9 +334,21 @@ def _wide_candidates(values: np.ndarray, prefix: np.ndarray, check: np.ndarray,
         heads = who[np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))]
         a = np.concatenate((heads[~first], who[:-1][~first[1:]]))
         b = np.concatenate((who[~first], who[1:][~first[1:]]))
+        a, b = np.minimum(a, b), np.maximum(a, b)
         near = (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS) & (a != b)
-        if near.any():
-            code = np.unique(np.minimum(a, b)[near] << 32 | np.maximum(a, b)[near])
+        a, b = a[near], b[near]
+        # a pair counts in one group of its table only, so that a large cluster's links don't come from every group: the
+        # group of the smaller node's leading bits, with the first differing bits flipped if too many differ
+        home = values[a] >> np.uint64(low)
+        apart = home ^ values[b] >> np.uint64(low)
+        turned, rest = np.zeros_like(apart), apart.copy()
+        for _ in range(half):
+            first_bit = rest & (~rest + np.uint64(1))
+            turned, rest = turned | first_bit, rest ^ first_bit
+        home = np.where(np.bitwise_count(apart) <= half, home, home ^ turned)
+        a, b = a[home == prefix[0]], b[home == prefix[0]]
+        if len(a):
+            code = np.unique(a << 32 | b)
             found.append(np.stack([code >> 32, code & 0xFFFFFFFF], axis=1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
