@@ -157,7 +157,7 @@ def _train(rows: list[np.ndarray], goal: np.ndarray, held: np.ndarray, most_fals
     return w, b, min(threshold, 0.99)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, most_false: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, most_false: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on about ``sample_rows`` labelled rows (all of them if there are fewer), chosen by a hash of the id.
 
     ``labels``: (id_col, quality, toxic).  The driver holds the sample's hashed features, some 4 KB a row.  Labels of
