@@ -128,8 +128,8 @@ class Model:
 def _train(rows: list[np.ndarray], goal: np.ndarray, held: np.ndarray, most_false: float, steps: int = 150) -> tuple[np.ndarray, float, float]:
     """Weights, bias and threshold: logistic regression on soft goals, over the features that tell the goals apart."""
     own = np.flatnonzero(~held)
-    counts = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
+    counts = np.array([len(r) for r in rows], dtype=np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *rows])
     row_of = np.repeat(np.arange(len(rows)), counts)
     mine = ~held[row_of]
     bad = np.bincount(flat[mine], weights=goal[row_of[mine]], minlength=BUCKETS)
