@@ -100,8 +100,10 @@ def repartition_graph(nodes: DataFrame, partitions: int, by_range: bool) -> Data
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(n_components, n_edges, n_nodes): components over undirected edges; a node without edges is one."""
+    """(n_components, n_edges, n_nodes): components over undirected edges; a node without edges is one, and the end of an
+    edge is a node even without a record."""
     roots = connected_components(edges, "src", "dst")
+    nodes = nodes.select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     each = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").agg(F.countDistinct(F.coalesce("root", "id")).alias("n_components"), F.count(F.lit(1)).alias("n_nodes"))
     n = edges.distinct().count()
     return each.select("n_components", F.lit(n).cast("long").alias("n_edges"), "n_nodes")
