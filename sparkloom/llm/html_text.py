@@ -61,14 +61,19 @@ class Node:
         self.sum = self.density = 0.0
 
 
-def _aside(attributes: str) -> bool:
+def _aside(attributes: str) -> tuple[bool, bool]:
+    """(marked as no main text, marked as a header) by an element's attributes."""
+    header = False
     for m in ATTR.finditer(attributes):
         name, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id", "role") and not ASIDE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id", "role"):
+            words = re.split(r"[^a-z0-9]+", value)
+            if not ASIDE.isdisjoint(words):
+                return True, False
+            header |= "header" in words
+    return False, header
 
 
 def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
@@ -123,8 +128,9 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
                 while node is not up.parent:
                     node.end = len(runs)
                     node = node.parent
-        out = node.out or name in NEVER or bool(m[3].strip()) and name not in ("html", "body", "article", "main") and _aside(m[3])
-        if name == "header":  # an article's own header may hold its heading
+        marked, header = _aside(m[3]) if m[3].strip() and name not in ("html", "body", "article", "main") else (False, False)
+        out = node.out or name in NEVER or marked
+        if name == "header" or header and name not in INLINE:  # an article's own header may hold its heading
             up = node
             while up is not None and up.tag not in ("article", "main"):
                 up = up.parent

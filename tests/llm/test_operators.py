@@ -174,7 +174,7 @@ def test_damage_is_seen(spark, tmp_path):
 
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header><a href=/>Home</a></header><div id="menu"><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>
-    <div class="cookie-notice">We use cookies</div><main><article><header><h1>A &amp; B</h1></header><p title="a>b">First  para&shy;graph
+    <div class="site-header"><h2>Site</h2></div><div class="cookie-notice">We use cookies</div><main><article><header><h1>A &amp; B</h1></header><p title="a>b">First  para&shy;graph
     with <b>bold</b>text&#x21;<br>next line<p>Second <a href=x>link</a> one.<table><tr><td>c1<td>c2</table><form>name <input></form><aside>aside</aside>
     <script>var a = "</p>";</script><ul><li>x<li>y</ul><div class="comments"><p>Reader says hello hello hello hello</p></div></article></main><aside>side</aside><footer>foot</footer>"""
     assert html_text.main_text(page) == "A & B First para\xadgraph with boldtext! next line Second link one. c1 c2 x y"
