@@ -371,6 +371,7 @@ def test_passages_that_repeat_are_found_and_others_left(spark):
     rows += [(30, " ".join(fresh(5) + fuzzy)), (31, " ".join(edited[:70] + ["put", "in"] + edited[70:] + fresh(30)))]
     rows += [(40, " ".join(fresh(60))), (41, None), (42, ""), (43, " ".join(passage) + "."), (None, " ".join(passage))]
     same = " ".join(fresh(80))
+    rows += [(10, "another text under an id that is taken")]
     rows += [(50, same), (51, same), (51, same), (52, "few words"), (53, "few words"), (60, " ".join(fresh(30_000)))]
     got = chains.repeated_passages(clash(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     by = {}
