@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from sparkloom.operators.joins import connected_components, salted_join
 from sparkloom.sources.shared import materialise, new_path
 
-__all__ = ["connected_components", "materialise", "need", "new_path", "salted_join"]
+__all__ = ["connected_components", "join_counted", "materialise", "need", "new_path", "salted_join"]
+
+#: Bytes that a broadcast side may take on an executor.
+BROADCAST_BYTES = 64 << 20
 
 
 def need(df: DataFrame, *names: str) -> DataFrame:
@@ -17,3 +20,9 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def join_counted(large: DataFrame, small: DataFrame, on: list[str], row_bytes: int = 64) -> DataFrame:
+    """Inner join of whole texts with the rows asked for: ``small``, a written table, is counted, and broadcast if its
+    rows fit BROADCAST_BYTES, so that the texts needn't be shuffled; beyond that both sides are shuffled."""
+    return large.join(F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small, on)

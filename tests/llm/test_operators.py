@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkloom.llm import chains, chat, html_text, lzprint, packing, quality, queries, secrets, warc, winnow
+from sparkloom.llm import chains, chat, common, html_text, lzprint, packing, quality, queries, secrets, warc, winnow
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -358,7 +358,9 @@ def test_chain_is_the_best_by_all_predecessors():
         assert sorted(m for p in paths for m in p) == anchors and all(x[0] < y[0] and x[1] < y[1] for p in paths for x, y in zip(p, p[1:], strict=False))
 
 
-def test_passages_that_repeat_are_found_and_others_left(spark):
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_passages_that_repeat_are_found_and_others_left(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast_bytes)
     r = random.Random(8)
     vocabulary = [f"w{i}x" for i in range(20_000)]
     fresh = lambda n: r.choices(vocabulary, k=n)
