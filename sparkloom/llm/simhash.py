@@ -296,8 +296,27 @@ def _forest_by_check(pairs: np.ndarray, check: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _wide_candidates(values: np.ndarray, prefix: np.ndarray, check: np.ndarray, half: int) -> np.ndarray:
-    """Pairs of rows of one group whose table values share a variant and whose check words are near."""
+def _across(group: np.ndarray, who: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one variant group that have different roots, some CHUNK at a time."""
+    order = np.lexsort((who, roots[who], group))
+    group, who = group[order], who[order]
+    new = np.diff(group) != 0
+    ends = [np.append(np.flatnonzero(cut) + 1, len(who)) for cut in (new, new | (np.diff(roots[who]) != 0))]
+    group_end, root_end = (e[np.searchsorted(e, np.arange(len(who)), "right")] for e in ends)
+    count = group_end - root_end
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(who):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK, "right")))
+        n = count[lo:hi]
+        first = np.repeat(root_end[lo:hi] - (np.cumsum(n) - n), n)
+        yield np.repeat(who[lo:hi], n), who[first + np.arange(len(first))]
+        lo = hi
+
+
+def _wide_candidates(values: np.ndarray, prefix: np.ndarray, check: np.ndarray, half: int, roots: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of rows of one group whose table values share a variant and whose check words are near: of each variant's
+    rows the head and the neighbour of each, or with ``roots`` all pairs that have different roots."""
     low = TABLE_BITS - WIDE_TOP
     lows = _masks(low, half)
     flips = values >> np.uint64(low) ^ prefix
@@ -306,6 +325,22 @@ def _wide_candidates(values: np.ndarray, prefix: np.ndarray, check: np.ndarray,
     turns, found = max(1, -(-int(sizes.sum()) // CHUNK)), []
     base = values ^ flips << np.uint64(low)
     slab = max(1, CHUNK // len(lows[half]))
+
+    def at_home(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS) & (a != b)
+        a, b = a[near], b[near]
+        # a pair counts in one group of its table only, so that a large cluster's links don't come from every group: the
+        # group of the smaller node's leading bits, with the first differing bits flipped if too many differ
+        home = values[a] >> np.uint64(low)
+        apart = home ^ values[b] >> np.uint64(low)
+        turned, rest = np.zeros_like(apart), apart.copy()
+        for _ in range(half):
+            first_bit = rest & (~rest + np.uint64(1))
+            turned, rest = turned | first_bit, rest ^ first_bit
+        home = np.where(np.bitwise_count(apart) <= half, home, home ^ turned)
+        code = np.unique(a[home == prefix[0]] << 32 | b[home == prefix[0]])
+        return np.stack([code >> 32, code & 0xFFFFFFFF], axis=1)
+
     for turn in range(turns):
         vs, rows = [], []
         for r in range(half + 1):
@@ -328,35 +363,29 @@ def _wide_candidates(values: np.ndarray, prefix: np.ndarray, check: np.ndarray,
         at[at == len(dup)] = 0
         hit = dup[at] == v
         group, who = at[hit], who[hit]
+        if roots is not None:
+            found += [x for a, b in _across(group, who, roots) if len(x := at_home(np.minimum(a, b), np.maximum(a, b)))]
+            continue
         order = np.lexsort((who, group))
         group, who = group[order], who[order]
         first = np.concatenate(([True], np.diff(group) != 0))
         heads = who[np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))]
         a = np.concatenate((heads[~first], who[:-1][~first[1:]]))
         b = np.concatenate((who[~first], who[1:][~first[1:]]))
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        near = (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS) & (a != b)
-        a, b = a[near], b[near]
-        # a pair counts in one group of its table only, so that a large cluster's links don't come from every group: the
-        # group of the smaller node's leading bits, with the first differing bits flipped if too many differ
-        home = values[a] >> np.uint64(low)
-        apart = home ^ values[b] >> np.uint64(low)
-        turned, rest = np.zeros_like(apart), apart.copy()
-        for _ in range(half):
-            first_bit = rest & (~rest + np.uint64(1))
-            turned, rest = turned | first_bit, rest ^ first_bit
-        home = np.where(np.bitwise_count(apart) <= half, home, home ^ turned)
-        a, b = a[home == prefix[0]], b[home == prefix[0]]
-        if len(a):
-            code = np.unique(a << 32 | b)
-            found.append(np.stack([code >> 32, code & 0xFFFFFFFF], axis=1))
+        got = at_home(np.minimum(a, b), np.maximum(a, b))
+        if len(got):
+            found.append(got)
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
 def wide_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): candidate links among rows (node, wide array<long>), by ball hashing of each table."""
-    half = (radius + 1) // 2
-    kinds = pa.schema([("part", pa.int32()), ("value", pa.int64()), ("check", pa.int64()), ("node", pa.int64())])
+    """(a, b): candidate links among rows (node, wide array<long>), by ball hashing of each table.
+
+    Of rows without a column ``root`` come a few links a node, enough to connect all that meet, nearest check words
+    first; they say nothing about pairs that were left out.  Of rows with one come all pairs of different roots.
+    """
+    half, rooted = (radius + 1) // 2, "root" in nodes.columns
+    kinds = pa.schema([("part", pa.int32()), ("value", pa.int64()), ("check", pa.int64()), ("node", pa.int64())] + [("root", pa.int64())] * rooted)
     flips = _masks(WIDE_TOP, half)[half]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,31 +398,35 @@ def wide_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
                 each = TABLES * len(flips)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(part.ravel().astype(np.int32)), pa.array(np.repeat(values.ravel(), len(flips)).view(np.int64)),
-                    pa.array(np.repeat(check, each).view(np.int64)), pa.array(np.repeat(node, each)),
+                    pa.array(np.repeat(check, each).view(np.int64)), *[pa.array(np.repeat(x, each)) for x in (node, *(np.asarray(c.slice(at, 2000)) for c in b.columns[2:]))],
                 ], schema=kinds)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
         if not got:
             return
-        part, value, check, node = (np.concatenate(x) for x in zip(*got, strict=True))
+        part, value, check, node, *root = (np.concatenate(x) for x in zip(*got, strict=True))
         names, index = np.unique(node, return_inverse=True)
         order = np.lexsort((index, part))
         part, value, check, index = part[order], value[order].view(np.uint64), check[order].view(np.uint64), index[order]
         words = np.zeros(len(names), np.uint64)
         words[index] = check
+        root = root[0][order] if rooted else None
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
         found = []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             prefix = np.full(hi - lo, int(part[lo]) & (1 << WIDE_TOP) - 1, np.uint64)
-            pairs = index[lo:hi][_wide_candidates(value[lo:hi], prefix, check[lo:hi], half)]
-            if len(pairs):
+            pairs = index[lo:hi][_wide_candidates(value[lo:hi], prefix, check[lo:hi], half, root[lo:hi] if rooted else None)]
+            if len(pairs) and rooted:
+                pairs = names[np.unique(np.sort(pairs, axis=1), axis=0)]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            elif len(pairs):
                 found.append(_forest_by_check(np.unique(np.sort(pairs, axis=1), axis=0), words))
         if found:
             pairs = names[_forest_by_check(np.unique(np.concatenate(found), axis=0), words)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    dealt = nodes.select("node", "wide").mapInArrow(deal, "part int, value long, check long, node long").repartition("part")
+    dealt = nodes.select("node", "wide", *["root"] * rooted).mapInArrow(deal, "part int, value long, check long, node long" + ", root long" * rooted).repartition("part")
     return dealt.mapInArrow(link, "a long, b long")
 
 
@@ -428,26 +461,15 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     own = materialise(keyed.mapInArrow(prints, f"id {kind}, hash long, node long, wide array<long>"), "wide")
     nodes = own.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("first"), F.min("wide").alias("wide"))
     nodes = materialise(nodes, "nodes")
-    pairs = materialise(wide_links(nodes).distinct(), "candidates")
     bits = nodes.select("node", "wide")
-    near = salted_join(pairs.withColumnRenamed("a", "node"), bits, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("wide").alias("wa"))
-    near = salted_join(near, bits, "node", F.col("a")).select("a", F.col("node").alias("b"), F.zip_with("wa", "wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))).alias("d"))
-    near = near.select("a", "b", F.aggregate("d", F.lit(0), lambda s, x: s + x).alias("far")).where(F.col("far") <= LOOSE)
-    near = materialise(near, "near")
-    tight = connected_components(near.where(F.col("far") <= TIGHT))
-    tight = materialise(tight, "tight")
-    # the loose links between different tight groups, the nearest of each pair of groups
-    loose = near.where(F.col("far") > TIGHT)
-    for side in ("a", "b"):
-        loose = salted_join(loose.withColumnRenamed(side, "node"), tight, "node", F.col("far"), "left").withColumn("root", F.coalesce("root", "node")).withColumnsRenamed({"node": side, "root": f"root_{side}"})
-    loose = loose.where("root_a <> root_b").groupBy(F.least("root_a", "root_b").alias("ra"), F.greatest("root_a", "root_b").alias("rb")).agg(F.min(F.struct("far", "a", "b")).alias("best"))
-    loose = materialise(loose.select("ra", "rb", "best.a", "best.b"), "loose")
-    asked = loose.select(F.col("a").alias("node")).unionByName(loose.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first"), "node")
-    asked = asked.select("node", F.col("first.id").alias("id"), F.col("first.hash").alias("hash"))
-    texts = keyed.join(asked, keyed["id"].eqNullSafe(asked["id"]) & (keyed["hash"] == asked["hash"])).select("node", "text")
-    texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    full = salted_join(loose.withColumnRenamed("a", "node"), texts, "node", F.col("b")).select("ra", "rb", F.col("b").alias("node"), F.col("text").alias("ta"))
-    full = salted_join(full, texts, "node", F.xxhash64("ra", "rb")).select("ra", "rb", "ta", F.col("text").alias("tb"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """(a, b, far): the candidates within LOOSE bits."""
+        pairs = materialise(pairs.distinct(), "candidates")
+        half = salted_join(pairs.withColumnRenamed("a", "node"), bits, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("wide").alias("wa"))
+        both = salted_join(half, bits, "node", F.col("a")).select("a", F.col("node").alias("b"), F.zip_with("wa", "wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))).alias("d"))
+        both = both.select("a", "b", F.aggregate("d", F.lit(0), lambda s, x: s + x).alias("far"))
+        return materialise(both.where(F.col("far") <= LOOSE), "near")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -456,11 +478,44 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
                 p, q = shingle_set(x.as_py(), words), shingle_set(y.as_py(), words)
                 both = len(p & q)
                 keep.append(both >= similarity * (len(p) + len(q) - both))
-            yield b.select(["ra", "rb"]).filter(pa.array(keep, pa.bool_()))
-
-    sure = materialise(full.mapInArrow(verify, "ra long, rb long"), "sure")
-    links = tight.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    roots = materialise(connected_components(links), "roots")
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(a, b): the pairs whose texts are alike."""
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first"), "node")
+        asked = asked.select("node", F.col("first.id").alias("id"), F.col("first.hash").alias("hash"))
+        texts = keyed.join(asked, keyed["id"].eqNullSafe(asked["id"]) & (keyed["hash"] == asked["hash"])).select("node", "text")
+        texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+        full = salted_join(pairs.select(F.col("a").alias("node"), "b"), texts, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("text").alias("ta"))
+        full = salted_join(full, texts, "node", F.col("a")).select("a", F.col("node").alias("b"), "ta", F.col("text").alias("tb"))
+        return materialise(full.mapInArrow(verify, "a long, b long"), "sure")
+
+    def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """(a, b, far, ra, rb): the pairs that lie in different groups."""
+        for side in ("a", "b"):
+            pairs = salted_join(pairs.withColumnRenamed(side, "node"), roots, "node", F.col("far"), "left").withColumn(f"root_{side}", F.coalesce("root", "node")).drop("root").withColumnRenamed("node", side)
+        pairs = pairs.where("root_a <> root_b")
+        return materialise(pairs.select("a", "b", "far", F.least("root_a", "root_b").alias("ra"), F.greatest("root_a", "root_b").alias("rb")), "between")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """Of each two groups the pair with the nearest bits."""
+        best = pairs.groupBy("ra", "rb").agg(F.min(F.struct("far", "a", "b")).alias("best"))
+        return materialise(best.select("best.a", "best.b"), "loose")
+
+    def joined(links: DataFrame, *more: DataFrame) -> DataFrame:
+        """(node, root) of the groups that links and groups make."""
+        for x in more:
+            links = links.unionByName(x.select(F.col("node").alias("a"), F.col("root").alias("b")) if "root" in x.columns else x.select("a", "b"))
+        return materialise(connected_components(links), "roots")
+
+    # first a few links a node, which join the large groups; then all pairs that meet and lie in different groups
+    first = near(wide_links(nodes))
+    roots = joined(first.where(F.col("far") <= TIGHT).select("a", "b"))
+    roots = joined(alike(nearest(between(first, roots))), roots)
+    grouped = nodes.join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("root"))
+    rest = near(wide_links(materialise(grouped, "grouped")))
+    roots = joined(rest.where(F.col("far") <= TIGHT).select("a", "b"), roots)
+    roots = joined(alike(nearest(between(rest, roots))), roots)
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
     marked = docs.withColumn("_hash_", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))

@@ -120,3 +120,25 @@ def test_spanning_forest_connects_all_pairs():
     made = {tuple(p) for p in forest.tolist()}
     assert made <= whole and components(50, lambda i, j: (j, i) in made) == components(50, lambda i, j: (j, i) in whole)
     assert len(made) == 50 - len(set(components(50, lambda i, j: (j, i) in made)))
+
+
+def edited(words, r, changes):
+    """The words with so many of them changed, five or more apart, so that each change is five shingles."""
+    out = list(words)
+    for at in r.sample(range(2, len(words) // 5 - 1), changes):
+        out[5 * at] = f"new{r.getrandbits(40)}"
+    return out
+
+
+def test_deduplicate_pairs_in_a_family_of_look_alikes(spark):
+    """Each text is some 0.7 like all others (below the limit) and 0.85 like one."""
+    r = random.Random(11)
+    template = r.choices([f"word{i}" for i in range(3000)], k=500)
+    base = [edited(template, r, 10) for _ in range(120)]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(base)] + [(1000 + i, " ".join(edited(ws, r, 7))) for i, ws in enumerate(base)]
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    root = components(len(rows), lambda i, j: (both := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - both))
+    want = {rows[i][0] for i in root}
+    assert want == set(range(120))
+    got = {x.doc_id for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got and len(got - want) <= 1  # a pair at 0.85 meets in a table with a chance of 99.7 %
