@@ -225,6 +225,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
 WIDE_WORDS, TABLES, TABLE_BITS = 8, 12, 40
 #: Of 512 bits: texts within TIGHT are surely alike (0.9 or more); beyond LOOSE they surely aren't (under 0.74).
 TIGHT, LOOSE = 32, 97
+#: Where texts at 0.8 are on average.
+MIDDLE = 77
 CHECK_BITS = 20
 WIDE_TOP = 6
 
@@ -511,11 +513,19 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     # first a few links a node, which join the large groups; then all pairs that meet and lie in different groups
     first = near(wide_links(nodes))
     roots = joined(first.where(F.col("far") <= TIGHT).select("a", "b"))
-    roots = joined(alike(nearest(between(first, roots))), roots)
+    tried = nearest(between(first, roots))
+    roots = joined(alike(tried), roots)
     grouped = nodes.join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("root"))
     rest = near(wide_links(materialise(grouped, "grouped")))
     roots = joined(rest.where(F.col("far") <= TIGHT).select("a", "b"), roots)
-    roots = joined(alike(nearest(between(rest, roots))), roots)
+    # of the loose pairs the nearest of each two groups, then those within MIDDLE bits, then all: till one holds or none is left
+    for reach in (TIGHT, MIDDLE, LOOSE):
+        left = between(rest.join(tried, ["a", "b"], "left_anti"), roots)
+        if left.isEmpty():
+            break
+        batch = nearest(left) if reach == TIGHT else left.where(F.col("far") <= reach).select("a", "b")
+        roots = joined(alike(batch), roots)
+        tried = tried.unionByName(batch)
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
     marked = docs.withColumn("_hash_", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))

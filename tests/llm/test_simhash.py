@@ -142,3 +142,25 @@ def test_deduplicate_pairs_in_a_family_of_look_alikes(spark):
     assert want == set(range(120))
     got = {x.doc_id for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert want <= got and len(got - want) <= 1  # a pair at 0.85 meets in a table with a chance of 99.7 %
+
+
+def test_deduplicate_tries_further_pairs_of_two_groups(spark):
+    """Two groups of close copies whose nearest pair by bits is below the limit, while others are above it."""
+    vocabulary = [f"word{i}" for i in range(3000)]
+    for seed in range(200):
+        r = random.Random(seed)
+        base = r.choices(vocabulary, k=500)
+        texts = [[" ".join(edited(ws, r, r.randint(0, 2))) for _ in range(8)] for ws in (base, edited(base, r, 10))]
+        sets = [[simhash.shingle_set(t, 5) for t in side] for side in texts]
+        bits = [[simhash.wide_fingerprint(t, 5) for t in side] for side in texts]
+        pairs = []
+        for p, v in zip(sets[0], bits[0], strict=True):
+            for q, w in zip(sets[1], bits[1], strict=True):
+                pairs.append((int(np.bitwise_count(v ^ w).sum()), len(p & q) / len(p | q)))
+        held = [b for b, s in pairs if s >= 0.8]
+        if 0 < len(held) < 12 and min(pairs)[1] < 0.79 and sum(b <= simhash.LOOSE - 15 for b in held) >= 3 and min(held) > min(pairs)[0] + 3:
+            break
+    else:
+        raise AssertionError("no such groups were made")
+    docs = spark.createDataFrame(list(enumerate(texts[0] + texts[1])), "doc_id long, text string")
+    assert [x.doc_id for x in simhash.deduplicate(docs).collect()] == [0]
