@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -288,6 +289,20 @@ def test_network_finds_held_out_keys_and_leaves_look_alikes(spark, sf):
     assert clean.columns == ["doc_id", "text", "x"] and clean.where("doc_id = 0").first().text == "[SECRET]\" x" and clean.where("text is null").count() == 1
 
 
+def test_network_reads_long_runs_to_their_end(spark, sf):
+    model = secrets.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    r = random.Random(3)
+    key = lambda n: "".join(r.choices(string.ascii_letters + string.digits, k=n))
+    word = lambda: r.choice(secrets.WORDS)
+    path = lambda: "/".join(word() for _ in range(9))
+    held, clean = [], []
+    for _ in range(40):
+        held += [f"https://hooks.slack.com/services/T00000000/B00000000/{key(24)} now", f"see {path()}/{key(32)} and", f"see {path()}/{key(40)}/{path()}.html and", f"see {path().replace('/', '-')}-{key(40)} and"]
+        clean += [f"see www.{word()}.example.org/{path()}/{r.randint(1, 9999)}/{word()}-{word()}_{r.randint(1, 99)}/{path()}.html and", f"see {path().replace('/', '-')}-{r.randint(1, 2030)} and"]
+    found = lambda texts: sum(any(k == "learned" for _, _, k in secrets.all_spans(t, model)) for t in texts) / len(texts)
+    assert found(held) > 0.95 and found(clean) < 0.02
+
+
 def test_gradients_of_the_network():
     m, r = secrets.CharCnn.new(1), np.random.default_rng(2)
     x, y = r.integers(0, 20, (6, secrets.WIDTH)).astype(np.uint8), r.integers(0, 2, 6).astype(float)
