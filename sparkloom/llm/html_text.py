@@ -22,7 +22,8 @@ from sparkloom.llm.common import need
 
 TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*)(?:>|\Z))", re.S)
 SPACE = re.compile(r"\s+")
-ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute of a tag, whatever its name, with its value.
+ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 
 # fixed values: element names of the HTML standard
 RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "plaintext", "textarea", "title"}

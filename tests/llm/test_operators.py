@@ -181,6 +181,15 @@ def test_main_text():
     assert html_text.main_text(page) == "A & B First para\xadgraph with boldtext! next line Second link one. c1 c2 x y"
 
 
+def test_attributes_count_by_their_own_names():
+    for a in ('title="hidden gems"', 'href="/hidden-falls"', "href=/hidden-falls", "data-hidden-x", 'href="/x?id=search"', 'data-role="menu"', 'data-x=\'class="ad"\''):
+        assert html_text._aside(" " + a) == (False, False), a
+    for a in ("hidden", 'HIDDEN=""', "a=b hidden", 'title="x"hidden', "class = ad", 'data-x="1" role=\'navigation\'', 'id="search"', 'style="Display: none"', "aria-hidden=true"):
+        assert html_text._aside(" " + a) == (True, False), a
+    page = "<body><article><p>The first words stay here.</p><p title='hidden gems'>So do these words.</p></article></body>"
+    assert html_text.main_text(page) == "The first words stay here. So do these words."
+
+
 def test_density_finds_the_text_without_an_article():
     text = "This is a long paragraph of plain running text, as an article has it, with hardly any link in it at all. "
     links = "".join(f"<li><a href={i}>link number {i}</a></li>" for i in range(30))
