@@ -372,14 +372,35 @@ def test_odd_rows_of_quality(spark, sf):
 def test_chain_is_the_best_by_all_predecessors():
     r = random.Random(6)
     for _ in range(60):
-        anchors = sorted({(r.randint(0, 60), r.randint(0, 60)) for _ in range(r.randint(1, 25))})
+        matches = sorted({(r.randint(0, 60), r.randint(0, 60), r.randint(5, 9)) for _ in range(r.randint(1, 25))})
+        move = lambda c, m: 0.25 * max(m[0] - c[0] + m[1] - c[1] - 2 * c[2], m[0] - c[0] + m[1] - c[1] - 2 * c[2])
         best = {}
-        for a, b in anchors:
-            best[a, b] = 8 + max([0.0] + [best[c] - 0.25 * (a - c[0] + b - c[1]) for c in best if c[0] < a and c[1] < b])
-        paths = chains.chain(anchors)
-        top = sum(8 - 0.25 * (q[0] - p[0] + q[1] - p[1]) for p, q in zip(paths[0], paths[0][1:], strict=False)) + 8
+        for m in matches:
+            best[m] = m[2] + max([0.0] + [best[c] - move(c, m) for c in best if c[0] < m[0] and c[1] < m[1]])
+        paths = chains.chain(matches)
+        top = sum(q[2] - move(p, q) for p, q in zip(paths[0], paths[0][1:], strict=False)) + paths[0][0][2]
         assert abs(top - max(best.values())) < 1e-9
-        assert sorted(m for p in paths for m in p) == anchors and all(x[0] < y[0] and x[1] < y[1] for p in paths for x, y in zip(p, p[1:], strict=False))
+        assert sorted(m for p in paths for m in p) == matches and all(x[0] < y[0] and x[1] < y[1] for p in paths for x, y in zip(p, p[1:], strict=False))
+
+
+def test_keys_that_come_in_pieces_are_tied_the_same():
+    r = random.Random(9)
+    rows = sorted((k, h, h % 7) for k in range(40) for h in r.sample(range(60), r.choice((1, 2, 5, 8, 9, 30))) for _ in range(r.choice((1, 1, 2))))
+
+    def ties(cuts):
+        groups, out = chains.Groups(), Counter()
+        for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            for kind, cols in groups.add(*(np.array([x[i] for x in rows[lo:hi]], np.int64) for i in range(3)), last=hi == len(rows) and lo != hi):
+                out.update({(kind, *x): 1 for x in zip(*(c.tolist() for c in cols), strict=True)})
+        return set(out)
+
+    want = set()
+    for k in range(40):
+        own = sorted({x[1:] for x in rows if x[0] == k})
+        want |= {("few", k, *x, *y) for x in own for y in own if x > y} if len(own) <= chains.FEW else {("many", k, *x, *own[0]) for x in own}
+    for _ in range(30):
+        assert ties(sorted(r.sample(range(1, len(rows)), r.randint(0, 12)))) == want
+    assert ties(range(1, len(rows))) == want
 
 
 @pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
@@ -411,6 +432,77 @@ def test_passages_that_repeat_are_found_and_others_left(spark, monkeypatch, broa
     assert chains.repeated_passages(odd_docs(spark).limit(0)).count() == 0
 
 
+def plain_repeats(docs, least=50):
+    """The words of each document that lie in a run of ``least`` words which another document has too."""
+    own = {i: chains.words(t) for i, t in docs}
+    where = {}
+    for i, ws in own.items():
+        for p in range(len(ws) - least + 1):
+            where.setdefault(tuple(ws[p : p + least]), set()).add(i)
+    return {i: {q for p in range(len(ws) - least + 1) if len(where[tuple(ws[p : p + least])]) > 1 for q in range(p, p + least)} for i, ws in own.items()}
+
+
+def found_words(got):
+    out = {}
+    for x in got:
+        out.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
+    return out
+
+
+@pytest.mark.parametrize("copies", [3, 12])
+def test_passages_whose_pieces_stand_elsewhere(spark, copies):
+    """Pairs of texts that share 60 words, with overlapping pieces of 30 of them in many other texts."""
+    r = random.Random(4)
+    vocabulary = [f"v{i}y" for i in range(20_000)]
+    fresh = lambda n: r.choices(vocabulary, k=n)
+    rows, n = [], 1000
+    for i in range(20):
+        passage = fresh(60)
+        rows += [(2 * i, " ".join(fresh(40) + passage + fresh(40))), (2 * i + 1, " ".join(fresh(20) + passage + fresh(70)))]
+        for at in range(0, 31, 10):
+            for _ in range(copies):
+                rows.append((n, " ".join(fresh(50) + passage[at : at + 30] + fresh(50))))
+                n += 1
+    lines = [fresh(30), fresh(30)]  # two lines of 30 words: alone in many texts, side by side in two
+    rows += [(500 + k, " ".join(fresh(30) + lines[k % 2] + fresh(40))) for k in range(4 * copies)] + [(600 + k, " ".join(fresh(30) + lines[0] + lines[1] + fresh(k))) for k in (20, 30)]
+    got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {i: ws for i, ws in plain_repeats(rows).items() if ws}
+    found = found_words(got)
+    assert set(found) == set(want) == set(range(40)) | {620, 630}
+    assert all(want[i] <= found[i] for i in want)
+
+
+def test_whole_table_holds_every_repeat(spark, sf):
+    """All runs of 50 words that two rows of the table share, against brute force."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
+    found = found_words(chains.repeated_passages(docs).collect())
+    want = plain_repeats(rows)
+    texts = Counter(t for _, t in rows)
+    repeats = lambda i, t: len(set(chains.words(t))) <= 2 and texts[t] == 1  # noqa: E731  a text of one or two words, over and over
+    missed = {i: ws - found.get(i, set()) for i, ws in want.items()}
+    assert sum(map(len, want.values())) > 1000 and not {i for i, t in rows if missed[i] and not repeats(i, t)}
+
+
+def test_fuzzy_passages_are_found(spark):
+    """Recall by the share of words that stay, of 100-word passages with words changed at random places."""
+    r = random.Random(12)
+    vocabulary = [f"v{i}y" for i in range(20_000)]
+    fresh = lambda n: r.choices(vocabulary, k=n)
+    rows, n, floor = [], 40, {0.95: 1.0, 0.9: 1.0, 0.87: 0.95, 0.84: 0.75}
+    for band, share in enumerate(floor):
+        for i in range(n):
+            passage = fresh(100)
+            other = list(passage)
+            for at in r.sample(range(100), round(100 * (1 - share))):
+                other[at] = f"new{r.getrandbits(40)}"
+            rows += [(1000 * band + 2 * i, " ".join(fresh(40) + passage + fresh(40))), (1000 * band + 2 * i + 1, " ".join(fresh(20) + other + fresh(70)))]
+    rows += [(9000 + i, " ".join(fresh(150))) for i in range(100)]
+    got = {x.doc_id for x in chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {share: sum(i // 1000 == band for i in got) / (2 * n) for band, share in enumerate(floor)}
+    assert all(recall[s] >= floor[s] for s in floor) and not any(i >= 9000 for i in got), recall
+
+
 # --- the whole
 
 
