@@ -10,6 +10,7 @@ another, so linking each to the smallest of them loses no connection and never l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -19,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, materialise, need, salted_join
+from sparkloom.llm.common import connected_components, hot_join, join_counted, materialise, need, salted_join
+from sparkloom.llm.winnow import grams, mixed
 
 SEED = 42
 #: Leading bits that deal variants to groups.
@@ -28,6 +30,8 @@ TOP_BITS = 12
 GROUP_ROWS = 200_000
 #: Variants held in memory at once.
 CHUNK = 1 << 21
+#: Rows that a task gathers before it links the whole groups among them.
+GATHER = 200_000
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -65,6 +69,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     return need(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
 
 
+@lru_cache
 def _masks(bits: int, most: int) -> list[np.ndarray]:
     """At r: the numbers of ``bits`` bits with at most r set, for r from 0 to ``most``."""
     out = [[0]]
@@ -139,7 +144,7 @@ def _links(fps: np.ndarray, prefix: np.ndarray, width: np.ndarray, half: int, ra
 
 
 def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
-    """Each linked fingerprint's root within the partition, so that a partition sends a link a node at most."""
+    """Each linked fingerprint's root among these links, so that a piece of a partition sends a link a node at most."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -155,50 +160,80 @@ def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
     return {x: find(x) for x in parent}
 
 
+def _deal(values: np.ndarray, bits: int, top: int, half: int, extra: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, leading bits, how many) of the groups of variants that each value's ball reaches.
+
+    A group has ``top`` leading bits in common, and as many more as ``extra`` holds for it.
+    """
+    first = values >> np.uint64(bits - top)
+    for flip in _masks(top, half)[half].tolist():
+        bucket = first ^ np.uint64(flip)
+        more = extra[bucket.astype(np.int64)]
+        for k in np.unique(more).tolist():
+            own = np.flatnonzero(more == k)
+            sub = values[own] >> np.uint64(bits - top - k) & np.uint64((1 << k) - 1)
+            for m in _masks(k, half)[half - flip.bit_count()]:
+                yield own, bucket[own] << np.uint64(k) | sub ^ m, top + k
+
+
+def _extra(loads: np.ndarray, top: int, half: int, bits: int, most: int) -> np.ndarray:
+    """Further leading bits for each group, by the rows that its variants come from: about ``most`` rows a group."""
+    reach = sum(loads[..., np.arange(1 << top) ^ int(m)] for m in _masks(top, half)[half])
+    return np.clip(np.ceil(np.log2(np.maximum(reach, 1) / most)), 0, bits - top).astype(int)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Sorted rows in pieces of GATHER or more that hold whole groups of the first ``keys`` columns."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for b in batches:
+        held.append([np.asarray(c) for c in b.columns])
+        size += b.num_rows
+        if size >= GATHER:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            change = np.zeros(size - 1, bool)
+            for c in cols[:keys]:
+                change |= np.diff(c) != 0
+            cut = np.flatnonzero(change)
+            at = int(cut[-1]) + 1 if len(cut) else 0
+            if at:
+                yield [c[:at] for c in cols]
+            held, size = [[c[at:] for c in cols]], size - at
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b): links among the distinct values of column ``fp`` that connect just those within ``radius`` bits.
 
     Groups whose load is above GROUP_ROWS get further leading bits, as many as a count per group asks for; that count
-    has 2**TOP_BITS rows at any size of input.
+    has 2**TOP_BITS rows at any size of input.  A task reads its groups in order and holds some of them at a time.
     """
     half = (radius + 1) // 2
     loads = np.zeros(1 << TOP_BITS)
     top = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")
     for r in fps.groupBy(top.alias("top")).count().collect():
         loads[r["top"]] = r["count"]
-    flips = [int(m) for m in _masks(TOP_BITS, half)[half]]
-    reach = sum(loads[np.arange(1 << TOP_BITS) ^ m] for m in flips)
-    extra = np.clip(np.ceil(np.log2(np.maximum(reach, 1) / GROUP_ROWS)), 0, 24).astype(int)
+    extra = _extra(loads, TOP_BITS, half, 36, GROUP_ROWS)
     schema = pa.schema([("prefix", pa.int64()), ("width", pa.int32()), ("fp", pa.int64())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subs = {k: _masks(k, half) for k in np.unique(extra).tolist()}
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
                 fp = np.asarray(b.column(0).slice(at, 20_000)).view(np.uint64)
-                first = fp >> np.uint64(64 - TOP_BITS)
-                for flip in flips:
-                    bucket = first ^ np.uint64(flip)
-                    more = extra[bucket.astype(np.int64)]
-                    for k in np.unique(more).tolist():
-                        own = more == k
-                        sub = fp[own] >> np.uint64(64 - TOP_BITS - k) & np.uint64((1 << k) - 1)
-                        for m in subs[k][half - flip.bit_count()]:
-                            prefix = bucket[own] << np.uint64(k) | sub ^ m
-                            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(np.full(len(prefix), TOP_BITS + k, np.int32)), pa.array(fp[own].view(np.int64))], schema=schema)
+                for own, prefix, width in _deal(fp, 64, TOP_BITS, half, extra):
+                    yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(np.full(len(prefix), width, np.int32)), pa.array(fp[own].view(np.int64))], schema=schema)
 
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.asarray(b.column(2)).view(np.uint64), np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1))) for b in batches if b.num_rows]
-        if not parts:
-            return
-        got = _forest(_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), half, radius))
-        if got:
-            nodes = np.array(list(got.items()), dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[:, 0].copy()), pa.array(nodes[:, 1].copy())], schema=links)
+        for prefix, width, fp in _whole_groups(batches, 2):
+            got = _forest(_links(fp.view(np.uint64), prefix.view(np.uint64), width, half, radius))
+            if got:
+                nodes = np.array(list(got.items()), dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[:, 0].copy()), pa.array(nodes[:, 1].copy())], schema=links)
 
-    dealt = fps.select("fp").mapInArrow(deal, "prefix long, width int, fp long").repartition("prefix", "width")
+    dealt = fps.select("fp").mapInArrow(deal, "prefix long, width int, fp long").repartition("prefix", "width").sortWithinPartitions("prefix", "width")
     return dealt.mapInArrow(link, "a long, b long").where("a <> b")
 
 
@@ -221,26 +256,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-#: The wide fingerprint: eight 64-bit words.  Twelve tables of 40 bits are cut from the first 480 bits.
-WIDE_WORDS, TABLES, TABLE_BITS = 8, 12, 40
-#: Of 512 bits: texts within TIGHT are surely alike (0.9 or more); beyond LOOSE they surely aren't (under 0.74).
-TIGHT, LOOSE = 32, 97
-#: Where texts at 0.8 are on average.
-MIDDLE = 77
+#: The wide fingerprint: TABLES tables of TABLE_BITS bits, ball-hashed side by side, and a word to check candidates by.
+TABLES, TABLE_BITS, TABLE_RADIUS = 38, 32, 2
+WIDE_WORDS = TABLES * TABLE_BITS // 64 + 1
+#: Of 1280 bits: texts within TIGHT are surely alike (0.9 or more), beyond LOOSE they surely aren't (under 0.73); at 0.8
+#: they are MIDDLE apart on average.  All hold for texts of SHORT shingles or more; shorter ones are compared as texts
+#: within LOOSE_SHORT.
+TIGHT, MIDDLE, LOOSE, LOOSE_SHORT, SHORT = 123, 194, 236, 330, 32
 CHECK_BITS = 20
-WIDE_TOP = 6
+#: Leading bits that deal a table's variants to groups, and rows that a group may hold before more divide it.
+TABLE_TOP, TABLE_ROWS = 4, 100_000
+#: A variant's rows that give all their pairs at once, and the tables that link larger sets to their first row.
+SMALL, STAR_TABLES = 8, 6
 
 
-def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
-    """512-bit SimHash over the set of word shingles of the whole text; no words: 0."""
-    data = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not data:
-        return np.zeros(WIDE_WORDS, np.uint64)
-    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
-    digest, count = xxhash.xxh64_intdigest, max(1, len(gaps) + 2 - words)
-    h = np.fromiter((digest(data[s:e], SEED) for s, e in zip(starts[:count].tolist(), ends[-count:].tolist(), strict=True)), np.uint64, count)
-    h = np.unique(h)
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Different hashes of the word shingles of the whole text."""
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(grams(mixed(ws), min(words, len(ws)))) if ws else np.zeros(0, np.uint64)
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE_WORDS words over a set of shingle hashes; none: 0."""
     total = np.zeros(64 * WIDE_WORDS, np.int64)
     for at in range(0, len(h), 4080):
         part = h[at : at + 4080]
@@ -256,92 +293,43 @@ def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
     return np.packbits(2 * total > len(h), bitorder="little").view("<u8").astype(np.uint64)
 
 
-def _tables(wide: np.ndarray) -> np.ndarray:
-    """The tables' bits of rows of wide fingerprints, as numbers."""
-    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")[:, : TABLES * TABLE_BITS]
-    weights = np.uint64(1) << np.arange(TABLE_BITS, dtype=np.uint64)
-    return (bits.reshape(len(wide), TABLES, TABLE_BITS) * weights).sum(axis=2, dtype=np.uint64)
-
-
-def _forest_by_check(pairs: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Of candidate pairs of rows, a spanning forest that takes the pairs with the nearest check words first."""
-    n = len(check)
-    root = np.arange(n)
-    far = np.bitwise_count(check[pairs[:, 0]] ^ check[pairs[:, 1]])
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], far))]
-    out: list[np.ndarray] = []
-    while len(pairs):
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-        a, b = root[pairs[:, 0]], root[pairs[:, 1]]
-        pairs, a, b = pairs[a != b], a[a != b], b[a != b]
-        if not len(pairs):
-            break
-        # the nearest pair of every tree joins it to another; a tree joins a smaller one, so that no ring can close
-        both, mine = np.concatenate((a, b)), np.concatenate((np.arange(len(a)),) * 2)
-        order = np.lexsort((mine, both))
-        first = np.concatenate(([True], np.diff(both[order]) != 0))
-        chosen = np.unique(mine[order][first])
-        made = []
-        for i, x, y in zip(chosen.tolist(), a[chosen].tolist(), b[chosen].tolist(), strict=True):
-            while root[x] != x:
-                x = root[x]
-            while root[y] != y:
-                y = root[y]
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                made.append(i)
-        out.append(pairs[made])
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
-def _across(group: np.ndarray, who: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of one variant group that have different roots, some CHUNK at a time."""
-    order = np.lexsort((who, roots[who], group))
-    group, who = group[order], who[order]
-    new = np.diff(group) != 0
-    ends = [np.append(np.flatnonzero(cut) + 1, len(who)) for cut in (new, new | (np.diff(roots[who]) != 0))]
-    group_end, root_end = (e[np.searchsorted(e, np.arange(len(who)), "right")] for e in ends)
-    count = group_end - root_end
+def _across(bucket: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one bucket that have different roots, some CHUNK at a time."""
+    order = np.lexsort((roots, bucket))
+    new = np.diff(bucket[order]) != 0
+    ends = [np.append(np.flatnonzero(cut) + 1, len(order)) for cut in (new, new | (np.diff(roots[order]) != 0))]
+    bucket_end, root_end = (e[np.searchsorted(e, np.arange(len(order)), "right")] for e in ends)
+    count = bucket_end - root_end
     total = np.cumsum(count)
     lo = 0
-    while lo < len(who):
+    while lo < len(order):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK, "right")))
         n = count[lo:hi]
         first = np.repeat(root_end[lo:hi] - (np.cumsum(n) - n), n)
-        yield np.repeat(who[lo:hi], n), who[first + np.arange(len(first))]
+        yield order[np.repeat(np.arange(lo, hi), n)], order[first + np.arange(len(first))]
         lo = hi
 
 
-def _wide_candidates(values: np.ndarray, prefix: np.ndarray, check: np.ndarray, half: int, roots: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of rows of one group whose table values share a variant and whose check words are near: of each variant's
-    rows the head and the neighbour of each, or with ``roots`` all pairs that have different roots."""
-    low = TABLE_BITS - WIDE_TOP
+def _table_pairs(value: np.ndarray, flips: np.ndarray, width: int, group: np.ndarray, check: np.ndarray, stars: bool, roots: np.ndarray | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Pairs of rows of whole groups of one table and width that share a variant and whose check words are near.
+
+    ("pair", a, b): all pairs of a variant of SMALL rows at most, or with ``roots`` all of different roots, each once a
+    table; ("star", a, b): of larger ones, if ``stars``, each row with the first by check word and with the one before;
+    ("many", a, a): the rows of larger ones.
+    """
+    half, low = (TABLE_RADIUS + 1) // 2, TABLE_BITS - width
     lows = _masks(low, half)
-    flips = values >> np.uint64(low) ^ prefix
     used = np.bitwise_count(flips)
+    base = value ^ flips << np.uint64(low)
     sizes = np.array([len(lows[half - r]) for r in range(half + 1)])[used]
-    turns, found = max(1, -(-int(sizes.sum()) // CHUNK)), []
-    base = values ^ flips << np.uint64(low)
-    slab = max(1, CHUNK // len(lows[half]))
-
-    def at_home(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        near = (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS) & (a != b)
-        a, b = a[near], b[near]
-        # a pair counts in one group of its table only, so that a large cluster's links don't come from every group: the
-        # group of the smaller node's leading bits, with the first differing bits flipped if too many differ
-        home = values[a] >> np.uint64(low)
-        apart = home ^ values[b] >> np.uint64(low)
-        turned, rest = np.zeros_like(apart), apart.copy()
-        for _ in range(half):
-            first_bit = rest & (~rest + np.uint64(1))
-            turned, rest = turned | first_bit, rest ^ first_bit
-        home = np.where(np.bitwise_count(apart) <= half, home, home ^ turned)
-        code = np.unique(a[home == prefix[0]] << 32 | b[home == prefix[0]])
-        return np.stack([code >> 32, code & 0xFFFFFFFF], axis=1)
+    turns, slab = max(1, -(-int(sizes.sum()) // (4 * CHUNK))), max(1, CHUNK // len(lows[half]))
+
+    def near(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # a pair counts at the smallest variant that it shares only
+        apart = value[a] ^ value[b]
+        bit = apart & (~apart + np.uint64(1))
+        ok = (v == np.minimum(value[a] ^ bit, value[b] ^ bit)) & (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS)
+        return a[ok], b[ok]
 
     for turn in range(turns):
         vs, rows = [], []
@@ -356,80 +344,90 @@ def _wide_candidates(values: np.ndarray, prefix: np.ndarray, check: np.ndarray,
                     v, who = v[mine], who[mine]
                 vs.append(v)
                 rows.append(who)
+        if not vs:
+            return
         v, who = np.concatenate(vs), np.concatenate(rows)
-        s = np.sort(v)
-        dup = np.unique(s[1:][s[1:] == s[:-1]])
-        if not len(dup):
-            continue
-        at = np.searchsorted(dup, v)
-        at[at == len(dup)] = 0
-        hit = dup[at] == v
-        group, who = at[hit], who[hit]
+        order = np.lexsort((check[who], v, group[who]))
+        v, who = v[order], who[order]
+        new = np.concatenate(([True], (np.diff(v) != 0) | (np.diff(group[who]) != 0)))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(v)))
+        bucket = np.repeat(np.arange(len(start)), size)
+        shared = (size > 1)[bucket]
         if roots is not None:
-            found += [x for a, b in _across(group, who, roots) if len(x := at_home(np.minimum(a, b), np.maximum(a, b)))]
+            v, who, bucket = v[shared], who[shared], bucket[shared]
+            for a, b in _across(bucket, roots[who]):
+                yield "pair", *near(v[a], who[a], who[b])
             continue
-        order = np.lexsort((who, group))
-        group, who = group[order], who[order]
-        first = np.concatenate(([True], np.diff(group) != 0))
-        heads = who[np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))]
-        a = np.concatenate((heads[~first], who[:-1][~first[1:]]))
-        b = np.concatenate((who[~first], who[1:][~first[1:]]))
-        got = at_home(np.minimum(a, b), np.maximum(a, b))
-        if len(got):
-            found.append(got)
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-
-
-def wide_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): candidate links among rows (node, wide array<long>), by ball hashing of each table.
-
-    Of rows without a column ``root`` come a few links a node, enough to connect all that meet, nearest check words
-    first; they say nothing about pairs that were left out.  Of rows with one come all pairs of different roots.
+        large = (size > SMALL)[bucket]
+        small = shared & ~large
+        v_small, who_small, bucket_small = v[small], who[small], bucket[small]
+        for step in range(1, SMALL):
+            i = np.flatnonzero(bucket_small[step:] == bucket_small[:-step]) if len(bucket_small) > step else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            yield "pair", *near(v_small[i], who_small[i], who_small[i + step])
+        if large.any():
+            many = np.unique(who[large])
+            yield "many", many, many
+        if stars and large.any():
+            at = np.flatnonzero(large & ~new & (used[who] == 0))  # a row tells its links in the group of its own leading bits
+            for other in (start[bucket[at]], at - 1):
+                a, b = who[at], who[other]
+                ok = np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS
+                yield "star", a[ok], b[ok]
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates among rows (node, wide array<long>), by ball hashing of each table; b null: a row that shares a
+    variant with more than SMALL others, whose pairs aren't all among the candidates.
+
+    With a column ``root`` come all pairs of different roots that share a variant.
     """
-    half, rooted = (radius + 1) // 2, "root" in nodes.columns
-    kinds = pa.schema([("part", pa.int32()), ("value", pa.int64()), ("check", pa.int64()), ("node", pa.int64())] + [("root", pa.int64())] * rooted)
-    flips = _masks(WIDE_TOP, half)[half]
+    half, rooted = (TABLE_RADIUS + 1) // 2, "root" in nodes.columns
+    loads = np.zeros((TABLES, 1 << TABLE_TOP))
+    top = F.expr(f"shiftrightunsigned(element_at(wide, cast(t div 2 as int) + 1), case when t % 2 = 0 then {32 - TABLE_TOP} else {64 - TABLE_TOP} end) & {(1 << TABLE_TOP) - 1}")
+    for r in nodes.select("wide", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t")).groupBy("t", top.cast("int").alias("top")).count().collect():
+        loads[r["t"], r["top"]] = r["count"]
+    extra = _extra(loads, TABLE_TOP, half, TABLE_BITS, TABLE_ROWS)
+    names = ["key", "value", "check", "node"] + ["root"] * rooted
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                node = np.asarray(b.column(0).slice(at, 2000))
-                wide = np.stack(b.column(1).slice(at, 2000).to_numpy(zero_copy_only=False)).view(np.uint64)
-                values, check = _tables(wide), np.ascontiguousarray(wide[:, -1])
-                part = (values >> np.uint64(TABLE_BITS - WIDE_TOP))[:, :, None] ^ flips[None, None, :] | (np.arange(TABLES, dtype=np.uint64) << np.uint64(WIDE_TOP))[None, :, None]
-                each = TABLES * len(flips)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(part.ravel().astype(np.int32)), pa.array(np.repeat(values.ravel(), len(flips)).view(np.int64)),
-                    pa.array(np.repeat(check, each).view(np.int64)), *[pa.array(np.repeat(x, each)) for x in (node, *(np.asarray(c.slice(at, 2000)) for c in b.columns[2:]))],
-                ], schema=kinds)
+            node, *root = (np.asarray(c) for i, c in enumerate(b.columns) if i != 1)
+            wide = np.asarray(b.column(1).flatten()).view(np.uint64).reshape(b.num_rows, WIDE_WORDS)
+            check = wide[:, -1].copy().view(np.int64)
+            for t in range(TABLES):
+                value = wide[:, t // 2] >> np.uint64(32 * (t % 2)) & np.uint64(0xFFFFFFFF)
+                for own, prefix, width in _deal(value, TABLE_BITS, TABLE_TOP, half, extra[t]):
+                    # table, width and leading bits are one key
+                    key = prefix | np.uint64((t << 6 | width) << 32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, value[own])] + [pa.array(x[own]) for x in (check, node, *root)], names=names)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
-        if not got:
-            return
-        part, value, check, node, *root = (np.concatenate(x) for x in zip(*got, strict=True))
-        names, index = np.unique(node, return_inverse=True)
-        order = np.lexsort((index, part))
-        part, value, check, index = part[order], value[order].view(np.uint64), check[order].view(np.uint64), index[order]
-        words = np.zeros(len(names), np.uint64)
-        words[index] = check
-        root = root[0][order] if rooted else None
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-        found = []
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            prefix = np.full(hi - lo, int(part[lo]) & (1 << WIDE_TOP) - 1, np.uint64)
-            pairs = index[lo:hi][_wide_candidates(value[lo:hi], prefix, check[lo:hi], half, root[lo:hi] if rooted else None)]
-            if len(pairs) and rooted:
-                pairs = names[np.unique(np.sort(pairs, axis=1), axis=0)]
+        for key, value, check, node, *root in _whole_groups(batches, 1):
+            kind, found = key >> 32, {"pair": [], "star": [], "many": []}
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(kind)) + 1, [len(key)]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                width, table = int(kind[lo]) & 63, int(kind[lo]) >> 6
+                v = value[lo:hi].view(np.uint64)
+                flips = v >> np.uint64(TABLE_BITS - width) ^ key[lo:hi].view(np.uint64) & np.uint64(0xFFFFFFFF)
+                own = node[lo:hi]
+                for what, a, b in _table_pairs(v, flips, width, key[lo:hi], check[lo:hi].view(np.uint64), table < STAR_TABLES, root[0][lo:hi] if rooted else None):
+                    if what == "pair" and len(a):
+                        pairs = np.stack([np.minimum(own[a], own[b]), np.maximum(own[a], own[b])], axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                    elif what != "pair" and len(a):
+                        found[what].append(np.stack([np.minimum(own[a], own[b]), np.maximum(own[a], own[b])], axis=1))
+            if found["star"]:
+                pairs = np.unique(np.concatenate(found["star"]), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-            elif len(pairs):
-                found.append(_forest_by_check(np.unique(np.sort(pairs, axis=1), axis=0), words))
-        if found:
-            pairs = names[_forest_by_check(np.unique(np.concatenate(found), axis=0), words)]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            if found["many"]:
+                many = np.unique(np.concatenate(found["many"])[:, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(many), pa.nulls(len(many), pa.int64())], names=["a", "b"])
 
-    dealt = nodes.select("node", "wide", *["root"] * rooted).mapInArrow(deal, "part int, value long, check long, node long" + ", root long" * rooted).repartition("part")
-    return dealt.mapInArrow(link, "a long, b long")
+    dealt = nodes.select("node", "wide", *["root"] * rooted).mapInArrow(deal, "key long, value long, check long, node long" + ", root long" * rooted)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
 
 
 def shingle_set(text: str, words: int) -> set[bytes]:
@@ -441,37 +439,43 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     """The rows of ``docs``, all columns, without near-duplicates: one row of each group stays, that with the smallest id.
 
     Two texts are linked if the sets of their word shingles have a Jaccard similarity of ``similarity`` or more; groups
-    are connected over links.  Texts at 0.8 differ in some 15 % of a SimHash's bits, beyond the reach of one ball of
-    radius 4 in 64 bits, so twelve tables of 40 bits are ball-hashed side by side (a pair at 0.8 collides in one of
-    them with a chance of 96 %, at 0.85 of 99.7 %) and verified: within TIGHT bits of the 512-bit fingerprint a pair
-    links, beyond LOOSE it doesn't, and between the two the texts themselves are compared.
+    are connected over links.  Texts at 0.8 differ in some 15 % of a SimHash's bits, beyond the reach of one ball in 64
+    bits, so TABLES tables of TABLE_BITS bits are ball-hashed side by side (a pair at 0.8 shares a variant of one of them
+    with a chance of 99 %) and verified: within TIGHT bits of the wide fingerprint a pair links, beyond LOOSE it doesn't,
+    and between the two the texts themselves are compared.  The bits say less of texts of few shingles: those are
+    compared as texts, and with under some 12 shingles one pair at 0.8 in six isn't found.
 
     Null and empty texts form one group; repeated rows are one group; of rows with a null id one stays before others;
-    an empty table stays empty.
+    an empty table stays empty; further columns may have any names.
     """
     cols = docs.columns
     kind = docs.schema[id_col].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = np.stack([wide_fingerprint(t.as_py(), words) for t in b.column(2)]) if b.num_rows else np.zeros((0, WIDE_WORDS), np.uint64)
+            hashes = [shingle_hashes(t.as_py(), words) for t in b.column(2)]
+            wide = np.stack([wide_fingerprint(h) for h in hashes]) if b.num_rows else np.zeros((0, WIDE_WORDS), np.uint64)
             node = np.fromiter((xxhash.xxh64_intdigest(w.tobytes(), 0) for w in wide), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], names=["id", "hash", "node", "wide"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WIDE_WORDS), pa.array(wide.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), lists, pa.array([len(h) for h in hashes], pa.int32())], names=["id", "k", "node", "wide", "n"])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    own = materialise(keyed.mapInArrow(prints, f"id {kind}, hash long, node long, wide array<long>"), "wide")
-    nodes = own.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("first"), F.min("wide").alias("wide"))
+    key = F.xxhash64(F.col(f"`{id_col}`"), text)  # rows that repeat have one key
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("k"), text.alias("text"))
+    own = materialise(keyed.mapInArrow(prints, f"id {kind}, k long, node long, wide array<long>, n int"), "wide")
+    nodes = own.groupBy("node").agg(F.min(F.struct("id", "k")).alias("first"), F.min("wide").alias("wide"), F.min("n").alias("n"))
     nodes = materialise(nodes, "nodes")
-    bits = nodes.select("node", "wide")
+    bits = nodes.select("node", "wide", (F.col("n") < SHORT).alias("short"))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """(a, b, far): the candidates within LOOSE bits."""
-        pairs = materialise(pairs.distinct(), "candidates")
-        half = salted_join(pairs.withColumnRenamed("a", "node"), bits, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("wide").alias("wa"))
-        both = salted_join(half, bits, "node", F.col("a")).select("a", F.col("node").alias("b"), F.zip_with("wa", "wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))).alias("d"))
-        both = both.select("a", "b", F.aggregate("d", F.lit(0), lambda s, x: s + x).alias("far"))
-        return materialise(both.where(F.col("far") <= LOOSE), "near")
+        """(a, b, far, short): the candidates within LOOSE bits, or LOOSE_SHORT where one is short."""
+        half = salted_join(pairs.withColumnRenamed("a", "node"), bits, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("wide").alias("wa"), F.col("short").alias("sa"))
+        both = salted_join(half, bits, "node", F.col("a")).select("a", F.col("node").alias("b"), F.zip_with("wa", "wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))).alias("d"), (F.col("sa") | F.col("short")).alias("short"))
+        both = both.select("a", "b", F.aggregate("d", F.lit(0), lambda s, x: s + x).alias("far"), "short")
+        return materialise(both.where(F.col("far") <= F.when(F.col("short"), LOOSE_SHORT).otherwise(LOOSE)), "near")
+
+    def tight(pairs: DataFrame) -> DataFrame:
+        return pairs.where((F.col("far") <= TIGHT) & ~F.col("short")).select("a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -484,12 +488,11 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
 
     def alike(pairs: DataFrame) -> DataFrame:
         """(a, b): the pairs whose texts are alike."""
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first"), "node")
-        asked = asked.select("node", F.col("first.id").alias("id"), F.col("first.hash").alias("hash"))
-        texts = keyed.join(asked, keyed["id"].eqNullSafe(asked["id"]) & (keyed["hash"] == asked["hash"])).select("node", "text")
-        texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-        full = salted_join(pairs.select(F.col("a").alias("node"), "b"), texts, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("text").alias("ta"))
-        full = salted_join(full, texts, "node", F.col("a")).select("a", F.col("node").alias("b"), "ta", F.col("text").alias("tb"))
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first.k"), "node")
+        texts = join_counted(keyed.select("k", "text"), materialise(asked, "asked"), ["k"]).groupBy("node").agg(F.first("text").alias("text"))
+        texts = materialise(texts, "texts")
+        full = hot_join(pairs.select(F.col("a").alias("node"), "b"), texts, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("text").alias("ta"))
+        full = hot_join(full, texts, "node", F.col("a"), counted=pairs.select(F.col("b").alias("node"))).select("a", F.col("node").alias("b"), "ta", F.col("text").alias("tb"))
         return materialise(full.mapInArrow(verify, "a long, b long"), "sure")
 
     def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -510,24 +513,38 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
             links = links.unionByName(x.select(F.col("node").alias("a"), F.col("root").alias("b")) if "root" in x.columns else x.select("a", "b"))
         return materialise(connected_components(links), "roots")
 
-    # first a few links a node, which join the large groups; then all pairs that meet and lie in different groups
-    first = near(wide_links(nodes))
-    roots = joined(first.where(F.col("far") <= TIGHT).select("a", "b"))
-    tried = nearest(between(first, roots))
+    # first all pairs of variants that few rows share, and a few links a row of others, which join the large groups; then
+    # of those others all pairs that lie in different groups
+    found = materialise(wide_links(nodes), "candidates")
+    pairs = near(found.where("b is not null"))
+    roots = joined(tight(pairs))
+    tried = nearest(between(pairs, roots))
     roots = joined(alike(tried), roots)
-    grouped = nodes.join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("root"))
-    rest = near(wide_links(materialise(grouped, "grouped")))
-    roots = joined(rest.where(F.col("far") <= TIGHT).select("a", "b"), roots)
-    # of the loose pairs the nearest of each two groups, then those within MIDDLE bits, then all: till one holds or none is left
-    for reach in (TIGHT, MIDDLE, LOOSE):
-        left = between(rest.join(tried, ["a", "b"], "left_anti"), roots)
+    many = found.where("b is null").select(F.col("a").alias("node"))
+    if not many.isEmpty():
+        grouped = nodes.select("node", "wide").join(many, "node", "left_semi").join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("root"))
+        rest = materialise(wide_links(materialise(grouped, "grouped")), "candidates")
+        rest = near(rest.join(pairs, ["a", "b"], "left_anti"))
+        roots = joined(tight(rest), roots)
+        pairs = pairs.unionByName(rest)
+    # of the other pairs the nearest of each two groups, then those within MIDDLE bits, then all: till one holds or none is left
+    for reach in (TIGHT, MIDDLE, LOOSE_SHORT):
+        left = between(pairs.join(tried, ["a", "b"], "left_anti"), roots)
         if left.isEmpty():
             break
         batch = nearest(left) if reach == TIGHT else left.where(F.col("far") <= reach).select("a", "b")
         roots = joined(alike(batch), roots)
         tried = tried.unionByName(batch)
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
-    marked = docs.withColumn("_hash_", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    out = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_hash_"] == kept["_hash"]), "left_semi")
-    return out.dropDuplicates([id_col, "_hash_"]).select(*[F.col(f"`{c}`") for c in cols])
+    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("k"))
+    repeats = own.groupBy("k").agg((F.count(F.lit(1)) > 1).alias("repeats"))
+    mark, flag = "kept", "repeats"
+    while {mark, flag} & set(cols):  # names that no column has
+        mark, flag = mark + "_", flag + "_"
+    kept = materialise(kept.join(repeats, "k").toDF(mark, flag), "kept")
+    rows = join_counted(docs.withColumn(mark, key), kept, [mark])
+    named = [F.col(f"`{c}`") for c in cols]
+    if kept.where(F.col(flag)).isEmpty():
+        return rows.select(*named)
+    # only rows that repeat, id and text, are shuffled to leave one of them
+    return rows.where(~F.col(flag)).select(*named).unionByName(rows.where(F.col(flag)).dropDuplicates([mark]).select(*named))
