@@ -260,14 +260,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
 TABLES, TABLE_BITS, TABLE_RADIUS = 38, 32, 2
 WIDE_WORDS = TABLES * TABLE_BITS // 64 + 1
 #: Of 1280 bits: texts within TIGHT are surely alike (0.9 or more), beyond LOOSE they surely aren't (under 0.73); at 0.8
-#: they are MIDDLE apart on average.  All hold for texts of SHORT shingles or more; shorter ones are compared as texts
-#: within LOOSE_SHORT.
-TIGHT, MIDDLE, LOOSE, LOOSE_SHORT, SHORT = 123, 194, 236, 330, 32
+#: they are 194 apart on average.  This holds for texts of SHORT shingles or more; shorter ones are compared as texts
+#: within LOOSE_SHORT.  Candidates within FAMILY bits (0.5) belong to one family.
+TIGHT, LOOSE, LOOSE_SHORT, FAMILY, SHORT = 123, 236, 330, 330, 32
 CHECK_BITS = 20
 #: Leading bits that deal a table's variants to groups, and rows that a group may hold before more divide it.
 TABLE_TOP, TABLE_ROWS = 4, 100_000
-#: A variant's rows that give all their pairs at once, and the tables that link larger sets to their first row.
-SMALL, STAR_TABLES = 8, 6
+#: Tables whose links gather texts that may be alike into families.
+STAR_TABLES = 6
+#: Texts of a family that a task compares with one another, or with as many others.
+BLOCK = 512
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -310,27 +312,16 @@ def _across(bucket: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray,
         lo = hi
 
 
-def _table_pairs(value: np.ndarray, flips: np.ndarray, width: int, group: np.ndarray, check: np.ndarray, stars: bool, roots: np.ndarray | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Pairs of rows of whole groups of one table and width that share a variant and whose check words are near.
-
-    ("pair", a, b): all pairs of a variant of SMALL rows at most, or with ``roots`` all of different roots, each once a
-    table; ("star", a, b): of larger ones, if ``stars``, each row with the first by check word and with the one before;
-    ("many", a, a): the rows of larger ones.
-    """
+def _table_pairs(value: np.ndarray, flips: np.ndarray, width: int, group: np.ndarray, check: np.ndarray, roots: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of whole groups of one table and width that share a variant and whose check words are near: with
+    ``roots`` all of different roots, each once a table; without, those of each row with the first, by check word, of the
+    rows within half the radius of its value, and with the one before it."""
     half, low = (TABLE_RADIUS + 1) // 2, TABLE_BITS - width
     lows = _masks(low, half)
     used = np.bitwise_count(flips)
     base = value ^ flips << np.uint64(low)
     sizes = np.array([len(lows[half - r]) for r in range(half + 1)])[used]
     turns, slab = max(1, -(-int(sizes.sum()) // (4 * CHUNK))), max(1, CHUNK // len(lows[half]))
-
-    def near(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # a pair counts at the smallest variant that it shares only
-        apart = value[a] ^ value[b]
-        bit = apart & (~apart + np.uint64(1))
-        ok = (v == np.minimum(value[a] ^ bit, value[b] ^ bit)) & (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS)
-        return a[ok], b[ok]
-
     for turn in range(turns):
         vs, rows = [], []
         for r in range(half + 1):
@@ -344,8 +335,6 @@ def _table_pairs(value: np.ndarray, flips: np.ndarray, width: int, group: np.nda
                     v, who = v[mine], who[mine]
                 vs.append(v)
                 rows.append(who)
-        if not vs:
-            return
         v, who = np.concatenate(vs), np.concatenate(rows)
         order = np.lexsort((check[who], v, group[who]))
         v, who = v[order], who[order]
@@ -353,41 +342,36 @@ def _table_pairs(value: np.ndarray, flips: np.ndarray, width: int, group: np.nda
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(v)))
         bucket = np.repeat(np.arange(len(start)), size)
-        shared = (size > 1)[bucket]
-        if roots is not None:
+        if roots is None:
+            at = np.flatnonzero(~new & (v == value[who]))
+            pairs = ((who[start[bucket[at]]], who[at]), (who[at - 1], who[at]))
+        else:
+            shared = (size > 1)[bucket]
             v, who, bucket = v[shared], who[shared], bucket[shared]
-            for a, b in _across(bucket, roots[who]):
-                yield "pair", *near(v[a], who[a], who[b])
-            continue
-        large = (size > SMALL)[bucket]
-        small = shared & ~large
-        v_small, who_small, bucket_small = v[small], who[small], bucket[small]
-        for step in range(1, SMALL):
-            i = np.flatnonzero(bucket_small[step:] == bucket_small[:-step]) if len(bucket_small) > step else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            yield "pair", *near(v_small[i], who_small[i], who_small[i + step])
-        if large.any():
-            many = np.unique(who[large])
-            yield "many", many, many
-        if stars and large.any():
-            at = np.flatnonzero(large & ~new & (used[who] == 0))  # a row tells its links in the group of its own leading bits
-            for other in (start[bucket[at]], at - 1):
-                a, b = who[at], who[other]
-                ok = np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS
-                yield "star", a[ok], b[ok]
+            pairs = _met(v, bucket, who, value, roots)
+        for a, b in pairs:
+            near = np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS
+            yield a[near], b[near]
 
 
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): candidates among rows (node, wide array<long>), by ball hashing of each table; b null: a row that shares a
-    variant with more than SMALL others, whose pairs aren't all among the candidates.
+def _met(v: np.ndarray, bucket: np.ndarray, who: np.ndarray, value: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different roots, at the smallest variant that they share only."""
+    for a, b in _across(bucket, roots[who]):
+        apart = value[who[a]] ^ value[who[b]]
+        bit = apart & (~apart + np.uint64(1))
+        least = v[a] == np.minimum(value[who[a]] ^ bit, value[who[b]] ^ bit)
+        yield who[a[least]], who[b[least]]
 
-    With a column ``root`` come all pairs of different roots that share a variant.
-    """
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates among rows (node, wide array<long>), by ball hashing of each table: a few links a row, of
+    STAR_TABLES tables, enough to gather families; or with a column ``root`` all pairs of different roots that share a
+    variant of any table."""
     half, rooted = (TABLE_RADIUS + 1) // 2, "root" in nodes.columns
-    loads = np.zeros((TABLES, 1 << TABLE_TOP))
+    tables = TABLES if rooted else STAR_TABLES
+    loads = np.zeros((tables, 1 << TABLE_TOP))
     top = F.expr(f"shiftrightunsigned(element_at(wide, cast(t div 2 as int) + 1), case when t % 2 = 0 then {32 - TABLE_TOP} else {64 - TABLE_TOP} end) & {(1 << TABLE_TOP) - 1}")
-    for r in nodes.select("wide", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t")).groupBy("t", top.cast("int").alias("top")).count().collect():
+    for r in nodes.select("wide", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")).groupBy("t", top.cast("int").alias("top")).count().collect():
         loads[r["t"], r["top"]] = r["count"]
     extra = _extra(loads, TABLE_TOP, half, TABLE_BITS, TABLE_ROWS)
     names = ["key", "value", "check", "node"] + ["root"] * rooted
@@ -397,7 +381,7 @@ def wide_links(nodes: DataFrame) -> DataFrame:
             node, *root = (np.asarray(c) for i, c in enumerate(b.columns) if i != 1)
             wide = np.asarray(b.column(1).flatten()).view(np.uint64).reshape(b.num_rows, WIDE_WORDS)
             check = wide[:, -1].copy().view(np.int64)
-            for t in range(TABLES):
+            for t in range(tables):
                 value = wide[:, t // 2] >> np.uint64(32 * (t % 2)) & np.uint64(0xFFFFFFFF)
                 for own, prefix, width in _deal(value, TABLE_BITS, TABLE_TOP, half, extra[t]):
                     # table, width and leading bits are one key
@@ -406,33 +390,87 @@ def wide_links(nodes: DataFrame) -> DataFrame:
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, value, check, node, *root in _whole_groups(batches, 1):
-            kind, found = key >> 32, {"pair": [], "star": [], "many": []}
+            kind, stars = key >> 32, []
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(kind)) + 1, [len(key)]))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                width, table = int(kind[lo]) & 63, int(kind[lo]) >> 6
+                width, own = int(kind[lo]) & 63, node[lo:hi]
                 v = value[lo:hi].view(np.uint64)
                 flips = v >> np.uint64(TABLE_BITS - width) ^ key[lo:hi].view(np.uint64) & np.uint64(0xFFFFFFFF)
-                own = node[lo:hi]
-                for what, a, b in _table_pairs(v, flips, width, key[lo:hi], check[lo:hi].view(np.uint64), table < STAR_TABLES, root[0][lo:hi] if rooted else None):
-                    if what == "pair" and len(a):
-                        pairs = np.stack([np.minimum(own[a], own[b]), np.maximum(own[a], own[b])], axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-                    elif what != "pair" and len(a):
-                        found[what].append(np.stack([np.minimum(own[a], own[b]), np.maximum(own[a], own[b])], axis=1))
-            if found["star"]:
-                pairs = np.unique(np.concatenate(found["star"]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-            if found["many"]:
-                many = np.unique(np.concatenate(found["many"])[:, 0])
-                yield pa.RecordBatch.from_arrays([pa.array(many), pa.nulls(len(many), pa.int64())], names=["a", "b"])
+                for a, b in _table_pairs(v, flips, width, key[lo:hi], check[lo:hi].view(np.uint64), root[0][lo:hi] if rooted else None):
+                    pairs = np.stack([np.minimum(own[a], own[b]), np.maximum(own[a], own[b])], axis=1)
+                    if rooted:
+                        yield as_batch(pairs)
+                    else:
+                        stars.append(pairs)
+            if stars:
+                yield as_batch(np.unique(np.concatenate(stars), axis=0))
+
+    def as_batch(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     dealt = nodes.select("node", "wide", *["root"] * rooted).mapInArrow(deal, "key long, value long, check long, node long" + ", root long" * rooted)
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
 
 
-def shingle_set(text: str, words: int) -> set[bytes]:
-    ws = text.encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))} if ws else set()
+def _alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have a Jaccard similarity of ``similarity`` or more; two empty ones have."""
+    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= similarity * (len(p) + len(q) - both)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows, in whole groups of the first column."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        key = np.asarray(b.column(0))
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else [0]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and held[0].column(0)[0].as_py() != key[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compare(rows: pa.Table, words: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect just the alike among texts of one block, or of two blocks between them: rows (task, node, block,
+    across, n, wide, text).  Pairs are taken nearest bits first, and only if nothing connects them yet."""
+    node, block, short = np.asarray(rows["node"]), np.asarray(rows["block"]), np.asarray(rows["n"]) < SHORT
+    if len(node) < 2:
+        return []
+    wide = np.asarray(rows["wide"].combine_chunks().flatten()).view(np.uint64).reshape(len(node), WIDE_WORDS)
+    across = bool(rows["across"][0].as_py())
+    found = []
+    for i in range(len(node) - 1):
+        far = np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1, dtype=np.int64)
+        ok = far <= np.where(short[i + 1 :] | short[i], LOOSE_SHORT, LOOSE)
+        if across:
+            ok &= block[i + 1 :] != block[i]
+        j = np.flatnonzero(ok)
+        found.append(np.stack([far[j], np.full(len(j), i), j + i + 1], axis=1))
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+    root, sets, out = list(range(len(node))), {}, []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def hashes(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = shingle_hashes(rows["text"][x].as_py(), words)
+        return sets[x]
+
+    for far, i, j in pairs.tolist():
+        x, y = find(i), find(j)
+        if x != y and (far <= TIGHT and not short[i] and not short[j] or _alike(hashes(i), hashes(j), similarity)):
+            root[max(x, y)] = min(x, y)
+            out.append((int(node[i]), int(node[j])))
+    return out
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -467,74 +505,47 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     nodes = materialise(nodes, "nodes")
     bits = nodes.select("node", "wide", (F.col("n") < SHORT).alias("short"))
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """(a, b, far, short): the candidates within LOOSE bits, or LOOSE_SHORT where one is short."""
+    def near(pairs: DataFrame, most: int) -> DataFrame:
+        """(a, b, far, short): the candidates within ``most`` bits, or LOOSE_SHORT where one is short."""
         half = salted_join(pairs.withColumnRenamed("a", "node"), bits, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("wide").alias("wa"), F.col("short").alias("sa"))
         both = salted_join(half, bits, "node", F.col("a")).select("a", F.col("node").alias("b"), F.zip_with("wa", "wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))).alias("d"), (F.col("sa") | F.col("short")).alias("short"))
         both = both.select("a", "b", F.aggregate("d", F.lit(0), lambda s, x: s + x).alias("far"), "short")
-        return materialise(both.where(F.col("far") <= F.when(F.col("short"), LOOSE_SHORT).otherwise(LOOSE)), "near")
+        return materialise(both.where(F.col("far") <= F.when(F.col("short"), LOOSE_SHORT).otherwise(most)), "near")
 
-    def tight(pairs: DataFrame) -> DataFrame:
-        return pairs.where((F.col("far") <= TIGHT) & ~F.col("short")).select("a", "b")
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """(node, text) of rows (node)."""
+        asked = materialise(asked.join(nodes.select("node", "first.k"), "node"), "asked")
+        return join_counted(keyed.select("k", "text"), asked, ["k"]).groupBy("node").agg(F.first("text").alias("text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = shingle_set(x.as_py(), words), shingle_set(y.as_py(), words)
-                both = len(p & q)
-                keep.append(both >= similarity * (len(p) + len(q) - both))
+            keep = [_alike(shingle_hashes(x.as_py(), words), shingle_hashes(y.as_py(), words), similarity) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """(a, b): the pairs whose texts are alike."""
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first.k"), "node")
-        texts = join_counted(keyed.select("k", "text"), materialise(asked, "asked"), ["k"]).groupBy("node").agg(F.first("text").alias("text"))
-        texts = materialise(texts, "texts")
-        full = hot_join(pairs.select(F.col("a").alias("node"), "b"), texts, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("text").alias("ta"))
-        full = hot_join(full, texts, "node", F.col("a"), counted=pairs.select(F.col("b").alias("node"))).select("a", F.col("node").alias("b"), "ta", F.col("text").alias("tb"))
-        return materialise(full.mapInArrow(verify, "a long, b long"), "sure")
-
-    def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """(a, b, far, ra, rb): the pairs that lie in different groups."""
-        for side in ("a", "b"):
-            pairs = salted_join(pairs.withColumnRenamed(side, "node"), roots, "node", F.col("far"), "left").withColumn(f"root_{side}", F.coalesce("root", "node")).drop("root").withColumnRenamed("node", side)
-        pairs = pairs.where("root_a <> root_b")
-        return materialise(pairs.select("a", "b", "far", F.least("root_a", "root_b").alias("ra"), F.greatest("root_a", "root_b").alias("rb")), "between")
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        """Of each two groups the pair with the nearest bits."""
-        best = pairs.groupBy("ra", "rb").agg(F.min(F.struct("far", "a", "b")).alias("best"))
-        return materialise(best.select("best.a", "best.b"), "loose")
-
-    def joined(links: DataFrame, *more: DataFrame) -> DataFrame:
-        """(node, root) of the groups that links and groups make."""
-        for x in more:
-            links = links.unionByName(x.select(F.col("node").alias("a"), F.col("root").alias("b")) if "root" in x.columns else x.select("a", "b"))
-        return materialise(connected_components(links), "roots")
-
-    # first all pairs of variants that few rows share, and a few links a row of others, which join the large groups; then
-    # of those others all pairs that lie in different groups
-    found = materialise(wide_links(nodes), "candidates")
-    pairs = near(found.where("b is not null"))
-    roots = joined(tight(pairs))
-    tried = nearest(between(pairs, roots))
-    roots = joined(alike(tried), roots)
-    many = found.where("b is null").select(F.col("a").alias("node"))
-    if not many.isEmpty():
-        grouped = nodes.select("node", "wide").join(many, "node", "left_semi").join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("root"))
-        rest = materialise(wide_links(materialise(grouped, "grouped")), "candidates")
-        rest = near(rest.join(pairs, ["a", "b"], "left_anti"))
-        roots = joined(tight(rest), roots)
-        pairs = pairs.unionByName(rest)
-    # of the other pairs the nearest of each two groups, then those within MIDDLE bits, then all: till one holds or none is left
-    for reach in (TIGHT, MIDDLE, LOOSE_SHORT):
-        left = between(pairs.join(tried, ["a", "b"], "left_anti"), roots)
-        if left.isEmpty():
-            break
-        batch = nearest(left) if reach == TIGHT else left.where(F.col("far") <= reach).select("a", "b")
-        roots = joined(alike(batch), roots)
-        tried = tried.unionByName(batch)
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            links = _compare(rows, words, similarity)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    # families: connected by candidates within the bits; whatever meets in any table and lies in two families is compared
+    families = materialise(connected_components(near(materialise(wide_links(nodes), "candidates"), FAMILY).select("a", "b")), "families")
+    grouped = materialise(nodes.join(families, "node", "left").select("node", "wide", "n", F.coalesce("root", "node").alias("root")), "grouped")
+    pairs = near(materialise(wide_links(grouped.select("node", "wide", "root")), "candidates"), LOOSE)
+    surely = (F.col("far") <= TIGHT) & ~F.col("short")
+    doubtful = materialise(pairs.where(~surely).select("a", "b"), "doubtful")
+    texts = materialise(texts_of(doubtful.select(F.col("a").alias("node")).unionByName(doubtful.select(F.col("b").alias("node"))).distinct()), "texts")
+    full = hot_join(doubtful.withColumnRenamed("a", "node"), texts, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("text").alias("ta"))
+    full = hot_join(full, texts, "node", F.col("a"), counted=doubtful.withColumnRenamed("b", "node")).select("a", F.col("node").alias("b"), "ta", F.col("text").alias("tb"))
+    links = materialise(full.mapInArrow(verify, "a long, b long"), "sure").unionByName(pairs.where(surely).select("a", "b"))
+    # within a family all are compared with all, block by block: a task holds two blocks and tells no more than links
+    sizes = grouped.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialise(salted_join(grouped, sizes, "root", F.col("node")).select("node", "root", "wide", "n", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
+    members = members.join(texts_of(members.select("node")), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task")
+    members = members.select(task, "node", "block", F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("across"), "n", "wide", "text").repartition("task").sortWithinPartitions("task", "node")
+    links = links.unionByName(materialise(members.mapInArrow(inside, "a long, b long"), "links"))
+    roots = materialise(connected_components(links), "roots")
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("k"))
     repeats = own.groupBy("k").agg((F.count(F.lit(1)) > 1).alias("repeats"))

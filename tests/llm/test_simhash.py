@@ -20,6 +20,11 @@ def plain(text, words):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def shingle_set(text, words):
+    ws = text.lower().split()
+    return {tuple(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))} if ws else set()
+
+
 def components(n, linked):
     root = list(range(n))
 
@@ -113,8 +118,7 @@ def test_deduplicate_odd_rows(spark):
 
 
 def test_candidates_are_all_pairs_that_share_a_variant(spark, monkeypatch):
-    """Also with groups divided by more leading bits, with pieces of a few rows, and in turns; pairs of variants that many
-    rows share come with roots."""
+    """Also with groups divided by more leading bits, with pieces of a few rows, and in turns."""
     r = np.random.default_rng(1)
     wide = r.integers(0, 1 << 63, (120, simhash.WIDE_WORDS), dtype=np.uint64)
     for i in range(30, 120):  # thirty single ones, a family of sixty, thirty copies of one or two
@@ -135,15 +139,15 @@ def test_candidates_are_all_pairs_that_share_a_variant(spark, monkeypatch):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
         own = df.withColumn("root", F.col("node"))
         assert {tuple(x) for x in simhash.wide_links(own).collect()} == want
-        got = simhash.wide_links(df).collect()
-        many = {x.a for x in got if x.b is None}
-        pairs = {tuple(x) for x in got if x.b is not None}
-        assert pairs <= want and many and all(p in pairs or p[0] in many and p[1] in many for p in want)
+        few = {tuple(x) for x in simhash.wide_links(df).collect()}
+        assert len(want) > 1000 and few <= want and 100 < len(few) < 60 * simhash.STAR_TABLES * 2
 
 
-def test_deduplicate_dense_clusters(spark):
+@pytest.mark.parametrize("block", [512, 4])
+def test_deduplicate_dense_clusters(spark, monkeypatch, block):
     """Clusters of texts of one base with up to five words changed each: the same rows stay as by brute force."""
-    for seed in (1, 2):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    for seed in (1,):
         r = random.Random(seed)
         vocabulary = [f"word{i}" for i in range(3000)]
         rows = []
@@ -154,7 +158,7 @@ def test_deduplicate_dense_clusters(spark):
                 for at in r.sample(range(200), r.randint(0, 5)):
                     ws[at] = f"new{r.getrandbits(40)}"
                 rows.append((len(rows), " ".join(ws)))
-        sets = [simhash.shingle_set(t, 5) for _, t in rows]
+        sets = [shingle_set(t, 5) for _, t in rows]
         root = components(len(rows), lambda i, j: (both := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - both))
         got = {x.doc_id for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert set(root) <= got and len(got - set(root)) <= 1 and len(set(root)) < 120
@@ -169,7 +173,7 @@ def test_deduplicate_finds_pairs_by_similarity(spark):
         for _ in range(n):
             base = r.choices(vocabulary, k=400)
             other = edited(base, r, changes)
-            p, q = (simhash.shingle_set(" ".join(x), 5) for x in (base, other))
+            p, q = (shingle_set(" ".join(x), 5) for x in (base, other))
             pairs.append((len(rows), len(p & q) / len(p | q)))
             rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
     got = {x.doc_id for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -192,7 +196,7 @@ def test_deduplicate_pairs_in_a_family_of_look_alikes(spark):
     template = r.choices([f"word{i}" for i in range(3000)], k=500)
     base = [edited(template, r, 10) for _ in range(120)]
     rows = [(i, " ".join(ws)) for i, ws in enumerate(base)] + [(1000 + i, " ".join(edited(ws, r, 7))) for i, ws in enumerate(base)]
-    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    sets = [shingle_set(t, 5) for _, t in rows]
     root = components(len(rows), lambda i, j: (both := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - both))
     want = {rows[i][0] for i in root}
     assert want == set(range(120))
@@ -207,7 +211,7 @@ def test_deduplicate_tries_further_pairs_of_two_groups(spark):
         r = random.Random(seed)
         base = r.choices(vocabulary, k=500)
         texts = [[" ".join(edited(ws, r, r.randint(0, 2))) for _ in range(8)] for ws in (base, edited(base, r, 10))]
-        sets = [[simhash.shingle_set(t, 5) for t in side] for side in texts]
+        sets = [[shingle_set(t, 5) for t in side] for side in texts]
         bits = [[simhash.wide_fingerprint(simhash.shingle_hashes(t, 5)) for t in side] for side in texts]
         pairs = []
         for p, v in zip(sets[0], bits[0], strict=True):
