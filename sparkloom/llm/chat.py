@@ -17,6 +17,11 @@ def _header(role: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"))
 
 
+def _plain(text: Column) -> Column:
+    """A text with the template's marks broken up by a space."""
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def format_preferences(turns: DataFrame) -> DataFrame:
     """(pair_id, segment, turn, role, rendered, train_from, train_chars) of rows (pair_id, side, turn, role, text).
 
@@ -28,8 +33,8 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
     Null roles are user, null texts empty; rows without pair, side or turn, or with another side, are left out.  Of
     rows that repeat a turn, the smallest (role, text) counts.  Conversations that don't differ are all prompt, and a
-    conversation that is the start of the other has an empty completion.  Marks of the template within texts are
-    broken up by a space.  An empty table gives no rows.
+    conversation that is the start of the other has an empty completion.  Marks of the template within texts
+    and roles are broken up by a space.  An empty table gives no rows.
     """
     rows = need(turns, "pair_id", "side", "turn", "role", "text").where("pair_id is not null and turn is not null and side in ('chosen', 'rejected')")
     said = F.struct(F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -40,7 +45,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     prompt = F.col("first").isNull() | (F.col("turn") < F.col("first"))
     segment = lambda name, what: F.struct(F.lit(name).alias("segment"), F.col(what).alias("said"))
     parts = F.when(prompt, F.array(segment("prompt", "chosen"))).otherwise(F.array(segment("chosen", "chosen"), segment("rejected", "rejected")))
-    out = each.select("pair_id", "turn", F.explode(parts).alias("p")).where("p.said is not null").select("pair_id", F.col("p.segment").alias("segment"), "turn", F.col("p.said.role").alias("role"), F.replace("p.said.text", F.lit("<|"), F.lit("< |")).alias("text"))
+    out = each.select("pair_id", "turn", F.explode(parts).alias("p")).where("p.said is not null").select("pair_id", F.col("p.segment").alias("segment"), "turn", _plain(F.col("p.said.role")).alias("role"), _plain(F.col("p.said.text")).alias("text"))
     head, end = _header(F.col("role")), F.lit("<|end|>\n")
     trained = (F.col("segment") != "prompt") & (F.col("role") == "assistant")
     return out.select(
@@ -52,7 +57,11 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
 def cut_answers(conversations: DataFrame) -> DataFrame:
     """Pairs (pair_id, side, turn, role, text) of (conv_id, turn, role, text): a conversation is chosen over itself with
-    its last assistant turn cut to the first half of its words, the usual made-up negative of a broken-off answer."""
+    its last assistant turn cut to the first half of its words, the usual made-up negative of a broken-off answer.
+
+    A null conversation has no last turn and is not cut; null texts stay null; rows that repeat stay; a conversation
+    without an assistant is paired with itself unchanged; an empty table gives no rows.
+    """
     rows = need(conversations, "conv_id", "turn", "role", "text")
     last = rows.where("conv_id is not null").groupBy("conv_id").agg(F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"))
     rows = salted_join(rows, last, "conv_id", F.col("turn"))

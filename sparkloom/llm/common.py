@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators.joins import connected_components, salted_join
 from sparkloom.sources.shared import materialise, new_path
 
-__all__ = ["connected_components", "hot_join", "join_counted", "materialise", "need", "new_path", "salted_join"]
+__all__ = ["connected_components", "hash_bound", "hot_join", "join_counted", "materialise", "need", "new_path", "salted_join"]
 
 #: Bytes that a broadcast side may take on an executor.
 BROADCAST_BYTES = 64 << 20
@@ -49,3 +49,10 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, mix: Column, counted:
     spread = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(mix), copies).cast("int")).drop("_copies")
     copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
     return spread.join(copied, [key, "_salt"]).drop("_salt")
+
+
+def hash_bound(keys: DataFrame, rows: int) -> int:
+    """The hash up to which about ``rows`` rows (k) lie, never more unless hashes are equal: the smallest are found by a
+    top-k, which keeps ``rows`` values a task."""
+    top = keys.orderBy("k").limit(rows).agg(F.max("k")).first()[0]
+    return (1 << 63) - 1 if top is None else top

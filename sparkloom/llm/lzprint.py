@@ -80,7 +80,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of common phrases, 0 to 1; two empty fingerprints are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[: max(len(a), len(b))]
+    union = np.union1d(a, b)[:SIZE]  # sketches of fewer hashes are whole sets: their likeness is exact
     return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import need
+from sparkloom.llm.common import hash_bound, need
 
 BUCKETS = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
@@ -157,16 +157,20 @@ def _train(rows: list[np.ndarray], goal: np.ndarray, held: np.ndarray, most_fals
     return w, b, min(threshold, 0.99)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, most_false: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on about ``sample_rows`` labelled rows (all of them if there are fewer), chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, sample_words: int = 4_000, most_false: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on ``sample_rows`` labelled rows (all of them if there are fewer), those with the smallest hashes of id and text.
 
-    ``labels``: (id_col, quality, toxic).  The driver holds the sample's hashed features, some 4 KB a row.  Labels of
+    ``labels``: (id_col, quality, toxic).  The driver holds the sample's hashed features, some 4 KB a row, of a row at
+    most those of its first ``sample_words`` different words by hash.  Labels of
     rows that ``docs`` lacks are left out; null labels are votes for nothing; without labels, heuristics alone vote.
     """
     marks = need(labels, id_col, "quality", "toxic").groupBy(id_col).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    share = min(1.0, sample_rows / max(marks.count(), 1))
-    part = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 20))
-    chosen = need(docs, id_col, text_col).where(part < int(share * (1 << 20)) + 1).join(marks, id_col)
+    # first by ids, so that few texts are joined; then, as an id may repeat, by id and text
+    few = hash_bound(marks.select(F.xxhash64(F.col(f"`{id_col}`")).alias("k")), sample_rows)
+    marks = marks.where(F.xxhash64(F.col(f"`{id_col}`")) <= few)
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    chosen = need(docs, id_col, text_col).where(F.xxhash64(F.col(f"`{id_col}`")) <= few).join(marks, id_col)
+    chosen = chosen.where(key <= hash_bound(chosen.select(key.alias("k")), sample_rows))
     names = list(LABELLERS)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, most_false
                 text = text or ""
                 n, s = shapes(text)
                 words = set(WORD.findall(text.lower()))
-                own = {u for w in words for u in units(w)}
+                own = {u for w in (words if len(words) <= sample_words else sorted(words, key=lambda w: crc32(w.encode()))[:sample_words]) for u in units(w)}
                 votes = [LABELLERS[k](n, s) for k in names] + [NOTHING if quality is None else int(quality == 0)]
                 insult = BAD if words & INSULTS else NOTHING
                 out.append((np.array(sorted(own), "<u4").tobytes(), np.array(shape_units(n, s), "<u4").tobytes(), bytes(votes), insult, NOTHING if toxic is None else int(toxic != 0)))
@@ -235,7 +239,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the model doesn't reject."""
+    """The rows of ``docs``, all columns, that the model doesn't reject.
+
+    Null and empty texts are judged by their shape alone; rows that repeat are judged each, alike; an empty table stays
+    empty.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

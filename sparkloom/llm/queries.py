@@ -119,7 +119,7 @@ b as (select conv_id, turn, c.v a, r.v b from c full join r using (conv_id, turn
 f as (select conv_id, min(case when a is distinct from b then turn end) "first" from b group by 1),
 p as (select conv_id, turn, a, b, "first" is null or turn < "first" same from b join f using (conv_id)),
 s as (select conv_id pair_id, 'prompt' segment, turn, a v from p where same union all select conv_id, 'chosen', turn, a from p where not same and a is not null union all select conv_id, 'rejected', turn, b from p where not same and b is not null),
-t as (select pair_id, segment, turn, v[1] "role", replace(v[2], '<|', '< |') text from s)
+t as (select pair_id, segment, turn, replace(replace(v[1], '<|', '< |'), '|>', '| >') "role", replace(replace(v[2], '<|', '< |'), '|>', '| >') text from s)
 select pair_id, segment, turn, "role", '<|' || "role" || '|>' || chr(10) || text || '<|end|>' || chr(10) rendered,
   case when segment <> 'prompt' and "role" = 'assistant' then length("role") + 5 else 0 end::bigint train_from,
   case when segment <> 'prompt' and "role" = 'assistant' then length(text) + 7 else 0 end::bigint train_chars

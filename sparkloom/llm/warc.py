@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import need, new_path, salted_join
+from sparkloom.llm.common import materialise, need, new_path, salted_join
 
 # fixed values of the Zstandard seekable format
 SKIPPABLE, SEEKABLE, MAX_FRAME = 0x184D2A5E, 0x8F92EAB1, 1 << 30
@@ -145,7 +145,7 @@ def write_archives(
     groups = rows.select("sha", "page_id", F.octet_length("html").alias("n")).where(f"n >= {int(least_revisit_bytes)}")
     groups = groups.groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha", "first")
     rows = salted_join(rows, groups, "sha", F.col("page_id"), "left")
-    # a row that isn't the first of its group gives its payload up: only its length and digest are archived
+    # of a row that isn't the first of its group only the payload's length and digest are archived
     refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     rows = rows.select("page_id", "url", "html", refers.alias("refers_to"))
     fs, root = _open(out_dir)
@@ -206,9 +206,12 @@ def fetch(entry: dict) -> tuple[dict[str, str], bytes]:
 def read_archives(index: DataFrame) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest): the records of all bundles.
 
-    Reads each bundle named in the index by its own seek table, a frame at a time, and verifies block digests.
+    Reads each bundle named in the index by its own seek table, a frame at a time, and verifies block digests.  Records
+    without a page id have a null one; records that repeat are returned each; an empty index gives no rows.
     """
-    bundles = index.select("bundle").distinct().repartition("bundle")
+    # a bundle a task: the names are few bytes, so their number deals them out and no two are put together
+    bundles = materialise(index.select("bundle").distinct(), "bundles")
+    bundles = bundles.repartition(max(1, bundles.count()), "bundle")
     schema = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

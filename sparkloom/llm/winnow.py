@@ -169,7 +169,7 @@ def find_overlap(
     one a pass a block, whose hits are merged by a digest of the text.
 
     Null and empty texts have no words; null item texts match nothing; a null item id is left out of ``items`` but its
-    windows count; items or documents that repeat count each; an empty benchmark gives no hits.
+    windows count; documents that repeat count each, items that repeat an id once; an empty benchmark gives no hits.
     """
     row = "struct<start:int,stop:int>"
     out_type = f"id {docs.schema[id_col].dataType.simpleString()}, digest binary, n_words long, runs array<{row}>, items array<string>"
@@ -233,7 +233,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     """The rows of ``docs``, all columns, whose share of words in benchmark windows is at most ``most_share``.
 
     Rows are judged on their own text, so nothing is joined: a benchmark of more than one block is applied block after
-    block.  Null texts stay.
+    block.  Null and empty texts stay; rows that repeat are judged each, alike; null item texts match nothing; an empty
+    table stays empty and an empty benchmark leaves all rows.
     """
     at = docs.columns.index(text_col)
     out = docs
