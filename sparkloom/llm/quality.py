@@ -129,8 +129,8 @@ def _train(rows: list[np.ndarray], goal: np.ndarray, held: np.ndarray, most_fals
     """Weights, bias and threshold: logistic regression on soft goals, over the features that tell the goals apart."""
     own = np.flatnonzero(~held)
     counts = np.array([len(r) for r in rows], dtype=np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *rows])
-    row_of = np.repeat(np.arange(len(rows)), counts)
+    flat = np.concatenate([np.zeros(0, np.uint32), *rows])
+    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
     mine = ~held[row_of]
     bad = np.bincount(flat[mine], weights=goal[row_of[mine]], minlength=BUCKETS)
     both = np.bincount(flat[mine], minlength=BUCKETS)
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, sample_wor
 
     got = chosen.mapInArrow(features, "words binary, shape binary, votes binary, insult int, toxic int").collect()
     got.sort(key=lambda r: (bytes(r.words), bytes(r.shape), bytes(r.votes), r.toxic))
-    rows, forms = ([np.frombuffer(bytes(r[i]), "<u4").astype(np.int64) for r in got] for i in (0, 1))
+    rows, forms = ([np.frombuffer(bytes(r[i]), "<u4") for r in got] for i in (0, 1))
     held = np.arange(len(rows)) * 2654435761 % 1000 < 200
     quality_votes = np.array([list(bytes(r.votes)) for r in got], dtype=np.int64).reshape(len(rows), len(names) + 1)
     junk, accuracy, _ = estimate(quality_votes)
