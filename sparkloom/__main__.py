@@ -71,7 +71,7 @@ def _instances(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _model(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("feature int, weight double").csv(path, sep="\t")
+    return tables.parse_model(tables.read_lines(spark, path))
 
 
 def _ensemble(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

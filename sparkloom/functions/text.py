@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: separators and the edges that are stripped
 BLANKS = "[ \\t\\n\\r\\f]+"
 
 
@@ -23,12 +24,14 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.transform(raw_tokens(text), clean), lambda x: x != "")
 
 
-def first_words(text: str | Column, at: int = 100) -> Column:
-    """Distinct clean words at raw positions below ``at``, and the first one at or after it."""
-    cleaned = F.transform(raw_tokens(text), clean)
-    head = F.slice(cleaned, 1, at - 1)
-    rest = F.filter(F.slice(cleaned, at, F.greatest(F.size(cleaned) - at + 1, F.lit(0))), lambda x: x != "")
-    return F.array_distinct(F.concat(F.filter(head, lambda x: x != ""), F.slice(rest, 1, 1)))
+def first_words(raw: Column, at: int = 100) -> Column:
+    """Distinct clean words at positions of raw tokens below ``at``, and the first one at or after it.
+
+    Only the head and that one are cleaned: a token is clean and not empty just if it has a letter of a to z.
+    """
+    tail = F.filter(F.slice(raw, at, F.greatest(F.size(raw) - at + 1, F.lit(0))), lambda x: x.rlike("[a-z]"))
+    few = F.filter(F.slice(raw, 1, at - 1), lambda x: x.rlike("[a-z]"))
+    return F.array_distinct(F.transform(F.concat(few, F.slice(tail, 1, 1)), clean))
 
 
 def snippet(text: str | Column, most: int = 80) -> Column:
@@ -40,7 +43,3 @@ def snippet(text: str | Column, most: int = 80) -> Column:
 def feature_id(word: Column) -> Column:
     """A feature number below 2**20, the same in any engine with md5."""
     return F.conv(F.substring(F.md5(word), 1, 5), 16, 10).cast("int")
-
-
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import first_words, tokens
+from sparkloom.functions.text import first_words, raw_tokens, tokens
+from sparkloom.operators.joins import salted_join
+from sparkloom.sources.shared import materialise
 
 
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -37,7 +39,8 @@ def pmi_pairs(docs: DataFrame, least: int = 10, at: int = 100) -> DataFrame:
     and mirrored at the end.
     """
     total = docs.count()
-    seen = docs.select("doc_id", F.explode(first_words("text", at)).alias("w"))
+    raw = docs.select("doc_id", raw_tokens("text").alias("raw"))
+    seen = materialise(raw.select("doc_id", F.explode(first_words(F.col("raw"), at)).alias("w")), "seen")
     counts = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     kept = seen.join(counts.select("w"), "w").groupBy("doc_id").agg(F.sort_array(F.collect_list("w")).alias("ws"))  # at most ``at`` words a record
     left = kept.select("ws", F.posexplode("ws").alias("i", "x"))
@@ -59,22 +62,29 @@ def pmi_top_for_word(docs: DataFrame, word: str, top: int = 10) -> DataFrame:
 
 def bigrams(docs: DataFrame) -> DataFrame:
     """(a, b, n): adjacent tokens within a record."""
-    t = docs.select(tokens("text").alias("t")).where(F.size("t") >= 2)
-    pairs = t.select(F.explode(F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    t = docs.select(tokens("text").alias("t"))
+    n = F.greatest(F.size("t") - 1, F.lit(0))  # no filter on the size: it would be pushed below and tokenise again
+    pairs = t.select(F.explode(F.zip_with(F.slice("t", 1, n), F.slice("t", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
     return pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bigram_marginals(docs: DataFrame) -> DataFrame:
     """(a, n): bigrams that a word starts."""
-    t = docs.select(tokens("text").alias("t")).where(F.size("t") >= 2)
-    return t.select(F.explode(F.slice("t", 1, F.size("t") - 1)).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    t = docs.select(tokens("text").alias("t"))
+    return t.select(F.explode(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bigram_relfreq_pairs(docs: DataFrame) -> DataFrame:
-    """(a, b, n, freq): the share of a's bigrams that go on with b.  Marginals are joined, so a frequent a isn't one task."""
-    n = bigrams(docs)
+    """(a, b, n, freq): the share of a's bigrams that go on with b.  Marginals are joined with salt, so a frequent a isn't
+    one task; the counts are written once for both uses."""
+    n = materialise(bigrams(docs), "bigrams")
     total = n.groupBy("a").agg(F.sum("n").alias("total"))
-    return n.join(total, "a").select("a", "b", "n", F.round(F.col("n") / F.col("total"), 8).alias("freq"))
+    return salted_join(n, total, "a", F.col("b")).select("a", "b", "n", F.round(F.col("n") / F.col("total"), 8).alias("freq"))
+
+
+def bigram_stripes(docs: DataFrame) -> DataFrame:
+    """(a, stripe map<b, n>): each word's successors with their counts, as many as the vocabulary at most."""
+    return bigrams(docs).groupBy("a").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("b", "n")))).alias("stripe"))
 
 
 def bigram_relfreq_stripes(docs: DataFrame) -> DataFrame:

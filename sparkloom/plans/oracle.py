@@ -113,3 +113,13 @@ SQL: dict[str, str] = {
     "spam_ensemble_vote": f"with {_SPAM} select doc_id, label, s score, case when s > 0 then 'spam' else 'ham' end class from (select doc_id, label, cast(2 * coalesce(t, 0) - 3 as double) s from inst left join (select doc_id, sum(case when round(score, 9) > 0 then 1 else 0 end) t from scores group by 1) using (doc_id))",
     "spam_auc": f"with {_SPAM}, a as ({_APPLY}) select round(100 * (1 - sum(case when p.score > n.score then 1.0 when p.score = n.score then 0.5 else 0 end)::double / count(*)), 6) one_minus_auc_pct from (select score from a where label = 'spam') p, (select score from a where label = 'ham') n",
 }
+
+SQL |= {
+    "bool_rpn_stored": SQL["bool_rpn"],
+    "word_lookup_stored": f"with {_IDX} select term, count(*) df, cast(sum(tf) as bigint) n from idx where term = 'the' group by 1",
+    "bigram_stripes": f"with {_BI} select a, string_agg(b || ':' || n, ',' order by b) stripe from bi group by 1",
+    "line_scan": "select count(*) n_lines, cast(sum(length(line)) as bigint) n_chars from (select unnest(string_split(text, chr(10))) line from documents)",
+    "delimited_scan": "select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) o_totalprice, cast(o_orderdate as date) o_orderdate, o_orderpriority from orders",
+    "adjacency_scan": SQL["graph_build"],
+    "instance_scan": f"with {_SPAM} select doc_id, label, cast(len(f) as bigint) n_features, cast(coalesce(list_sum(f), 0) as bigint) total from inst",
+}

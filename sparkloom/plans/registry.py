@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import feature_id, tokens
 from sparkloom.operators import classify, graph, relational, search, text_stats
+from sparkloom.sources import tables
+from sparkloom.sources.shared import materialise, new_path
 from sparkloom.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +49,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def _instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id")
     label = F.when(F.col("quality") == 0, "spam").otherwise("ham")
-    return docs.select("doc_id", label.alias("label"), F.transform(tokens("text"), feature_id).alias("features"))
+    return materialise(docs.select("doc_id", label.alias("label"), F.transform(tokens("text"), feature_id).alias("features")), "instances")
 
 
 def _models(instances: DataFrame) -> DataFrame:
@@ -67,6 +69,58 @@ def spam_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.apply_model(rows, _models(rows).where("model_id = 1").drop("model_id"))
 
 
+def spam_apply_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trainer's weights, written and read back, score the instances."""
+    rows, path = _instances(spark, sf_dir), new_path(spark, "model")
+    tables.write_tsv(classify.train(rows, seed=42), path)
+    return classify.apply_model(rows, tables.parse_model(tables.read_lines(spark, path)))
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, doc_id, tf) of an index that is written sorted by term, so that a lookup reads few row groups."""
+    path = new_path(spark, "index")
+    tables.write_sorted(search.index_long(load(spark, sf_dir, "documents")), path, "term")
+    return spark.read.parquet(path)
+
+
+def bigram_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word's map of successors, written out in order."""
+    entries = F.transform(F.map_entries("stripe"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return text_stats.bigram_stripes(load(spark, sf_dir, "documents")).select("a", F.array_join(entries, ",").alias("stripe"))
+
+
+def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table through a '|'-delimited file."""
+    path, rows = new_path(spark, "tbl"), load(spark, sf_dir, "orders")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("string"), F.to_date("o_orderdate"), "o_orderpriority"]
+    rows.select(*columns).write.csv(path, sep="|")
+    return tables.read_tbl(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderdate", "o_orderpriority")
+
+
+def adjacency_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of parts and suppliers through adjacency lines: every node and its neighbours."""
+    path, (nodes, edges) = new_path(spark, "adjacency"), part_supplier(spark, sf_dir)
+    lists = nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("adj")), "id", "left")
+    lists.select(F.concat_ws(" ", F.col("id").cast("string"), F.transform("adj", lambda x: x.cast("string"))).alias("value")).write.text(path)
+    return graph.graph_build(*tables.parse_adjacency(tables.read_lines(spark, path)))
+
+
+def instance_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled instances through text lines: features and their sum a document."""
+    path, rows = new_path(spark, "instances"), _instances(spark, sf_dir)
+    rows.select(F.concat_ws(" ", F.col("doc_id").cast("string"), "label", F.transform("features", lambda x: x.cast("string"))).alias("value")).write.text(path)
+    got = tables.parse_instances(tables.read_lines(spark, path))
+    total = F.aggregate("features", F.lit(0).cast("long"), lambda s, x: s + x)
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "label", F.size("features").cast("long").alias("n_features"), total.alias("total"))
+
+
+def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the texts through a text file, and their characters."""
+    path = new_path(spark, "lines")
+    load(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value")).write.text(path)
+    return tables.read_lines(spark, path).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("value")).alias("n_chars"))
+
+
 def _ensemble(method: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _instances(spark, sf_dir)
@@ -93,6 +147,13 @@ QUERIES: dict[str, Query] = {
     "bool_and": _docs(search.search, "the shor AND"),
     "bool_or": _docs(search.search, "und que OR"),
     "bool_rpn": _docs(search.search, "the of AND de la AND OR nosuchterm OR"),
+    "bool_rpn_stored": lambda spark, d: search.search(load(spark, d, "documents"), "the of AND de la AND OR nosuchterm OR", stored_index(spark, d)),
+    "word_lookup_stored": lambda spark, d: stored_index(spark, d).where(F.col("term") == "the").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")),
+    "bigram_stripes": bigram_stripes,
+    "line_scan": line_scan,
+    "delimited_scan": delimited_scan,
+    "adjacency_scan": adjacency_scan,
+    "instance_scan": instance_scan,
     "q1": _tables(relational.q1, DAY),
     "q1_prefix_month": _tables(relational.q1, MONTH),
     "q1_prefix_year": _tables(relational.q1, YEAR),
@@ -114,6 +175,7 @@ QUERIES: dict[str, Query] = {
     "graph_wcc": lambda spark, d: graph.weak_components(*nations(spark, d)),
     "spam_train": spam_train,
     "spam_apply": spam_apply,
+    "spam_apply_trained": spam_apply_trained,
     "spam_ensemble_avg": _ensemble("average"),
     "spam_ensemble_vote": _ensemble("vote"),
     "spam_auc": lambda spark, d: classify.one_minus_auc(spam_apply(spark, d)),

@@ -69,6 +69,13 @@ def parse_instances(lines: DataFrame) -> DataFrame:
     return lines.select(f[0].alias("doc_id"), f[1].alias("label"), F.transform(F.slice(f, 3, F.greatest(F.size(f) - 2, F.lit(0))), lambda x: x.cast("int")).alias("features"))
 
 
+def parse_model(lines: DataFrame) -> DataFrame:
+    """(feature, weight) of lines ``(feature,weight)`` or ``feature TAB weight``; other lines are left out."""
+    f = F.split(F.regexp_replace("value", "[()\\s]+", ","), ",")
+    rows = lines.select(F.filter(f, lambda x: x != "").alias("f")).where(F.size("f") == 2)
+    return rows.select(F.col("f")[0].cast("int").alias("feature"), F.col("f")[1].cast("double").alias("weight"))
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """Key-value text, tab separated; an existing output is replaced."""
     df.write.mode("overwrite").csv(path, sep="\t")

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import first_words, snippet, tokens
+from sparkloom.functions.text import first_words, raw_tokens, snippet, tokens
 from sparkloom.operators import classify, graph, search, text_stats
 from sparkloom.operators.joins import connected_components
 from sparkloom.sources import tables
@@ -19,7 +19,7 @@ def test_tokens(spark):
 def test_first_words_go_on_past_an_empty_one(spark):
     names = [a + b + "q" for a in "abcdefghij" for b in "abcdefghij"]
     text = " ".join(names[:99] + ["42", "survivor", "late"])
-    got = spark.createDataFrame([(text,)], "text string").select(first_words("text").alias("w")).first().w
+    got = spark.createDataFrame([(text,)], "text string").select(raw_tokens("text").alias("r")).select(first_words(F.col("r")).alias("w")).first().w
     assert got == names[:99] + ["survivor"]
 
 
@@ -121,6 +121,11 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.table("counts_test").count() == 2
 
 
+def test_models_of_either_form(spark):
+    lines = spark.createDataFrame([("(3,0.5)",), ("4\t-1.25E-3",), ("",)], "value string")
+    assert [tuple(r) for r in tables.parse_model(lines).collect()] == [(3, 0.5), (4, -0.00125)]
+
+
 def test_date_prefixes_reach_the_scan(spark, sf, capsys):
     tables.load(spark, sf, "lineitem").where(tables.prefix_range("l_shipdate", "1996-12")).select("l_tax").explain("formatted")
     plan = capsys.readouterr().out
