@@ -11,6 +11,7 @@ hold main text are left out before any count.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import log
@@ -53,13 +54,16 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "start", "end", "chars", "tags", "link_chars", "link_tags", "sum", "density", "out")
+    __slots__ = ("tag", "parent", "kids", "start", "end", "chars", "tags", "link_chars", "link_tags", "sum", "most", "density", "out", "linked", "inner")
 
     def __init__(self, tag: str, parent: Node | None, start: int, out: bool):
         self.tag, self.parent, self.start, self.end, self.out = tag, parent, start, -1, out
         self.kids: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.sum = self.density = 0.0
+        self.sum = self.most = self.density = 0.0
+        # within a link; within an article or main element
+        self.linked = tag == "a" or parent is not None and parent.linked
+        self.inner = tag in ("article", "main") or parent is not None and parent.inner
 
 
 def _aside(attributes: str) -> tuple[bool, bool]:
@@ -84,6 +88,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
     """
     root = Node("#root", None, 0, False)
     node, runs, fresh, at, low = root, [], True, 0, None
+    opened: Counter[str] = Counter()  # open elements by name, so that an end tag without one costs nothing
 
     def text(lo: int, hi: int) -> None:
         nonlocal fresh
@@ -92,10 +97,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
             fresh = False
             length = len(SPACE.sub(" ", runs[-1][0]).strip())
             node.chars += length
-            up = node
-            while up is not None and up.tag != "a":
-                up = up.parent
-            if up is not None:
+            if node.linked:
                 node.link_chars += length
 
     while m := TOKEN.search(html, at):
@@ -109,7 +111,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
         block = name not in INLINE and name not in UNSEEN
         fresh |= block
         if m[1]:
-            up = node
+            up = node if opened[name] else None
             while up is not None and up.tag != name:
                 if up.tag in ("td", "th", "table", "article", "main", "section", "body") and name in INLINE | {"p", "li"}:
                     up = None
@@ -118,24 +120,23 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
             if up is not None and up is not root:
                 while node is not up.parent:
                     node.end = len(runs)
+                    opened[node.tag] -= 1
                     node = node.parent
             continue
         if name in CLOSES:
             shut, stops = CLOSES[name]
-            up = node
+            up = node if any(opened[x] for x in shut) else root
             while up is not root and up.tag not in stops and up.tag not in shut:
                 up = up.parent
             if up.tag in shut:
                 while node is not up.parent:
                     node.end = len(runs)
+                    opened[node.tag] -= 1
                     node = node.parent
         marked, header = _aside(m[3]) if m[3].strip() and name not in ("html", "body", "article", "main") else (False, False)
         out = node.out or name in NEVER or marked
         if name == "header" or header and name not in INLINE:  # an article's own header may hold its heading
-            up = node
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            out |= up is None
+            out |= not node.inner
         if name in VOID or m[3].rstrip().endswith("/") and name not in RAW and name not in ("p", "div", "a", "b", "i", "li", "span"):
             if not out:
                 node.tags += 1
@@ -151,6 +152,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
             close = html.find(">", end)
             at = len(html) if close < 0 else close + 1
             continue
+        opened[name] += 1
         node = kid
     text(at, len(html))
     while node is not None:
@@ -191,6 +193,8 @@ def main_node(root: Node) -> Node:
         n.density = density(n)
     for n in order:
         n.sum = sum(k.density for k in n.kids if not k.out)
+    for n in reversed(order):
+        n.most = max(n.sum, max((k.most for k in n.kids if not k.out), default=0.0))
     inside, todo = [], [body]
     while todo:
         n = todo.pop()
@@ -204,21 +208,12 @@ def main_node(root: Node) -> Node:
     at = body
     while True:  # down to the largest sum, through nodes at or above the threshold
         down = [k for k in at.kids if not k.out and k.density >= threshold and k.chars]
-        top = max(down, key=lambda k: (_most(k), k.chars), default=None)
-        if top is None or _most(top) < at.sum or top.tag in INLINE | {"p", "h1", "h2", "h3"}:
+        top = max(down, key=lambda k: (k.most, k.chars), default=None)
+        if top is None or top.most < at.sum or top.tag in INLINE | {"p", "h1", "h2", "h3"}:
             return _article(at)
         at = top
 
 
-def _most(n: Node) -> float:
-    most, todo = 0.0, [n]
-    while todo:
-        x = todo.pop()
-        most = max(most, x.sum)
-        todo += [k for k in x.kids if not k.out]
-    return most
-
-
 def _article(n: Node) -> Node:
     """The article or main element around the chosen subtree, if there is one: its heading and lead belong to the text."""
     up = n

@@ -198,6 +198,13 @@ def test_density_finds_the_text_without_an_article():
     assert html_text.main_text(page) == "Title " + " ".join([text.strip()] * 3)
 
 
+def test_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    for page in ("<div><b>" * 100_000 + "some words here", "<div>" * 100_000 + "<p>some words here</p>" + "</i>" * 100_000, "<a><span>" * 50_000 + "x <header>some words here"):
+        assert html_text.main_text(page).endswith("words here") or "<header>" in page
+    assert time.perf_counter() - began < 30
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain &lt;text"), (3, "u", "plain &lt;text"), (4, "u", "<div><p>unclosed <b>tags"), (5, "u", "<" * 1000), (None, "u", "<!-- x"), (6, "u", "<p>" + "word " * 100_000)]
     got = {x.page_id: (x.text, x.n_chars) for x in html_text.extract(clash(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
