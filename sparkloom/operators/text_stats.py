@@ -76,8 +76,8 @@ def bigram_marginals(docs: DataFrame) -> DataFrame:
 
 def bigram_relfreq_pairs(docs: DataFrame) -> DataFrame:
     """(a, b, n, freq): the share of a's bigrams that go on with b.  Marginals are joined with salt, so a frequent a isn't
-    one task; the counts are written once for both uses."""
-    n = materialise(bigrams(docs), "bigrams")
+    one task; the shuffle of the counts is used twice."""
+    n = bigrams(docs)
     total = n.groupBy("a").agg(F.sum("n").alias("total"))
     return salted_join(n, total, "a", F.col("b")).select("a", "b", "n", F.round(F.col("n") / F.col("total"), 8).alias("freq"))
 
