@@ -6,14 +6,19 @@ shared folder; the mass that dangling and vanished nodes lose is one number a so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.operators.joins import connected_components
-from sparkloom.sources.shared import materialise
+from sparkloom.sources.shared import bucketed, discard, materialise
 
 ALPHA = 0.15
+#: Edges of one source beyond which they are joined apart from the buckets, where adaptive execution can split them.
+HUB_EDGES = 1 << 20
 
 
 def graph_build(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,47 +41,91 @@ def _shares(edges: DataFrame) -> DataFrame:
     return edges.join(degree, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share"))
 
 
+def _next(inc: DataFrame, n: int, alpha: float) -> DataFrame:
+    miss = max(0.0, 1.0 - inc.agg(F.sum("inc")).first()[0])
+    return inc.select("id", (alpha / n + (1 - alpha) * (F.col("inc") + miss / n)).alias("rank"))
+
+
+def _rounds(nodes: DataFrame, edges: DataFrame, alpha: float) -> Iterator[DataFrame]:
+    """Ranks at the start and after each iteration; a round's table goes once the next one is written."""
+    n = nodes.count()
+    ranks, old = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")), []
+    yield ranks
+    shares = materialise(_shares(edges), "shares")
+    while True:
+        sent = shares.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("inc"))
+        inc = materialise(nodes.select("id").join(sent, "id", "left").select("id", F.coalesce("inc", F.lit(0.0)).alias("inc")), "inc")
+        discard(*old)
+        ranks, old = _next(inc, n, alpha), [inc]
+        yield ranks
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int, alpha: float = ALPHA) -> DataFrame:
     """(id, rank) after a fixed number of iterations from the uniform start.
 
     inc(v) = sum of r(u) / outdegree(u); miss = 1 - sum of inc over nodes, not below 0;
     r'(v) = alpha / N + (1 - alpha) (inc(v) + miss / N).
     """
+    if nodes.isEmpty():
+        return nodes.select("id", F.lit(0.0).alias("rank"))
+    return next(islice(_rounds(nodes, edges, alpha), iterations, None))
+
+
+def pagerank_copartitioned(nodes: DataFrame, edges: DataFrame, iterations: int, alpha: float = ALPHA, hub_edges: int = HUB_EDGES) -> DataFrame:
+    """The ranks of ``pagerank``; only messages are shuffled, never the edges or the ranks.
+
+    Edges are bucketed by source once, each round's ranks by id as they are written.  Sources of more than ``hub_edges``
+    edges stay outside the buckets, so that none of them makes one long task.
+    """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
+    hub = 1.0 / F.col("share") > hub_edges + 0.5
     shares = materialise(_shares(edges), "shares")
-    ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
+    light, heavy = bucketed(shares.where(~hub), "edges", "src"), materialise(shares.where(hub), "hubs")
+    discard(shares)
+    parts = [light] if heavy.isEmpty() else [light, heavy]
+    known = bucketed(nodes.select("id"), "nodes", "id")
+    ranks, old = known.select("id", F.lit(1.0 / n).alias("rank")), []
     for _ in range(iterations):
-        sent = shares.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("inc"))
-        inc = materialise(nodes.select("id").join(sent, "id", "left").select("id", F.coalesce("inc", F.lit(0.0)).alias("inc")), "inc")
-        miss = max(0.0, 1.0 - inc.agg(F.sum("inc")).first()[0])
-        ranks = inc.select("id", (alpha / n + (1 - alpha) * (F.col("inc") + miss / n)).alias("rank"))
+        from_each = [p.join(ranks, p["src"] == ranks["id"]).select("dst", (F.col("share") * F.col("rank")).alias("mass")) for p in parts]
+        sent = from_each[0] if len(parts) == 1 else from_each[0].unionByName(from_each[1])
+        sent = sent.groupBy(F.col("dst").alias("id")).agg(F.sum("mass").alias("inc"))
+        inc = bucketed(known.join(sent, "id", "left").select("id", F.coalesce("inc", F.lit(0.0)).alias("inc")), "inc", "id")
+        discard(*old)
+        ranks, old = _next(inc, n, alpha), [inc]
     return ranks
 
 
-def personalised(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA) -> DataFrame:
-    """(source, id, rank) for every source in one run.
-
-    At the source r' = alpha + (1 - alpha) (inc + miss), elsewhere (1 - alpha) inc.  The sources are a short list.
-    """
+def _personal_rounds(nodes: DataFrame, edges: DataFrame, sources: list[int], alpha: float) -> Iterator[DataFrame]:
+    """Ranks of every source at the start and after each iteration; a round's table goes once the next one is written."""
     known = {r[0] for r in nodes.where(F.col("id").isin(sources)).select("id").collect()}
     if missing := set(sources) - known:
         raise ValueError(f"not in the graph: {sorted(missing)}")
-    shares = materialise(_shares(edges), "shares")
     each = nodes.select(F.explode(F.array(*[F.lit(int(s)).cast("long") for s in sources])).alias("source"), F.col("id").cast("long").alias("id"))
-    ranks = each.select("source", "id", F.when(F.col("source") == F.col("id"), 1.0).otherwise(0.0).alias("rank"))
-    for _ in range(iterations):
+    ranks, old = each.select("source", "id", F.when(F.col("source") == F.col("id"), 1.0).otherwise(0.0).alias("rank")), []
+    yield ranks
+    shares = materialise(_shares(edges), "shares")
+    while True:
         live = ranks.where("rank > 0").withColumnRenamed("id", "src")
         sent = shares.join(live, "src").groupBy("source", F.col("dst").cast("long").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("inc"))
         inc = materialise(each.join(sent, ["source", "id"], "left").select("source", "id", F.coalesce("inc", F.lit(0.0)).alias("inc")), "inc")
+        discard(*old)
         miss = {r[0]: max(0.0, 1.0 - r[1]) for r in inc.groupBy("source").agg(F.sum("inc")).collect()}  # one row a source
         lost = F.lit(0.0)
         for s, m in miss.items():
             lost = F.when(F.col("source") == s, F.lit(m)).otherwise(lost)
         at_home = F.col("source") == F.col("id")
-        ranks = inc.select("source", "id", F.when(at_home, alpha + (1 - alpha) * (F.col("inc") + lost)).otherwise((1 - alpha) * F.col("inc")).alias("rank"))
-    return ranks
+        ranks, old = inc.select("source", "id", F.when(at_home, alpha + (1 - alpha) * (F.col("inc") + lost)).otherwise((1 - alpha) * F.col("inc")).alias("rank")), [inc]
+        yield ranks
+
+
+def personalised(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA) -> DataFrame:
+    """(source, id, rank) for every source in one run.
+
+    At the source r' = alpha + (1 - alpha) (inc + miss), elsewhere (1 - alpha) inc.  The sources are a short list.
+    """
+    return next(islice(_personal_rounds(nodes, edges, sources, alpha), iterations, None))
 
 
 def top(ranks: DataFrame, n: int) -> DataFrame:
@@ -110,23 +159,24 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sequential_pagerank(nodes: DataFrame, edges: DataFrame, jump: float = ALPHA, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
-    """(id, rank) of distinct edges, iterated until no rank moves by more than the tolerance."""
-    return _settled(lambda k: pagerank(nodes, edges.distinct(), k, jump), tolerance, most, ["id"])
+    """(id, rank) of distinct edges, iterated until no rank moves by more than the tolerance in eight rounds."""
+    return _settled(_rounds(nodes, edges.distinct(), jump), tolerance, most, ["id"])
 
 
 def sequential_personalised(nodes: DataFrame, edges: DataFrame, source: int, jump: float = ALPHA, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
-    return _settled(lambda k: personalised(nodes, edges.distinct(), [source], k, jump), tolerance, most, ["source", "id"]).drop("source")
+    """(id, rank) from one source, of distinct edges, iterated as above."""
+    return _settled(_personal_rounds(nodes, edges.distinct(), [source], jump), tolerance, most, ["source", "id"]).drop("source")
 
 
-def _settled(run, tolerance: float, most: int, keys: list[str]) -> DataFrame:
-    k, last = 8, materialise(run(8), "ranks")
-    while k < most:
-        k *= 2
-        now = materialise(run(k), "ranks")
+def _settled(rounds: Iterator[DataFrame], tolerance: float, most: int, keys: list[str], step: int = 8) -> DataFrame:
+    last = materialise(next(rounds), "ranks")
+    for _ in range(0, most, step):
+        now = materialise(next(islice(rounds, step - 1, None)), "ranks")
         moved = now.join(last.withColumnRenamed("rank", "before"), keys).agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
-        if moved is None or moved <= tolerance:
-            return now
+        discard(last)
         last = now
+        if moved is None or moved <= tolerance:
+            break
     return last
 
 

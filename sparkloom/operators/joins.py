@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.sources.shared import materialise
+from sparkloom.sources.shared import discard, materialise
 
 #: Copies of the unique side of a salted join, so that a key with a third of all rows is dealt over as many tasks.
 SALTS = 8
@@ -43,11 +43,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = salted_join(both.where("v > u"), least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u <> v").distinct(), "large")
+        large, old = materialise(large.where("u <> v").distinct(), "large"), e
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, least, "u", F.col("v"))
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(old, large)
         now = signature(e)
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -115,6 +115,9 @@ SQL: dict[str, str] = {
 }
 
 SQL |= {
+    "pagerank_copartitioned": SQL["pagerank"],
+    "pagerank_settled": f"with {_NAT}{_rank_ctes(60)} select id, round(rank, 5) rank from r60",
+    "ppr_settled": f"with {_NAT}{_ppr_ctes(60, [5])} select id, round(rank, 5) rank from r60",
     "bool_rpn_stored": SQL["bool_rpn"],
     "word_lookup_stored": f"with {_IDX} select term, count(*) df, cast(sum(tf) as bigint) n from idx where term = 'the' group by 1",
     "bigram_stripes": f"with {_BI} select a, string_agg(b || ':' || n, ',' order by b) stripe from bi group by 1",

@@ -167,6 +167,9 @@ QUERIES: dict[str, Query] = {
     "graph_build": lambda spark, d: graph.graph_build(*part_supplier(spark, d)),
     "graph_stats": lambda spark, d: graph.graph_stats(*part_supplier(spark, d)),
     "pagerank": lambda spark, d: _rounded(graph.pagerank(*part_supplier(spark, d), 3)),
+    "pagerank_copartitioned": lambda spark, d: _rounded(graph.pagerank_copartitioned(*part_supplier(spark, d), 3)),
+    "pagerank_settled": lambda spark, d: graph.sequential_pagerank(*nations(spark, d), tolerance=1e-7).select("id", F.round("rank", 5).alias("rank")),
+    "ppr_settled": lambda spark, d: graph.sequential_personalised(*nations(spark, d), 5, tolerance=1e-7).select("id", F.round("rank", 5).alias("rank")),
     "pagerank_top": lambda spark, d: graph.top(_rounded(graph.pagerank(*part_supplier(spark, d), 3)), 20),
     "pagerank_dump": lambda spark, d: graph.dump(graph.pagerank(*nations(spark, d), 3), nations(spark, d)[1]),
     "ppr_multi": lambda spark, d: _rounded(graph.personalised(*nations(spark, d), [0, 5, 12], 4)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,3 +29,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df`` once to the shared folder in as many buckets of ``key`` as a shuffle has partitions, and read it back.
+
+    Joins of two such tables on ``key`` move no row, and a write after a shuffle on ``key`` puts one file in a bucket.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables written here that no later step reads; anything else is left alone."""
+    for t in tables:
+        spark = t.sparkSession
+        root = shared_dir(spark).split(":")[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            above, name = folder.rsplit("/", 1)
+            if above.endswith(root) and re.fullmatch(r"[a-z_]+-[0-9a-f]{32}", name):
+                spark.sql(f"drop table if exists `{name.replace('-', '_')}`")
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

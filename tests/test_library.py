@@ -1,6 +1,8 @@
 """Hand fixtures and invariants."""
 
 import math
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import first_words, raw_tokens, snippet, tokens
 from sparkloom.operators import classify, graph, search, text_stats
 from sparkloom.operators.joins import connected_components
-from sparkloom.sources import tables
+from sparkloom.sources import shared, tables
 
 
 def test_tokens(spark):
@@ -72,6 +74,37 @@ def test_pagerank_toy(spark):
     assert (stats.n_nodes, stats.n_edges, stats.n_active, stats.n_missing) == (4, 5, 3, 1)
 
 
+@pytest.mark.parametrize("hub_edges", [1, 1 << 20])
+def test_copartitioned_ranks_are_the_same(spark, hub_edges):
+    nodes, edges = _toy(spark)
+    want = {r.id: r["rank"] for r in graph.pagerank(nodes, edges, 5).collect()}
+    got = {r.id: r["rank"] for r in graph.pagerank_copartitioned(nodes, edges, 5, hub_edges=hub_edges).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-12) for i in want)
+    assert graph.pagerank_copartitioned(nodes.limit(0), edges.limit(0), 5).count() == 0
+
+
+def test_copartitioned_tables_shuffle_messages_only(spark, capsys):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = shared.bucketed(spark.range(100).selectExpr("id % 10 src", "id dst", "0.1D share"), "edges", "src")
+        ranks = shared.bucketed(spark.range(100).selectExpr("id", "0.01D rank"), "ranks", "id")
+        sent = edges.join(ranks, edges["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("inc"))
+        ranks.select("id").join(sent, "id", "left").explain()
+        assert capsys.readouterr().out.count("Exchange") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_discard_deletes_written_tables_only(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    own, written, buckets = spark.read.parquet(f"{tmp_path}/own"), shared.materialise(spark.range(3), "t"), shared.bucketed(spark.range(3), "b", "id")
+    files = [f for d in (own, written, buckets) for f in d.inputFiles()]
+    shared.discard(own, written, buckets)
+    left = [f for f in files if Path(urlparse(f).path).exists()]
+    assert left and all("/own/" in f for f in left)
+
+
 def test_personalised_toy(spark):
     nodes, edges = _toy(spark)
     got = {r.id: round(r["rank"], 6) for r in graph.personalised(nodes, edges, [1], 1).collect()}
