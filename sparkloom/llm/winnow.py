@@ -4,6 +4,9 @@ Both sides keep the smallest k-gram hash of every sliding window of ``span - k +
 ``span`` words holds a fingerprint that both sides kept.  Documents probe the benchmark's fingerprints and each hit is
 extended word by word to the whole common run.  Items shorter than ``span`` words count as one window; they are looked
 up by the hash of all their words at every position.
+
+A benchmark of one block is broadcast.  Beyond that the fingerprints of both sides are joined, and only the texts that
+share one are read again with the blocks.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, need
+from sparkloom.llm.common import join_counted, materialise, need
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -139,13 +142,13 @@ def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """The benchmark's items, in blocks of at most block_bytes of text (a longer item is a block of its own)."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, lengths: range = range(1, 1 << 62)) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The items of so many words, in blocks of at most block_bytes of text (a longer item is a block of its own)."""
     block: list[tuple[object, list[bytes]]] = []
     size = 0
     for row in need(benchmark, item_col, text_col).toLocalIterator():
         ws = words(row[1])
-        if not ws:
+        if len(ws) not in lengths:
             continue
         cost = sum(map(len, ws)) + 60 * len(ws)
         if block and size + cost > block_bytes:
@@ -157,6 +160,56 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield block
 
 
+def _digest(text_col: str) -> Column:
+    return F.sha1(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+
+
+def _prints(texts: DataFrame, text_col: str, span: int, k: int) -> DataFrame:
+    """(other columns, n_words, prints): the different fingerprints of each text; none if it has fewer than span words."""
+    rest = [c for c in texts.columns if c != text_col]
+    kinds = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_words, prints = [], []
+            for t in b.column(len(rest)):
+                ws = words(t.as_py())
+                g = grams(mixed(ws), k) if len(ws) >= span else np.zeros(0, np.uint64)
+                n_words.append(len(ws))
+                prints.append(np.unique(g[kept(g, span - k + 1)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n_words, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=[*rest, "n_words", "prints"])
+
+    return texts.select(*rest, text_col).mapInArrow(run, ", ".join([*kinds, "n_words long, prints array<long>"]))
+
+
+RUNS = "array<struct<start:int,stop:int>>"
+
+
+def _scan(texts: DataFrame, block: list[tuple[object, list[bytes]]], span: int, k: int) -> DataFrame:
+    """(key, n_words, runs, items) of (key, text) against one block of items, broadcast."""
+    sent = texts.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(span, k, sent.value).build()
+        names = [None if i is None else str(i) for i, _ in index.items]
+        for b in batches:
+            n_words, runs, items = [], [], []
+            for t in b.column(1):
+                ws = words(t.as_py())
+                got, seen = index.hits(ws, mixed(ws)) if ws else ([], set())
+                n_words.append(len(ws))
+                runs.append([{"start": x, "stop": y} for x, y in _union(got)])
+                items.append(sorted({names[i] for i in seen if names[i] is not None}))
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n_words, pa.int64()), pa.array(runs, kind), pa.array(items, pa.list_(pa.string()))],
+                names=["key", "n_words", "runs", "items"],
+            )
+
+    key = texts.schema[0].dataType.simpleString()
+    return texts.mapInArrow(run, f"key {key}, n_words long, runs {RUNS}, items array<string>")
+
+
 def find_overlap(
     docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20,
@@ -164,57 +217,34 @@ def find_overlap(
     """(id_col, n_words, runs, items): one row per row of ``docs``.
 
     ``runs`` are the disjoint word runs [first, end) inside occurrences of benchmark windows, ``items`` the ids, as
-    sorted strings, of the items with an occurring window.  The benchmark is streamed through the driver in blocks of
-    ``block_bytes`` and each block is broadcast; a benchmark of one block takes one pass over the documents, a larger
-    one a pass a block, whose hits are merged by a digest of the text.
+    sorted strings, of the items with an occurring window.  A benchmark of at most ``block_bytes`` is broadcast and takes
+    one pass over the documents.  Of a larger one the fingerprints are joined with the documents', and the blocks are
+    then read against the different texts that share a fingerprint; items of under ``span`` words, which have none, take
+    a pass a block over all documents.
 
     Null and empty texts have no words; null item texts match nothing; a null item id is left out of ``items`` but its
     windows count; documents that repeat count each, items that repeat an id once; an empty benchmark gives no hits.
     """
-    row = "struct<start:int,stop:int>"
-    out_type = f"id {docs.schema[id_col].dataType.simpleString()}, digest binary, n_words long, runs array<{row}>, items array<string>"
-
-    def scan(block: list[tuple[object, list[bytes]]], digests: bool) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(span, k, sent.value).build()
-            names = [None if i is None else str(i) for i, _ in index.items]
-            for b in batches:
-                digest, n_words, runs, items = [], [], [], []
-                for t in b.column(1):
-                    text = t.as_py()
-                    ws = words(text)
-                    got, seen = index.hits(ws, mixed(ws)) if ws else ([], set())
-                    digest.append(sha1((text or "").encode("utf-8", "surrogatepass")).digest() if digests else None)
-                    n_words.append(len(ws))
-                    runs.append([{"start": x, "stop": y} for x, y in _union(got)])
-                    items.append(sorted({names[i] for i in seen if names[i] is not None}))
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(digest, pa.binary()), pa.array(n_words, pa.int64()), pa.array(runs, kind), pa.array(items, pa.list_(pa.string()))],
-                    names=["id", "digest", "n_words", "runs", "items"],
-                )
-
-        return need(docs, id_col, text_col).mapInArrow(run, out_type)
-
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        return scan(first, False).select(F.col("id").alias(id_col), "n_words", "runs", "items")
-    parts = [materialise(scan(first, True), "overlap")]
-    while second is not None:
-        parts.append(materialise(scan(second, True).where(F.size("runs") > 0), "overlap"))
-        second = next(blocks, None)
-    hits = parts[0].where(F.size("runs") > 0)
+        return _scan(need(docs, id_col, text_col), first, span, k).select(F.col("key").alias(id_col), "n_words", "runs", "items")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), _digest(text_col).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    rows_prints = materialise(_prints(rows, "text", span, k), "prints")
+    known = _prints(benchmark.select(F.col(f"`{item_text_col}`").alias("text")), "text", span, k).select(F.explode("prints").alias("print")).distinct()
+    shared = rows_prints.select("key", F.explode("prints").alias("print")).join(known, "print", "left_semi").select("key").distinct()
+    hit = materialise(join_counted(rows.select("key", "text"), materialise(shared, "shared"), ["key"], 128).select("key", "text").dropDuplicates(["key"]), "texts")
+    parts = [materialise(_scan(hit, b, span, k).where(F.size("runs") > 0), "overlap") for b in _blocks(benchmark, item_col, item_text_col, block_bytes, range(span, 1 << 62))]
+    parts += [materialise(_scan(rows.select("key", "text"), b, span, k).where(F.size("runs") > 0), "overlap") for b in _blocks(benchmark, item_col, item_text_col, block_bytes, range(1, span))]
+    hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
     # one row per text and block: bounded by the number of blocks
-    hits = hits.select("digest", "runs", "items").distinct()
-    merged = hits.groupBy("digest").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+    hits = hits.select("key", "runs", "items").distinct()
+    merged = hits.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
     step = F.aggregate(
         F.array_sort("runs"),
-        F.expr(f"cast(array() as array<{row}>)"),
+        F.expr(f"cast(array() as {RUNS})"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]),
             F.concat(
@@ -223,33 +253,42 @@ def find_overlap(
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    merged = merged.select("digest", step.alias("runs"), F.array_sort(F.array_distinct("items")).alias("items"))
-    whole = parts[0].select("id", "digest", "n_words").join(merged, "digest", "left")
-    none = F.expr(f"cast(array() as array<{row}>)"), F.expr("cast(array() as array<string>)")
+    merged = merged.select("key", step.alias("runs"), F.array_sort(F.array_distinct("items")).alias("items"))
+    whole = rows_prints.select("id", "key", "n_words").join(merged, "key", "left")
+    none = F.expr(f"cast(array() as {RUNS})"), F.expr("cast(array() as array<string>)")
     return whole.select(F.col("id").alias(id_col), "n_words", F.coalesce("runs", none[0]).alias("runs"), F.coalesce("items", none[1]).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, text_col: str = "text", item_text_col: str = "text", most_share: float = 0.0) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, text_col: str = "text", item_text_col: str = "text", most_share: float = 0.0,
+    block_bytes: int = 32 << 20,
+) -> DataFrame:
     """The rows of ``docs``, all columns, whose share of words in benchmark windows is at most ``most_share``.
 
-    Rows are judged on their own text, so nothing is joined: a benchmark of more than one block is applied block after
-    block.  Null and empty texts stay; rows that repeat are judged each, alike; null item texts match nothing; an empty
-    table stays empty and an empty benchmark leaves all rows.
+    With a benchmark of one block rows are judged in place and nothing is joined; beyond that the digests of the texts
+    to leave out are found as in ``find_overlap`` and joined away.  Null and empty texts stay; rows that repeat are
+    judged each, alike; null item texts match nothing; an empty table stays empty and an empty benchmark leaves all rows.
     """
+    items = benchmark.select(F.lit(0).alias("item"), F.col(f"`{item_text_col}`").alias("text"))
+    blocks = _blocks(items, "item", "text", block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is not None:
+        keyed = docs.select(_digest(text_col).alias("key"), F.col(f"`{text_col}`").alias("text"))
+        found = find_overlap(keyed, items, span, k, "key", "text", "item", "text", block_bytes)
+        hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+        out = materialise(found.where(hit > F.lit(float(most_share)) * F.col("n_words")).select(F.col("key").alias("left_out")).distinct(), "left_out")
+        return docs.join(out, _digest(text_col) == out["left_out"], "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(first)
     at = docs.columns.index(text_col)
-    out = docs
-    for block in _blocks(benchmark.withColumn("_item", F.lit(0)), "_item", item_text_col, 32 << 20):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(span, k, sent.value).build()
-            for b in batches:
-                keep = []
-                for t in b.column(at):
-                    ws = words(t.as_py())
-                    runs = _union(index.hits(ws, mixed(ws))[0]) if ws else []
-                    keep.append(sum(y - x for x, y in runs) <= most_share * len(ws))
-                yield b.filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(span, k, sent.value).build()
+        for b in batches:
+            keep = []
+            for t in b.column(at):
+                ws = words(t.as_py())
+                runs = _union(index.hits(ws, mixed(ws))[0]) if ws else []
+                keep.append(sum(y - x for x, y in runs) <= most_share * len(ws))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -66,8 +66,11 @@ def test_winnowing_is_exact_in_any_blocks(spark, block_bytes):
     got = winnow.find_overlap(clash(d), clash(b), block_bytes=block_bytes)
     want = Counter((i, *plain_overlap(winnow.words(t), [(k, winnow.words(x)) for k, x in items])) for i, t in docs)
     assert Counter((x.doc_id, sum(y.stop - y.start for y in x.runs), ",".join(x["items"])) for x in got.collect()) == want
-    clean = {i for i, n, _ in want if not n}
-    assert {x.doc_id for x in winnow.decontaminate(d, b).collect()} == clean
+    left = winnow.decontaminate(clash(d), clash(b), block_bytes=block_bytes)
+    assert left.columns == clash(d).columns and Counter(x.doc_id for x in left.collect()) == Counter(i for i, n, _ in want.elements() if not n)
+    if block_bytes == 3000:  # the join finds all texts that the blocks find, and no plain ones
+        share = winnow.decontaminate(d, b, most_share=0.5, block_bytes=block_bytes)
+        assert sorted(map(str, share.collect())) == sorted(map(str, winnow.decontaminate(d, b, most_share=0.5).collect()))
 
 
 def test_winnowing_guarantee():
@@ -560,6 +563,26 @@ def test_pipeline(spark, sf, tmp_path):
     assert all(zlib.crc32(bytes(x.ids)) is not None for x in pieces)
 
 
+def test_stages_on_odd_and_empty_tables(spark, sf, tmp_path):
+    """Every stage keeps columns and clean odd rows, and gives an empty table for an empty one."""
+    import corpus_pipeline as p
+
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    long = "word " * 30_000
+    texts = [None, "", " ", "plain short text", "plain short text", long, "é ß 漢字 \U0001f600"]
+    rows = [(i if i else None, t, None if i % 2 else "en", None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    odd = whole.unionByName(spark.createDataFrame(rows, whole.schema)).withColumn("_hash_", F.lit("keep me")).withColumn("key", F.lit(7))
+    docs = odd.where("doc_id is null or doc_id < 7").cache()
+    for at, (name, stage) in enumerate(p.STAGES):
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, sf)
+            n = out.count()
+            if at < len(p.STAGES) - 1:
+                assert out.columns == table.columns and n <= table.count(), name
+                assert all(x["_hash_"] == "keep me" and x["key"] == 7 for x in out.collect()), name
+        assert not n, name
+
+
 def test_the_rest_does_not_import_this(spark):
     from pathlib import Path
 
