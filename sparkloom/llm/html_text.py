@@ -1,11 +1,11 @@
 """Main text of web pages by composite text density.
 
-One pass over the markup keeps a node for every element: characters, characters in links, tags, link tags.  A node's
-composite density is its characters per tag, adjusted by the balance of link and other characters with a logarithm
+One pass over the markup keeps a node for every element that a page shows, menus and adverts included: characters,
+characters in links, tags, link tags.  A node's composite density is its characters per tag, adjusted by the balance of link and other characters with a logarithm
 whose base grows with the page's share of links (Sun, Song and Liao, 2011).  A node's density sum is the sum over its
 children.  Starting from the body, the threshold is the least density on the path from the body to the node with the
 largest density sum; nodes at or above it are followed down to the subtree with the largest sum.  Elements that never
-hold main text are left out before any count.
+hold main text can't be chosen, and their text is left out of the chosen subtree's.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
+#: Elements without any text that a page shows; they are not counted.
+MUTE = RAW | {"head", "svg", "math", "canvas", "object", "audio", "video", "datalist"}
 #: Elements that hold no main text wherever they stand.
-NEVER = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "head", "svg", "math", "canvas", "object", "audio", "video", "menu", "dialog", "input", "fieldset", "datalist"}
+NEVER = MUTE | {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "input", "fieldset"}
 #: Words in class, id or role that mark menus, notices, adverts and reader comments.
 ASIDE = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "consent", "cookie",
@@ -54,12 +56,13 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "start", "end", "chars", "tags", "link_chars", "link_tags", "sum", "most", "density", "out", "linked", "inner")
+    __slots__ = ("tag", "parent", "kids", "start", "end", "chars", "tags", "link_chars", "link_tags", "sum", "most", "density", "out", "mute", "own", "linked", "inner")
 
-    def __init__(self, tag: str, parent: Node | None, start: int, out: bool):
-        self.tag, self.parent, self.start, self.end, self.out = tag, parent, start, -1, out
+    def __init__(self, tag: str, parent: Node | None, start: int, out: bool, mute: bool):
+        self.tag, self.parent, self.start, self.end, self.out, self.mute = tag, parent, start, -1, out, mute
         self.kids: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.own = 0  # characters that may be main text
         self.sum = self.most = self.density = 0.0
         # within a link; within an article or main element
         self.linked = tag == "a" or parent is not None and parent.linked
@@ -81,22 +84,24 @@ def _aside(attributes: str) -> tuple[bool, bool]:
     return False, header
 
 
-def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
-    """The document's root and its text runs, in page order, as (text, whether a block starts before it).
+def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool]]]:
+    """The document's root and its text runs, in page order, as (text, whether a block starts before it, whether it may be main text).
 
     A node holds the runs from ``start`` to ``end``.
     """
-    root = Node("#root", None, 0, False)
+    root = Node("#root", None, 0, False, False)
     node, runs, fresh, at, low = root, [], True, 0, None
     opened: Counter[str] = Counter()  # open elements by name, so that an end tag without one costs nothing
 
     def text(lo: int, hi: int) -> None:
         nonlocal fresh
-        if lo < hi and not node.out:
-            runs.append((html[lo:hi], fresh))
-            fresh = False
+        if lo < hi and not node.mute:
+            runs.append((html[lo:hi], fresh, not node.out))
             length = len(SPACE.sub(" ", runs[-1][0]).strip())
             node.chars += length
+            if not node.out:
+                fresh = False
+                node.own += length
             if node.linked:
                 node.link_chars += length
 
@@ -134,14 +139,15 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
                     opened[node.tag] -= 1
                     node = node.parent
         marked, header = _aside(m[3]) if m[3].strip() and name not in ("html", "body", "article", "main") else (False, False)
+        mute = node.mute or name in MUTE
         out = node.out or name in NEVER or marked
         if name == "header" or header and name not in INLINE:  # an article's own header may hold its heading
             out |= not node.inner
         if name in VOID or m[3].rstrip().endswith("/") and name not in RAW and name not in ("p", "div", "a", "b", "i", "li", "span"):
-            if not out:
+            if not mute:
                 node.tags += 1
             continue
-        kid = Node(name, node, len(runs), out)
+        kid = Node(name, node, len(runs), out, mute)
         node.kids.append(kid)
         if name in RAW:
             low = html.lower() if low is None and "</" in html else low or ""
@@ -167,16 +173,17 @@ def main_node(root: Node) -> Node:
     while todo:
         n = todo.pop()
         order.append(n)
-        todo += [k for k in n.kids if not k.out]
+        todo += [k for k in n.kids if not k.mute]
     for n in reversed(order):
         for k in n.kids:
-            if not k.out:
+            if not k.mute:
                 n.chars += k.chars
+                n.own += k.own
                 n.link_chars += k.link_chars
                 n.tags += k.tags + 1
                 n.link_tags += k.link_tags + (k.tag == "a")
     body = next((n for n in order if n.tag == "body"), root)
-    if not body.chars:
+    if not body.own:
         body = root
     ratio = body.link_chars / max(body.chars, 1)
 
@@ -192,7 +199,7 @@ def main_node(root: Node) -> Node:
     for n in order:
         n.density = density(n)
     for n in order:
-        n.sum = sum(k.density for k in n.kids if not k.out)
+        n.sum = sum(k.density for k in n.kids if not k.mute)
     for n in reversed(order):
         n.most = max(n.sum, max((k.most for k in n.kids if not k.out), default=0.0))
     inside, todo = [], [body]
@@ -200,15 +207,15 @@ def main_node(root: Node) -> Node:
         n = todo.pop()
         inside.append(n)
         todo += [k for k in n.kids if not k.out]
-    best = max(inside, key=lambda n: (n.sum, n.chars))
+    best = max(inside, key=lambda n: (n.sum, n.own))
     threshold, up = best.density, best
     while up is not body:
         up = up.parent
         threshold = min(threshold, up.density)
     at = body
     while True:  # down to the largest sum, through nodes at or above the threshold
-        down = [k for k in at.kids if not k.out and k.density >= threshold and k.chars]
-        top = max(down, key=lambda k: (k.most, k.chars), default=None)
+        down = [k for k in at.kids if not k.out and k.density >= threshold and k.own]
+        top = max(down, key=lambda k: (k.most, k.own), default=None)
         if top is None or top.most < at.sum or top.tag in INLINE | {"p", "h1", "h2", "h3"}:
             return _article(at)
         at = top
@@ -221,7 +228,7 @@ def _article(n: Node) -> Node:
         if up.tag in ("article", "main"):
             return up
         up = up.parent
-    only = [k for k in n.kids if k.tag in ("article", "main") and not k.out and k.chars]
+    only = [k for k in n.kids if k.tag in ("article", "main") and not k.out and k.own]
     return only[0] if len(only) == 1 else n
 
 
@@ -234,7 +241,9 @@ def main_text(html: str | None) -> str:
         return ""
     node = main_node(root)
     blocks: list[list[str]] = []
-    for piece, fresh in runs[node.start : node.end]:
+    for piece, fresh, own in runs[node.start : node.end]:
+        if not own:
+            continue
         if fresh or not blocks:
             blocks.append([])
         blocks[-1].append(piece)

@@ -201,6 +201,58 @@ def test_density_finds_the_text_without_an_article():
     assert html_text.main_text(page) == "Title " + " ".join([text.strip()] * 3)
 
 
+def test_densities_are_those_of_the_definition():
+    """Node for node against counts taken from the tree that a page is written from, menus included; and the choice."""
+    r = random.Random(5)
+
+    def tree(depth):
+        tag = r.choice(("div", "section", "nav", "a", "span", "p")) if depth else "p"
+        kids = [tree(depth - 1) if depth and tag not in ("a", "p", "span") and r.random() < 0.7 else "w" * r.randint(1, 60) for _ in range(r.randint(1, 4))]
+        return tag, kids
+
+    def html(t):
+        return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(html, t[1]))}</{t[0]}>"
+
+    def counts(t, link=False):  # characters, of them in links; tags, of them links
+        if isinstance(t, str):
+            return np.array([len(t), len(t) * link, 0, 0])
+        return sum((counts(k, link or t[0] == "a") + (0 if isinstance(k, str) else np.array([0, 0, 1, k[0] == "a"])) for k in t[1]), np.zeros(4, int))
+
+    chosen = set()
+    for _ in range(60):
+        body = ("body", [tree(4) for _ in range(5)])
+        whole = counts(body)
+
+        def density(t, whole=whole):
+            c, lc, n, ln = map(int, counts(t, t[0] == "a"))
+            x = c * lc / max(c - lc, 1) + whole[1] / whole[0] * c + np.e
+            return c / max(n, 1) * max(np.log(max(c / max(lc, 1) * max(n, 1) / max(ln, 1), 1.0)) / np.log(x), 1e-9) if c else 0.0
+
+        def same(t, node, density=density):
+            kids = [k for k in t[1] if not isinstance(k, str)]
+            assert node.tag == t[0] and len(node.kids) == len(kids) and abs(node.density - density(t)) < 1e-9 * max(1, node.density)
+            assert abs(node.sum - sum(map(density, kids))) < 1e-6
+            for k, n in zip(kids, node.kids, strict=True):
+                same(k, n)
+
+        root, _ = html_text.parse(html(body))
+        at = html_text.main_node(root)
+        same(body, root.kids[0])
+        assert not at.out
+        chosen.add(at.tag)
+    assert len(chosen) > 1
+
+
+def test_density_decides_where_no_list_does():
+    """Menus and adverts under names that no list knows, on the pages' own markup; lists clean the chosen subtree only."""
+    text = "<p>This is a long paragraph of plain running text, as an article has it, with hardly any link in it at all.</p>" * 3
+    links = "".join(f"<li><a href={i}>link number {i}</a></li>" for i in range(12))
+    page = f"<html><body><div class=x1><ul>{links}</ul></div><div class=x2>Buy <a href=a>this thing</a> now</div><div class=x3><h1>Title</h1>{text}<div class=ad>advert</div><p>The <span class=ad>advert</span>end.</p></div><div class=x4><a href=b>back</a></div></body></html>"
+    got = html_text.main_text(page)
+    assert got.startswith("Title This is") and got.endswith("at all. The end.") and "link number" not in got and "advert" not in got
+    assert html_text.main_text("<body><nav>menu only</nav></body>") == "" and html_text.main_text("<body><nav>menu</nav></body><p>after it</p>") == "after it"
+
+
 def test_deep_pages_take_linear_time():
     began = time.perf_counter()
     for page in ("<div><b>" * 100_000 + "some words here", "<div>" * 100_000 + "<p>some words here</p>" + "</i>" * 100_000, "<a><span>" * 50_000 + "x <header>some words here"):
