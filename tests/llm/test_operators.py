@@ -596,6 +596,102 @@ def test_fuzzy_passages_are_found(spark):
     assert all(recall[s] >= floor[s] for s in floor) and not any(i >= 9000 for i in got), recall
 
 
+def test_passages_all_of_whose_pieces_many_texts_hold(spark):
+    """Pairs share 50 to 60 words, and every 49 of these stand in nine other texts or more; texts that repeat pieces, or one word."""
+    r = random.Random(14)
+    vocabulary = [f"v{i}y" for i in range(20_000)]
+    fresh = lambda n: r.choices(vocabulary, k=n)
+    rows, n = [], 1000
+    for i, size in enumerate((50, 50, 51, 53, 55, 60)):
+        passage = fresh(size)
+        rows += [(2 * i, " ".join(fresh(40) + passage + fresh(40))), (2 * i + 1, " ".join(fresh(20) + passage + fresh(70)))]
+        for at in range(size - 48):
+            for _ in range(9):
+                rows.append((n, " ".join(fresh(30) + passage[at : at + 49] + fresh(30))))
+                n += 1
+    passage = fresh(60)  # pieces of it come before it in both texts
+    for i in (500, 501):
+        rows.append((i, " ".join(x for at in (0, 10, 20, 30) for x in passage[at : at + 30] + fresh(9)) + " " + " ".join(passage)))
+    rows += [(600, " ".join(fresh(20) + ["again"] * 90 + fresh(20))), (601, " ".join(fresh(9) + ["again"] * 70))]
+    want = {i: ws for i, ws in plain_repeats(rows).items() if ws}
+    assert set(want) == set(range(12)) | {500, 501, 600, 601}
+    got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found, groups = found_words(got), {x.doc_id: x.group_id for x in got}
+    assert not {i: len(want[i] - found.get(i, set())) for i in want if want[i] - found.get(i, set())}
+    assert all(groups[i] == groups[i + 1] for i in (0, 2, 4, 6, 8, 10, 500, 600))
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_fuzzy_passages_of_seeds_that_many_texts_hold(spark, monkeypatch, block):
+    """Two lines of 28 words that each stand in 15 texts, side by side but for some words between them in two; and a
+    family of edited texts, against all pairs of it."""
+    monkeypatch.setattr(chains, "BLOCK", block, raising=False)
+    r = random.Random(15)
+    vocabulary = [f"v{i}y" for i in range(20_000)]
+    fresh = lambda n: r.choices(vocabulary, k=n)
+    rows = []
+    for i in range(8):
+        one, two = fresh(28), fresh(28)
+        rows += [(100 * i + k, " ".join(fresh(30) + one + fresh(4) + two + fresh(30))) for k in range(2)]
+        rows += [(100 * i + 10 + k, " ".join(fresh(30) + (one, two)[k % 2] + fresh(40))) for k in range(30)]
+    base = fresh(80)
+    for k in range(24):
+        own = list(base)
+        for at in r.sample(range(80), 9 + k % 4):
+            own[at] = f"new{r.getrandbits(40)}"
+        rows.append((5000 + k, " ".join(fresh(30) + own + fresh(30))))
+    got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {x.doc_id: x.group_id for x in got}
+    assert {i: g for i, g in groups.items() if i < 5000} == {100 * i + k: 100 * i for i in range(8) for k in range(2)}
+    # all pairs of the family that share two seeds in line
+    near, own = {}, {i: chains.words(t) for i, t in rows if i >= 5000}
+    seeds = {i: chains.seeds_of(ws) for i, ws in own.items()}
+    for a in own:
+        for b in own:
+            x = chains.common_runs(seeds[a], seeds[b])
+            if a < b and len(x) and max(p + n for p, _, n in x) - min(p for p, _, _ in x) >= chains.REACH and chains.passages(own[a], own[b], chains.chain(x), 50, 0.8):
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+    assert near and not set(near) - set(groups) and all(groups[a] == groups[b] for a in near for b in near[a])
+
+
+def test_linked_rows_are_those_of_all_pairs(monkeypatch):
+    """Rows around one key: connected as by all pairs, in parts, in blocks, and with some linked before."""
+    r = random.Random(16)
+    least, key = 50, [7 + i for i in range(20)]
+
+    def components(n, pairs):
+        up = list(range(n))
+        for _ in range(n):
+            for x, y in pairs:
+                up[x] = up[y] = min(up[x], up[y])
+        return up
+
+    for trial in range(30):
+        n, bases = r.randint(2, 40), [[r.randrange(1, 60_000) for _ in range(100)] for _ in range(3)]
+        texts = []
+        for _ in range(n):
+            ws = [w if r.random() < r.choice((0.7, 0.85, 1)) else r.randrange(1, 60_000) for w in r.choice(bases)]
+            texts.append(np.array(ws[r.randint(0, 50) : 50] + key + ws[50 : r.randint(60, 100)], np.uint16))
+        at = [next(p for p in range(len(t)) if t[p : p + 20].tolist() == key) for t in texts]
+        near = [chains.around(t, p, p + 20, least) for t, p in zip(texts, at, strict=True)]
+        path = lambda x: [(at[x[0]], at[x[1]], 5), (at[x[0]] + 15, at[x[1]] + 15, 5)]
+        alike = [(x, y) for x in range(n) for y in range(x) if chains.align(texts[x].tolist(), texts[y].tolist(), path((x, y)), least, 0.8)]
+        want = components(n, alike)
+        h, root = np.arange(n), np.array(want) if trial % 3 == 1 else np.arange(n)
+        monkeypatch.setattr(chains, "PLACES", r.choice((1, 3000, 1 << 22)))
+        none = np.zeros(n, bool)
+        got = chains.linked(h, root, none, None, near, least, 0.8)
+        assert {i for x in got for i in x} == {i for x in alike for i in x}
+        if trial % 3 == 1:  # linked and covered before: nothing to tell
+            assert chains.linked(h, root, ~none, None, near, least, 0.8) == []
+            continue
+        assert components(n, got) == want
+        block = h % 2
+        two = [x for b in (0, 1) for m in [np.flatnonzero(block == b)] if len(m) > 1 for x in [(m[i], m[j]) for i, j in chains.linked(h[m], root[m], none[m], None, [near[i] for i in m], least, 0.8)]]
+        assert components(n, two + chains.linked(h, root, none, block, near, least, 0.8)) == want
+
+
 # --- the whole
 
 
