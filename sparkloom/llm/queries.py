@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chains, chat, html_text, lzprint, packing, quality, secrets, simhash, warc, winnow
+from sparkloom.llm import audit, chains, chat, fastsketch, fim, html_text, lzprint, packing, quality, secrets, simhash, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,22 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k
     )
 
 
+def op11_fast_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastsketch.near_duplicates(_read(spark, sf_dir, "documents"), words=3, similarity=85)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fim.transform(_read(spark, sf_dir, "documents"))
+    return got.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_weak_labels": op2_weak_labels,
@@ -86,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_chains": op9_chains,
     "op10_winnowing": op10_winnowing,
+    "op11_fast_sketches": op11_fast_sketches,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 OP10_SQL = r"""
@@ -126,4 +145,47 @@ select pair_id, segment, turn, "role", '<|' || "role" || '|>' || chr(10) || text
 from t
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_preferences": OP7_SQL, "op10_winnowing": OP10_SQL}
+OP11_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as materialized (select doc_id, list_distinct(list_transform(range(1, greatest(2, len(w) - 1)), lambda i: array_to_string(w[i : i + 2], ' '))) s from w where len(w) > 0),
+f as materialized (select doc_id, len(s) n, unnest(s) g from s),
+p as (select a.doc_id a, b.doc_id b, a.n an, b.n bn, count(*) n_both from f a join f b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2, 3, 4),
+l as materialized (select a, b from p where 100 * n_both >= 85 * (an + bn - n_both)),
+e as materialized (select a, b from l union all select b, a from l),
+reach as (select doc_id, doc_id other from documents union select r.doc_id, e.b from reach r join e on e.a = r.other),
+c as (select doc_id, min(other) component_id from reach group by 1)
+select doc_id, coalesce(len(s), 0) n_shingles, component_id, doc_id = component_id kept from documents join c using (doc_id) left join s using (doc_id)
+"""
+
+OP12_SQL = r"""
+with h as (select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+g as (select *, cast('0x' || substr(h, 1, 8) as bigint) h1, cast('0x' || substr(h, 9, 8) as bigint) h2, cast('0x' || substr(h, 17, 8) as bigint) h3, cast('0x' || substr(h, 25, 8) as bigint) h4 from h),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) lo, greatest(h1 % (n + 1), h2 % (n + 1)) hi,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from g),
+o as (select *, substr(t, 1, lo) p, substr(t, lo + 1, hi - lo) m, substr(t, hi + 1, n - hi) s from c)
+select doc_id, n, form, case when form <> 'plain' then lo end prefix_chars, case when form <> 'plain' then hi - lo end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256
+from o
+"""
+
+OP13_SQL = r"""
+with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, min(doc_id) over (partition by coalesce(text, '')) least from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels group by 1),
+f as (select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic, case when len(w) < 100 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' else '' end
+  || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 'C' else '' end || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when doc_id > least then 'E' else '' end fails
+  from d left join l using (doc_id)),
+k as (select part, fails, count(*) n, sum(good) good, sum(toxic) toxic from f group by 1, 2),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+o as (select a.x || b.x || c.x || d.x || e.x filter_order from x a, x b, x c, x d, x e where a.x <> b.x and c.x not in (a.x, b.x) and d.x not in (a.x, b.x, c.x) and e.x not in (a.x, b.x, c.x, d.x)),
+r as (select part, fails, n, good, toxic, filter_order, coalesce(list_min(list_transform(string_split(fails, ''), lambda x: case when x <> '' then instr(filter_order, x) end)), 6) gone from k, o),
+s as (select unnest([1, 2, 3, 4, 5]) step),
+y as (select part, filter_order, step, substr(filter_order, step, 1) x, sum(case when gone > step then n else 0 end) kept, sum(case when gone = step then n else 0 end) removed,
+  sum(case when gone < step and contains(fails, substr(filter_order, step, 1)) then n else 0 end) redundant, sum(case when fails = substr(filter_order, step, 1) then n else 0 end) unique_fails,
+  sum(case when gone = step then good else 0 end) good_lost, sum(case when gone = step then toxic else 0 end) toxic_lost from r, s group by 1, 2, 3)
+select part, filter_order, cast(step as int) step, cast(kept as bigint) kept, cast(removed as bigint) removed, cast(redundant as bigint) redundant, cast(unique_fails as bigint) unique_fails,
+  cast(good_lost as bigint) good_lost, cast(toxic_lost as bigint) toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) shapley from y
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": OP4_SQL, "op7_preferences": OP7_SQL, "op10_winnowing": OP10_SQL, "op11_fast_sketches": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_filter_audit": OP13_SQL,
+}
