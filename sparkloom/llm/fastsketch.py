@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: int = 85, id_co
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = need(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("id", text).alias("k"), text.alias("text"))
     own = materialise(sketches(keyed, words), "sketches")
-    nodes = own.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "k")).alias("first"), F.min("sketch").alias("sketch"))
+    nodes = own.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("first"), F.min("sketch").alias("sketch"))
     nodes = materialise(nodes, "nodes")
     short = materialise(_short(nodes), "short")
 
