@@ -6,9 +6,11 @@ each is filled.  Two sketches agree in a coordinate with the chance of the sets'
 agreements is as concentrated as that of independent draws, at the cost of a few rounds in place of T.
 
 Bands of coordinates find candidates; every link is confirmed on the full sets.  A group of sets that share a band is
-first tied to one of its sets.  Groups that then still hold sets of several components are gone through in blocks: all of
-different components are compared by sketch, and whatever may be alike is confirmed too.  So no pair above the bound that
-shares a band goes unseen, and sets that one chain of links holds together are never paired with one another.
+first tied to one of its sets.  Groups that then still hold sets of several components are gone through in blocks: those
+of different components are compared by sketch, and where the sketches are near the full sets are compared within the task,
+unless links connect the two by then.  So no pair above the bound that shares a band goes unseen, a task tells no more than
+a link a set, and the rows told stay linear in groups of any size; comparisons grow with the square of the look-alikes
+of a group that nothing links.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from sparkloom.llm.winnow import grams
 T, T_BITS = 128, 7
 #: Chance that a pair at the bound shares no band, or agrees in fewer coordinates than asked for.
 MISS = 1e-6
-#: Sets that a task compares with one another, or with as many others.
-BLOCK = 2048
+#: Sets, and shingles, that a task compares with one another, or with as many others.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 FULL = np.uint64((1 << 64) - 1)
 
 
@@ -99,7 +101,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _bands(nodes: DataFrame, rows: int) -> DataFrame:
-    """(key, node, ...): every set once a band, with the further columns but the sketch."""
+    """(key, band, node, ...): every set once a band, with the further columns but the sketch."""
     rest = [c for c in nodes.columns if c not in ("node", "sketch")]
     kinds = "".join(f", {c} {nodes.schema[c].dataType.simpleString()}" for c in rest)
 
@@ -112,9 +114,9 @@ def _bands(nodes: DataFrame, rows: int) -> DataFrame:
                 key = np.full(len(wide), SEEDS[band])
                 for j in range(band * rows, (band + 1) * rows):
                     key = _finish(key ^ wide[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), *b.columns[2:]], names=["key", "node", *rest])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([band] * len(wide), pa.int32()), b.column(0), *b.columns[2:]], names=["key", "band", "node", *rest])
 
-    return nodes.select("node", "sketch", *rest).mapInArrow(run, f"key long, node long{kinds}")
+    return nodes.select("node", "sketch", *rest).mapInArrow(run, f"key long, band int, node long{kinds}")
 
 
 def _short(own: DataFrame) -> DataFrame:
@@ -129,26 +131,57 @@ def _short(own: DataFrame) -> DataFrame:
     return own.select("node", "sketch").mapInArrow(run, "node long, short binary")
 
 
-def _across(rows: pa.Table, least: int) -> np.ndarray:
-    """Pairs of one block, or of two blocks between them, of different roots and at least ``least`` agreements."""
-    node, root, block = (np.asarray(rows[c]) for c in ("node", "root", "block"))
-    across = bool(rows["across"][0].as_py())
+def _near(rows: pa.Table, least: int, per_band: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of one block, or of two blocks between them, of different roots and at least ``least`` agreements: a row with
+    others.  A pair is seen in the first band that it shares only."""
+    root, block = np.asarray(rows["root"]), np.asarray(rows["block"])
+    across, earlier = bool(rows["across"][0].as_py()), rows["band"][0].as_py()
     _, group, size = np.unique(root, return_inverse=True, return_counts=True)
     order = np.lexsort((group, size[group]))  # the largest component comes last and is never compared with itself
-    node, block, group = node[order], block[order], group[order]
+    block, group = block[order], group[order]
     wide = np.frombuffer(b"".join(rows["short"].to_pylist()), np.uint8).reshape(-1, T)[order]
     ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
-    found, lo = [], 0
+    lo = 0
     for hi in ends.tolist():
         for i in range(lo, hi):
-            near = (wide[hi:] == wide[i]).sum(axis=1) >= least
+            same = wide[hi:] == wide[i]
+            near = same.sum(axis=1) >= least
             if across:
                 near &= block[hi:] != block[i]
-            j = np.flatnonzero(near) + hi
+            j = np.flatnonzero(near)
+            j = j[~same[j, : earlier * per_band].reshape(len(j), earlier, per_band).all(axis=2).any(axis=1)]
             if len(j):
-                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+                yield int(order[i]), order[j + hi]
         lo = hi
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+def _links(rows: pa.Table, least: int, per_band: int, similarity: int) -> list[tuple[int, int]]:
+    """Links among the full sets of near rows that connect just the alike ones, no more than one a row."""
+    node, parent = np.asarray(rows["node"]), np.unique(np.asarray(rows["root"]), return_inverse=True)[1]
+    sets = [np.frombuffer(x, "<u8") for x in rows["hashes"].to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    numbers = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    has = np.zeros(int(sizes.sum()), bool)
+    tree, out = list(range(len(node))), []
+
+    def find(x: int) -> int:
+        while tree[x] != x:
+            tree[x] = x = tree[tree[x]]
+        return x
+
+    for i, others in _near(rows, least, per_band):
+        own = find(parent[i])
+        others = [j for j in others.tolist() if find(parent[j]) != own]
+        has[numbers[i]] = True
+        for j in others:
+            a, b = find(parent[i]), find(parent[j])
+            if a != b:
+                both = int(np.count_nonzero(has[numbers[j]]))
+                if 100 * both >= similarity * (sizes[i] + sizes[j] - both):
+                    tree[max(a, b)] = min(a, b)
+                    out.append((int(node[i]), int(node[j])))
+        has[numbers[i]] = False
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -181,7 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: int = 85, id_co
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = need(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("id", text).alias("k"), text.alias("text"))
     own = materialise(sketches(keyed, words), "sketches")
-    nodes = own.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("first"), F.min("sketch").alias("sketch"))
+    nodes = own.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     nodes = materialise(nodes, "nodes")
     short = materialise(_short(nodes), "short")
 
@@ -197,6 +230,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: int = 85, id_co
         both = salted_join(one, short, "node", F.col("a")).select("a", F.col("node").alias("b"), "x", F.col("short").alias("y"))
         return both.mapInArrow(run, "a long, b long")
 
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """(node, text) of rows (node)."""
+        asked = materialise(asked.join(nodes.select("node", "first.k"), "node"), "asked")
+        return join_counted(keyed.select("k", "text"), asked, ["k"]).groupBy("node").agg(F.first("text").alias("text"))
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, before, first = [], None, None
@@ -211,9 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: int = 85, id_co
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are alike."""
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        asked = materialise(asked.join(nodes.select("node", "first.k"), "node"), "asked")
-        texts = materialise(join_counted(keyed.select("k", "text"), asked, ["k"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+        texts = materialise(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "texts")
         full = hot_join(pairs.withColumnRenamed("a", "node"), texts, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("text").alias("x"))
         full = hot_join(full, texts, "node", F.col("a"), counted=pairs.withColumnRenamed("b", "node")).select("a", F.col("node").alias("b"), "x", F.col("text").alias("y"))
         return materialise(full.mapInArrow(confirm, "a long, b long"), "links")
@@ -223,26 +259,40 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: int = 85, id_co
     lead = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("key", "a")
     stars = salted_join(bands, lead, "key", F.col("node")).where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = linked(materialise(near(materialise(stars, "stars")), "near"))
-    # what shares a group and lies in different components yet
+    # what shares a group and lies in different components yet: near ones first by sketch, then by the full sets
     roots = connected_components(links)
-    grouped = materialise(nodes.join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root")), "grouped")
+    grouped = materialise(nodes.join(roots, "node", "left").select("node", "n", "sketch", F.coalesce("root", "node").alias("root")), "grouped")
     bands = _bands(grouped, rows)
-    mixed = bands.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = bands.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("key", "blocks")
     members = salted_join(bands, mixed, "key", F.col("node")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = salted_join(members, short, "node", F.col("key")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task")
-    members = members.select(task, "node", "root", "block", F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("across"), "short")
+    members = members.select(task, "node", "root", "block", F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("across"), "band", "short")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches):
-            got = _across(group, least)
-            if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
-
-    rest = members.repartition("task").sortWithinPartitions("task").mapInArrow(between, "a long, b long").distinct()
-    rest = materialise(rest, "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(linked(rest))
+            seen = np.zeros(group.num_rows, bool)
+            for i, others in _near(group, least, rows):
+                seen[i] = seen[others] = True
+            yield from group.filter(pa.array(seen)).to_batches()
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches):
+            got = _links(group, least, rows, similarity)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)], names=["a", "b"])
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], names=["node", "hashes"])
+
+    kinds = "task long, node long, root long, block int, across int, band int, short binary"
+    close = materialise(members.repartition("task").sortWithinPartitions("task").mapInArrow(between, kinds), "close")
+    if not close.isEmpty():
+        sets = materialise(texts_of(close.select("node").distinct()).mapInArrow(whole_sets, "node long, hashes binary"), "sets")
+        tied = close.join(sets, "node").select(*close.columns, "hashes").repartition("task").sortWithinPartitions("task")
+        links = links.unionByName(materialise(tied.mapInArrow(inside, "a long, b long"), "tied"))
         roots = connected_components(links)
     roots = materialise(roots, "roots")
     whole = nodes.join(roots, "node", "left").select("node", "first.id", F.coalesce("root", "node").alias("root"))
