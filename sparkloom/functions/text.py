@@ -36,7 +36,7 @@ def first_words(raw: Column, at: int = 100) -> Column:
 
 def snippet(text: str | Column, most: int = 80) -> Column:
     """The first line, cut to ``most`` characters and marked if it is longer."""
-    line = F.split(text, "\n")[0]
+    line = F.substring_index(F.substring(text, 1, most + 1), "\n", 1)  # the head alone tells
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("..."))).otherwise(line)
 
 

@@ -18,7 +18,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, mix: Column, how: s
     rows go to SALTS tasks at least, and adaptive execution can split them further.
     """
     salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(mix), F.lit(SALTS)).cast("int"))
+    # never null, so that the join infers no filter for one side only and both sides can use one shuffle
+    spread = left.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(mix), F.lit(SALTS)).cast("int"), F.lit(0)))
     copies = right.withColumn("_salt", F.explode(salts))
     return spread.join(copies, [key, "_salt"], how).drop("_salt")
 

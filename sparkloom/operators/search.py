@@ -21,7 +21,8 @@ def index_long(docs: DataFrame) -> DataFrame:
 
 
 def _block() -> Column:
-    return F.floor(F.col("doc_id") / BLOCK).cast("long").alias("block")
+    # never null, so that joins on it infer no filter for one side only and both sides can use one shuffle
+    return F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), F.lit(0).cast("long")).alias("block")
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
@@ -40,7 +41,8 @@ def index_gaps(docs: DataFrame) -> DataFrame:
     Windows are over a block; a block's first gap comes from the last document of the term's block before.
     """
     rows = index_long(docs).withColumn("block", _block())
-    ends = rows.groupBy("term", "block").agg(F.max("doc_id").alias("last"))
+    # the frequency, always above 0, is asked for on this side too, so that both sides read one shuffle of the counts
+    ends = rows.groupBy("term", "block").agg(F.max("doc_id").alias("last"), F.max("tf").alias("most")).where("most > 0")
     ends = ends.select("term", "block", F.lag("last", 1, 0).over(W.partitionBy("term").orderBy("block")).alias("base"))
     before = F.lag("doc_id").over(W.partitionBy("term", "block").orderBy("doc_id"))
     return rows.withColumn("before", before).join(ends, ["term", "block"]).select("term", "doc_id", (F.col("doc_id") - F.coalesce("before", "base")).alias("gap"), "tf")
@@ -88,4 +90,9 @@ def search(docs: DataFrame, query: str, index: DataFrame | None = None) -> DataF
     terms, condition = compile_rpn(query)
     rows = (index if index is not None else index_long(docs)).where(F.col("term").isin(terms))
     has = rows.groupBy("doc_id").agg(*[F.bool_or(F.col("term") == t).alias(f"has_{i}") for i, t in enumerate(terms)])
-    return has.where(condition).select("doc_id").join(docs.select("doc_id", snippet("text").alias("snippet")), "doc_id")
+    return with_snippets(has.where(condition).select("doc_id"), docs)
+
+
+def with_snippets(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, snippet) of documents (doc_id)."""
+    return hits.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", snippet("text").alias("snippet"))

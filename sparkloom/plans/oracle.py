@@ -119,6 +119,10 @@ SQL |= {
     "pagerank_settled": f"with {_NAT}{_rank_ctes(60)} select id, round(rank, 5) rank from r60",
     "ppr_settled": f"with {_NAT}{_ppr_ctes(60, [5])} select id, round(rank, 5) rank from r60",
     "bool_rpn_stored": SQL["bool_rpn"],
+    "bool_rpn_compressed": SQL["bool_rpn"],
+    "bool_and_compressed": SQL["bool_and"],
+    "index_compressed": f"with {_IDX}, blocks as (select term, doc_id // 65536 range, ceil(count(*) / 128)::bigint n from idx group by 1, 2), b as (select term, cast(sum(n) as bigint) n_blocks from blocks group by 1) select term, n_blocks, count(*) df, min(doc_id) first_doc, max(doc_id) last_doc, cast(sum(tf) as bigint) sum_tf from idx join b using (term) group by 1, 2",
+    "index_decode_compressed": SQL["inverted_index_long"],
     "word_lookup_stored": f"with {_IDX} select term, count(*) df, cast(sum(tf) as bigint) n from idx where term = 'the' group by 1",
     "bigram_stripes": f"with {_BI} select a, string_agg(b || ':' || n, ',' order by b) stripe from bi group by 1",
     "line_scan": "select count(*) n_lines, cast(sum(length(line)) as bigint) n_chars from (select unnest(string_split(text, chr(10))) line from documents)",

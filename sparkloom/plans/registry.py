@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import feature_id, tokens
-from sparkloom.operators import classify, graph, relational, search, text_stats
+from sparkloom.operators import classify, graph, postings, relational, search, text_stats
 from sparkloom.sources import tables
 from sparkloom.sources.shared import materialise, new_path
 from sparkloom.sources.tables import load
@@ -83,6 +83,26 @@ def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compressed index, written sorted by term and first document."""
+    path = new_path(spark, "blocks")
+    postings.write_blocks(load(spark, sf_dir, "documents"), path)
+    return spark.read.parquet(path)
+
+
+def bool_compressed(query: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.with_snippets(postings.matches(stored_blocks(spark, sf_dir), query), load(spark, sf_dir, "documents"))
+
+    return run
+
+
+def index_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each term, and what their columns say of it without decoding."""
+    blocks = stored_blocks(spark, sf_dir).groupBy("term")
+    return blocks.agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n").alias("df"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum("sum_tf").alias("sum_tf"))
+
+
 def bigram_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word's map of successors, written out in order."""
     entries = F.transform(F.map_entries("stripe"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
@@ -148,6 +168,10 @@ QUERIES: dict[str, Query] = {
     "bool_or": _docs(search.search, "und que OR"),
     "bool_rpn": _docs(search.search, "the of AND de la AND OR nosuchterm OR"),
     "bool_rpn_stored": lambda spark, d: search.search(load(spark, d, "documents"), "the of AND de la AND OR nosuchterm OR", stored_index(spark, d)),
+    "bool_rpn_compressed": bool_compressed("the of AND de la AND OR nosuchterm OR"),
+    "bool_and_compressed": bool_compressed("the shor AND"),
+    "index_compressed": index_compressed,
+    "index_decode_compressed": lambda spark, d: postings.decompress(stored_blocks(spark, d)),
     "word_lookup_stored": lambda spark, d: stored_index(spark, d).where(F.col("term") == "the").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")),
     "bigram_stripes": bigram_stripes,
     "line_scan": line_scan,

@@ -81,9 +81,9 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t")
 
 
-def write_sorted(df: DataFrame, path: str, key: str) -> None:
-    """A keyed table for point lookups: ranges of the key in files, sorted, so that scans prune by footer statistics."""
-    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
+    """A keyed table for point lookups: ranges of the keys in files, sorted, so that scans prune by footer statistics."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def replace_table(df: DataFrame, name: str) -> None:
