@@ -1,7 +1,8 @@
 """Graph ranking: PageRank, personalised PageRank for many sources at once, top nodes, ranges, weak components.
 
-Ranks are linear doubles.  Each iteration joins the edges with the ranks, sums by target and writes one table to the
-shared folder; the mass that dangling and vanished nodes lose is one number a source, read by the driver.
+Ranks are linear doubles (``log_ranks`` has logarithms).  Each iteration joins the edges with the ranks, sums by target
+and writes one table to the shared folder; the mass that dangling and vanished nodes lose, and what else is counted, is
+observed by the pass that writes.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.operators.joins import connected_components
+from sparkloom.sources.rounds import Rounds
 from sparkloom.sources.shared import bucketed, discard, materialise
 
 ALPHA = 0.15
@@ -41,23 +43,83 @@ def _shares(edges: DataFrame) -> DataFrame:
     return edges.join(degree, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share"))
 
 
-def _next(inc: DataFrame, n: int, alpha: float) -> DataFrame:
-    miss = max(0.0, 1.0 - inc.agg(F.sum("inc")).first()[0])
+def _next(inc: DataFrame, n: int, alpha: float, mass: float | None) -> DataFrame:
+    miss = max(0.0, 1.0 - (mass or 0.0))
     return inc.select("id", (alpha / n + (1 - alpha) * (F.col("inc") + miss / n)).alias("rank"))
 
 
-def _rounds(nodes: DataFrame, edges: DataFrame, alpha: float) -> Iterator[DataFrame]:
-    """Ranks at the start and after each iteration; a round's table goes once the next one is written."""
+def _step(nodes: DataFrame, shares: DataFrame, ranks: DataFrame) -> tuple[DataFrame, Observation]:
+    """(id, inc) of every node, and what its writing observes: the mass that arrives, messages sent along edges, nodes that
+    received any, nodes without a record that did, and messages saved by summing up for a target.
+
+    All of it is observed by the tasks that write, each of which counts once, however often tasks before are run again.
+    """
+    sent = shares.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("inc"), F.count(F.lit(1)).alias("n"))
+    rows = nodes.select("id", F.lit(True).alias("known")).join(sent, "id", "full")
+    seen, count = Observation(), F.count(F.lit(1))
+    rows = rows.observe(
+        seen, F.sum(F.when(F.col("known"), F.col("inc"))).alias("mass"), F.coalesce(F.sum("n"), F.lit(0)).alias("messages"), F.count("n").alias("received"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("saved"), (count - F.count("known")).alias("missing"),
+    )
+    return rows.where("known").select("id", F.coalesce("inc", F.lit(0.0)).alias("inc")), seen
+
+
+def _counted_rounds(nodes: DataFrame, edges: DataFrame, alpha: float) -> Iterator[tuple[DataFrame, dict]]:
+    """Ranks at the start and after each iteration with its counters; a round's table goes once the next one is written."""
     n = nodes.count()
     ranks, old = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")), []
-    yield ranks
+    yield ranks, {}
     shares = materialise(_shares(edges), "shares")
     while True:
-        sent = shares.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("inc"))
-        inc = materialise(nodes.select("id").join(sent, "id", "left").select("id", F.coalesce("inc", F.lit(0.0)).alias("inc")), "inc")
+        inc, seen = _step(nodes, shares, ranks)
+        inc = materialise(inc, "inc")
         discard(*old)
-        ranks, old = _next(inc, n, alpha), [inc]
-        yield ranks
+        ranks, old = _next(inc, n, alpha, seen.get["mass"]), [inc]
+        yield ranks, seen.get
+
+
+def _rounds(nodes: DataFrame, edges: DataFrame, alpha: float) -> Iterator[DataFrame]:
+    return (ranks for ranks, _ in _counted_rounds(nodes, edges, alpha))
+
+
+def pagerank_counters(nodes: DataFrame, edges: DataFrame, iterations: int, alpha: float = ALPHA) -> DataFrame:
+    """(round, messages, received, saved, missing, mass) of each iteration of ``pagerank``, observed in passing."""
+    rows = [] if nodes.isEmpty() else [(k, c["messages"], c["received"], c["saved"], c["missing"], c["mass"] or 0.0) for k, (_, c) in enumerate(islice(_counted_rounds(nodes, edges, alpha), 1, iterations + 1), 1)]
+    return nodes.sparkSession.createDataFrame(rows, "round int, messages long, received long, saved long, missing long, mass double")
+
+
+def pagerank_resumable(nodes: DataFrame, edges: DataFrame, base: str, end: int, alpha: float = ALPHA, keep: int = 1) -> DataFrame:
+    """The ranks of ``pagerank`` after ``end`` iterations, from the last round that is committed below ``base``.
+
+    A lost driver goes on there: rounds committed by then aren't run again, and neither the nodes nor the edges need be
+    built again, as round 0 keeps them.  The last ``keep`` rounds stay for later calls; an ``end`` before them is an error.
+    """
+    rounds = Rounds(nodes.sparkSession, base, keep)
+    done = rounds.committed()
+    if not done:
+        n = nodes.count()
+        if not n:
+            return nodes.select("id", F.lit(0.0).alias("rank"))
+        # the uniform start as a table of what arrived: nothing, and all of the mass is missing
+        first = nodes.select("id", F.lit(1.0 / n).alias("inc"))
+        rounds.commit(0, rounds.write(first, "inc"), n=n, mass=None, nodes=rounds.write(nodes.select("id"), "nodes"), shares=rounds.write(_shares(edges), "shares"))
+        done = [0]
+    if done[-1] > end and end not in done:
+        raise ValueError(f"round {end} is gone; the rounds from {done[0]} to {done[-1]} are kept")
+    at = max(k for k in done if k <= end)
+    facts = rounds.facts(at)
+    n, shares, known = facts["n"], rounds.read(facts["shares"]), rounds.read(facts["nodes"])
+
+    def ranks() -> DataFrame:
+        return rounds.table(at).withColumnRenamed("inc", "rank") if at == 0 else _next(rounds.table(at), n, alpha, facts["mass"])
+
+    while at < end:
+        inc, seen = _step(known, shares, ranks())
+        data = rounds.write(inc, "inc")
+        rounds.commit(at + 1, data, **{k: facts[k] for k in ("n", "nodes", "shares")}, **seen.get)
+        at += 1
+        facts = rounds.facts(at)
+    return ranks()
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int, alpha: float = ALPHA) -> DataFrame:
@@ -91,41 +153,76 @@ def pagerank_copartitioned(nodes: DataFrame, edges: DataFrame, iterations: int,
         from_each = [p.join(ranks, p["src"] == ranks["id"]).select("dst", (F.col("share") * F.col("rank")).alias("mass")) for p in parts]
         sent = from_each[0] if len(parts) == 1 else from_each[0].unionByName(from_each[1])
         sent = sent.groupBy(F.col("dst").alias("id")).agg(F.sum("mass").alias("inc"))
-        inc = bucketed(known.join(sent, "id", "left").select("id", F.coalesce("inc", F.lit(0.0)).alias("inc")), "inc", "id")
+        seen = Observation()
+        inc = bucketed(known.join(sent, "id", "left").select("id", F.coalesce("inc", F.lit(0.0)).alias("inc")).observe(seen, F.sum("inc").alias("mass")), "inc", "id")
         discard(*old)
-        ranks, old = _next(inc, n, alpha), [inc]
+        ranks, old = _next(inc, n, alpha, seen.get["mass"]), [inc]
     return ranks
 
 
+#: Sources whose ranks stand in one row of a node.
+CHUNK = 32
+
+
 def _personal_rounds(nodes: DataFrame, edges: DataFrame, sources: list[int], alpha: float) -> Iterator[DataFrame]:
-    """Ranks of every source at the start and after each iteration; a round's table goes once the next one is written."""
+    """(id, chunk, pairs map<position, rank>) at the start and after each iteration, of the nodes that any source of the
+    chunk reaches: a row a node, with the sources that reach it only.  A round's table goes once the next one is written.
+
+    Messages carry a node's pairs; they are summed position by position, partially before the shuffle.
+    """
+    spark = nodes.sparkSession
     known = {r[0] for r in nodes.where(F.col("id").isin(sources)).select("id").collect()}
     if missing := set(sources) - known:
         raise ValueError(f"not in the graph: {sorted(missing)}")
-    each = nodes.select(F.explode(F.array(*[F.lit(int(s)).cast("long") for s in sources])).alias("source"), F.col("id").cast("long").alias("id"))
-    ranks, old = each.select("source", "id", F.when(F.col("source") == F.col("id"), 1.0).otherwise(0.0).alias("rank")), []
+    width = min(CHUNK, len(sources))
+    kinds = "id long, chunk int, pairs map<int,double>"
+    at_home = lambda value: spark.createDataFrame([(int(s), i // CHUNK, {i % CHUNK: value}) for i, s in enumerate(sources)], kinds)
+    place = {s: i for i, s in enumerate(sources)}
+    ranks, old = at_home(1.0), []
     yield ranks
-    shares = materialise(_shares(edges), "shares")
+    shares, ids = materialise(_shares(edges), "shares"), nodes.select(F.col("id").cast("long").alias("id"))
+    own = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for s, i in place.items() for x in (s, i)]), F.col("id"))  # a source's position
     while True:
-        live = ranks.where("rank > 0").withColumnRenamed("id", "src")
-        sent = shares.join(live, "src").groupBy("source", F.col("dst").cast("long").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("inc"))
-        inc = materialise(each.join(sent, ["source", "id"], "left").select("source", "id", F.coalesce("inc", F.lit(0.0)).alias("inc")), "inc")
+        sent = shares.join(ranks.withColumnRenamed("id", "src"), "src").select(F.col("dst").cast("long").alias("id"), "chunk", "share", "pairs")
+        sent = sent.unionByName(at_home(0.0).withColumn("share", F.lit(0.0)))
+        value = lambda i: F.sum(F.col("share") * F.coalesce(F.try_element_at("pairs", F.lit(i)), F.lit(0.0))).alias(f"v{i}")
+        sums = sent.groupBy("id", "chunk").agg(*[value(i) for i in range(width)]).join(ids, "id", "left_semi")
+        seen = Observation()
+        metrics = [F.sum(F.when(F.col("chunk") == i // CHUNK, F.col(f"v{i % CHUNK}"))).alias(f"m{i}") for i in range(len(sources))]
+        entries = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"v{i}").alias("v")) for i in range(width)])
+        kept = F.filter(entries, lambda e: (e["v"] > 0) | (F.col("chunk") * CHUNK + e["k"]).eqNullSafe(own))
+        inc = materialise(sums.observe(seen, *metrics).select("id", "chunk", F.map_from_entries(kept).alias("pairs")).where(F.size("pairs") > 0), "inc")
         discard(*old)
-        miss = {r[0]: max(0.0, 1.0 - r[1]) for r in inc.groupBy("source").agg(F.sum("inc")).collect()}  # one row a source
-        lost = F.lit(0.0)
-        for s, m in miss.items():
-            lost = F.when(F.col("source") == s, F.lit(m)).otherwise(lost)
-        at_home = F.col("source") == F.col("id")
-        ranks, old = inc.select("source", "id", F.when(at_home, alpha + (1 - alpha) * (F.col("inc") + lost)).otherwise((1 - alpha) * F.col("inc")).alias("rank")), [inc]
+        lost = F.array(*[F.lit(max(0.0, 1.0 - (seen.get[f"m{i}"] or 0.0))) for i in range(len(sources))])
+        here = alpha + (1 - alpha) * F.element_at(lost, (own + 1).cast("int"))
+        ranks = inc.select("id", "chunk", F.transform_values("pairs", lambda k, v: (1 - alpha) * v + F.when((F.col("chunk") * CHUNK + k).eqNullSafe(own), here).otherwise(0.0)).alias("pairs"))
+        old = [inc]
         yield ranks
 
 
-def personalised(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA) -> DataFrame:
-    """(source, id, rank) for every source in one run.
+def _long(ranks: DataFrame, sources: list[int]) -> DataFrame:
+    names = F.array(*[F.lit(int(s)).cast("long") for s in sources])
+    return ranks.select("id", "chunk", F.explode("pairs").alias("k", "rank")).select(names[F.col("chunk") * CHUNK + F.col("k")].alias("source"), "id", "rank")
+
+
+def personalised_reached(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA) -> DataFrame:
+    """(source, id, rank) for every source in one run, of the nodes that it reaches.
 
     At the source r' = alpha + (1 - alpha) (inc + miss), elsewhere (1 - alpha) inc.  The sources are a short list.
     """
-    return next(islice(_personal_rounds(nodes, edges, sources, alpha), iterations, None))
+    sources = list(dict.fromkeys(sources))
+    return _long(next(islice(_personal_rounds(nodes, edges, sources, alpha), iterations, None)), sources)
+
+
+def personalised(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA) -> DataFrame:
+    """(source, id, rank) as above for all nodes, 0 where a source doesn't reach."""
+    sources = list(dict.fromkeys(sources))
+    return _all_nodes(nodes, personalised_reached(nodes, edges, sources, iterations, alpha), sources)
+
+
+def _all_nodes(nodes: DataFrame, reached: DataFrame, sources: list[int]) -> DataFrame:
+    each = nodes.select(F.explode(F.array(*[F.lit(int(s)).cast("long") for s in sources])).alias("source"), F.col("id").cast("long").alias("id"))
+    return each.join(reached, ["source", "id"], "left").select("source", "id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
 
 
 def top(ranks: DataFrame, n: int) -> DataFrame:
@@ -165,19 +262,21 @@ def sequential_pagerank(nodes: DataFrame, edges: DataFrame, jump: float = ALPHA,
 
 def sequential_personalised(nodes: DataFrame, edges: DataFrame, source: int, jump: float = ALPHA, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
     """(id, rank) from one source, of distinct edges, iterated as above."""
-    return _settled(_personal_rounds(nodes, edges.distinct(), [source], jump), tolerance, most, ["source", "id"]).drop("source")
+    rounds = (_long(r, [source]) for r in _personal_rounds(nodes, edges.distinct(), [source], jump))
+    return _all_nodes(nodes, _settled(rounds, tolerance, most, ["source", "id"]), [source]).drop("source")
 
 
 def _settled(rounds: Iterator[DataFrame], tolerance: float, most: int, keys: list[str], step: int = 8) -> DataFrame:
     last = materialise(next(rounds), "ranks")
     for _ in range(0, most, step):
         now = materialise(next(islice(rounds, step - 1, None)), "ranks")
-        moved = now.join(last.withColumnRenamed("rank", "before"), keys).agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
+        change = F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))
+        moved = now.join(last.withColumnRenamed("rank", "before"), keys, "full").agg(F.max(change)).first()[0]
         discard(last)
         last = now
         if moved is None or moved <= tolerance:
-            break
-    return last
+            return last
+    raise RuntimeError(f"ranks moved by {moved} after {most} rounds")
 
 
 def dump(ranks: DataFrame, edges: DataFrame, neighbours: int = 10) -> DataFrame:

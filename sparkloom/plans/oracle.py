@@ -29,6 +29,11 @@ _NAT = """edges as (select distinct s_nationkey::bigint src, c_nationkey::bigint
 nodes as (select n_nationkey::bigint id from nation)"""
 
 
+_PUR = """lines as (select o_custkey * 2 c, l_partkey * 2 + 1 p, bool_or(l_returnflag = 'R' and l_quantity > 45) back from lineitem join orders on l_orderkey = o_orderkey group by 1, 2),
+edges as (select c src, p dst from lines union all select p, c from lines where back),
+nodes as (select c_custkey * 2 id from customer union all select p_partkey * 2 + 1 from part where p_size < 45)"""
+
+
 def _rank_ctes(k: int) -> str:
     out = ", deg as (select src, count(*) d from edges group by 1), r0 as (select id, 1.0::double / (select count(*) from nodes) rank from nodes)"
     for i in range(1, k + 1):
@@ -114,7 +119,28 @@ SQL: dict[str, str] = {
     "spam_auc": f"with {_SPAM}, a as ({_APPLY}) select round(100 * (1 - sum(case when p.score > n.score then 1.0 when p.score = n.score then 0.5 else 0 end)::double / count(*)), 6) one_minus_auc_pct from (select score from a where label = 'spam') p, (select score from a where label = 'ham') n",
 }
 
+_PUR_SOURCES = [0, 2, 4, 1, 7, 40]
+_MESSAGES = """select '{0}' strategy, (select count(distinct dst) from placed join nodes on dst = id where part = dest) inside,
+  (select count(*) from (select distinct part, dst from placed join nodes on dst = id where part <> dest)) shuffled"""
+_WIDTH = "((select max(id) - min(id) from nodes) // 8 + 1)"
+
+
+def _placed(strategy: str) -> str:
+    at = {"modulo": "({0} % 8)", "range": f"greatest(least(({{0}} - (select min(id) from nodes)) // {_WIDTH}, 7), 0)"}[strategy]
+    return f"(with placed as (select {at.format('src')} part, {at.format('dst')} dest, dst from edges where src in (select id from nodes)) {_MESSAGES.format(strategy)})"
+
+
 SQL |= {
+    "pagerank_resumed": SQL["pagerank"],
+    "pagerank_purchases": f"with {_PUR}{_rank_ctes(4)} select id, round(rank, 8) rank from r4",
+    "pagerank_ranged": f"with {_PUR}{_rank_ctes(4)} select id, round(rank, 8) rank from r4",
+    "pagerank_log": f"with {_PUR}{_rank_ctes(4)} select id, round(ln(rank), 7) log_rank from r4",
+    "pagerank_counters": f"with {_PUR}{_rank_ctes(3)}, live as (select dst from edges where src in (select id from nodes)), c as (select count(*) messages, count(distinct dst) received, count(distinct dst) filter (dst not in (select id from nodes)) missing from live) "
+    + "select round::int round, messages, received, messages - received saved, missing, round(mass, 8) mass from c, (" + " union all ".join(f"select {k} round, sum(inc) mass from i{k}" for k in (1, 2, 3)) + ")",
+    "partition_messages": f"with {_PUR} {_placed('modulo')} union all {_placed('range')}",
+    "ppr_vectors": f"with {_PUR}{_ppr_ctes(4, _PUR_SOURCES)} select source, id, round(rank, 8) rank from r4 where rank > 0",
+    "ppr_vectors_top": f"with {_PUR}{_ppr_ctes(4, _PUR_SOURCES)} select source, id, rank from (select source, id, round(rank, 8) rank, row_number() over (partition by source order by round(rank, 8) desc, id) p from r4 where rank > 0) where p <= 10",
+    "ppr_log": f"with {_PUR}{_ppr_ctes(4, [2])} select id, case when rank > 0 then round(ln(rank), 7) end log_rank from r4",
     "pagerank_copartitioned": SQL["pagerank"],
     "pagerank_settled": f"with {_NAT}{_rank_ctes(60)} select id, round(rank, 5) rank from r60",
     "ppr_settled": f"with {_NAT}{_ppr_ctes(60, [5])} select id, round(rank, 5) rank from r60",

@@ -169,3 +169,131 @@ def test_sequential_ranks_settle(spark):
     nodes, edges = _toy(spark)
     got = {r.id: r["rank"] for r in graph.sequential_pagerank(nodes, edges).collect()}
     assert math.isclose(sum(got.values()), 1, abs_tol=1e-9)
+
+
+def _random_graph(spark, n=60, m=300, seed=2):
+    import random
+
+    r = random.Random(seed)
+    edges = [(r.randrange(n - 10), r.randrange(n + 5)) for _ in range(m)]  # some dangle, some ids have no record
+    return spark.range(n).select("id"), spark.createDataFrame(edges, "src long, dst long"), edges
+
+
+def _plain_ranks(n, edges, k, source=None, alpha=0.15):
+    out = {}
+    for s, d in edges:
+        out.setdefault(s, []).append(d)
+    r = {i: (1 / n if source is None else float(i == source)) for i in range(n)}
+    for _ in range(k):
+        inc = dict.fromkeys(range(n), 0.0)
+        for s, ds in out.items():
+            for d in ds:
+                if d in inc:
+                    inc[d] += r[s] / len(ds)
+        miss = max(0.0, 1 - sum(inc.values()))
+        r = {i: alpha / n + (1 - alpha) * (x + miss / n) if source is None else (1 - alpha) * x + (i == source) * (alpha + (1 - alpha) * miss) for i, x in inc.items()}
+    return r
+
+
+@pytest.mark.parametrize("chunk", [32, 2])
+def test_vectors_of_many_sources_are_single_runs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    nodes, edges, plain = _random_graph(spark)
+    sources = [3, 17, 55, 8, 3]
+    got = {(r.source, r.id): r["rank"] for r in graph.personalised(nodes, edges, sources, 3).collect()}
+    want = {(s, i): x for s in sources for i, x in _plain_ranks(60, plain, 3, s).items()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    reached = {(r.source, r.id) for r in graph.personalised_reached(nodes, edges, sources, 3).collect()}
+    assert reached == {k for k, x in want.items() if x > 0}
+    rows = next(r for i, r in enumerate(graph._personal_rounds(nodes, edges, [3, 17, 55, 8], 0.15)) if i == 2)
+    assert rows.count() <= len({(i // chunk, k) for i, s in enumerate([3, 17, 55, 8]) for k, x in _plain_ranks(60, plain, 2, s).items() if x > 0})
+
+
+def test_a_lost_driver_goes_on(spark, tmp_path, monkeypatch):
+    nodes, edges, plain = _random_graph(spark)
+    base, steps, step = f"file://{tmp_path}/ranks", [], graph._step
+
+    def lost(*args):
+        if len(steps) == 2:
+            raise KeyboardInterrupt
+        steps.append(1)
+        return step(*args)
+
+    monkeypatch.setattr(graph, "_step", lost)
+    with pytest.raises(KeyboardInterrupt):
+        graph.pagerank_resumable(nodes, edges, base, 4)
+    (tmp_path / "ranks" / "inc-lost").mkdir()  # what a lost attempt leaves is no round
+    monkeypatch.setattr(graph, "_step", lambda *a: steps.append(2) or step(*a))
+    got = {r.id: r["rank"] for r in graph.pagerank_resumable(nodes.limit(0), edges.limit(0), base, 4).collect()}
+    want = _plain_ranks(60, plain, 4)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-12) for i in want)
+    assert steps == [1, 1, 2, 2]
+    graph.pagerank_resumable(nodes, edges, base, 4)
+    assert steps == [1, 1, 2, 2] and [p.name for p in (tmp_path / "ranks/rounds").glob("*.json")] == ["000004.json"]
+    assert len(list((tmp_path / "ranks").glob("inc-*"))) == 2  # the last round and the lost attempt
+    with pytest.raises(ValueError):
+        graph.pagerank_resumable(nodes, edges, base, 2)
+
+
+def test_counters_are_observed_in_passing(spark):
+    nodes, edges, plain = _random_graph(spark)
+    rows = graph.pagerank_counters(nodes, edges, 3).collect()
+    n, to = sum(s < 60 for s, _ in plain), {d for s, d in plain if s < 60}
+    assert [(r.round, r.messages, r.received, r.saved, r.missing) for r in rows] == [(k, n, len(to), n - len(to), len({d for d in to if d >= 60})) for k in (1, 2, 3)]
+    assert graph.pagerank_counters(nodes.limit(0), edges, 2).count() == 0
+
+
+def test_log_ranks(spark):
+    from sparkloom.operators import log_ranks
+
+    nodes, edges, plain = _random_graph(spark)
+    got = {r.id: r.log_rank for r in log_ranks.pagerank(nodes, edges, 3).collect()}
+    assert all(math.isclose(math.exp(got[i]), x, rel_tol=1e-10) for i, x in _plain_ranks(60, plain, 3).items())
+    got = {r.id: r.log_rank for r in log_ranks.personalised(nodes, edges, 3, 3).collect()}
+    want = _plain_ranks(60, plain, 3, 3)
+    assert all(got[i] is None if x == 0 else math.isclose(math.exp(got[i]), x, rel_tol=1e-10) for i, x in want.items())
+    # many far-apart buckets, and ranks that a double can't hold
+    rows = spark.createDataFrame([(1, -800.0), (1, -800.0), (1, -5000.0), (2, -2000.5), (3, 650.0), (3, 650.0), (4, None)], "k int, x double")
+    sums = {r.k: r.x for r in log_ranks.log_sum(rows, "k", "x").collect()}
+    assert sums.keys() == {1, 2, 3} and all(math.isclose(sums[k], v) for k, v in {1: -800 + math.log(2), 2: -2000.5, 3: 650 + math.log(2)}.items())
+    fan = 10**50
+    shares = spark.createDataFrame([(i, i + 1, 1.0 / fan) for i in range(7)], "src long, dst long, share double")
+    ranks = spark.range(8).select("id", F.when(F.col("id") == 0, 0.0).alias("log_rank"))
+    for _ in range(7):
+        ranks = log_ranks._arrived(spark.range(8), shares, ranks)[0].withColumnRenamed("inc", "log_rank")
+    assert math.isclose(ranks.where("id = 7").first().log_rank, -7 * math.log(fan))
+
+
+def test_ranks_that_do_not_settle_raise(spark):
+    nodes, edges = _toy(spark)
+    with pytest.raises(RuntimeError):
+        graph.sequential_pagerank(nodes, edges, tolerance=-1.0, most=8)
+
+
+@pytest.mark.parametrize("by_range", [True, False])
+def test_partitioned_graph_has_the_same_ranks(spark, by_range):
+    from sparkloom.operators import partitions
+
+    nodes, edges, plain = _random_graph(spark)
+    got = {r.id: r["rank"] for r in partitions.pagerank(nodes, edges, 3, 4, by_range).collect()}
+    want = _plain_ranks(60, plain, 3)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-12) for i in want)
+    assert partitions.pagerank(nodes.limit(0), edges.limit(0), 3).count() == 0
+
+
+def test_only_crossing_messages_are_shuffled(spark, capsys):
+    from sparkloom.operators import partitions
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes, edges, _ = _random_graph(spark)
+        g = partitions.write(nodes, edges, 4, True)
+        with partitions._with(spark, partitions.COLOCATED):
+            partitions._round(g, g.nodes.withColumn("rank", F.lit(0.1)))[0].explain()
+        assert capsys.readouterr().out.count("Exchange") == 1
+        clusters = spark.createDataFrame([(i, (i // 15) * 15 + (i + 1) % 15) for i in range(60)], "src long, dst long")
+        got = {r.strategy: (r.inside, r.shuffled) for r in partitions.messages(spark.range(60), clusters, 4).collect()}
+        assert got["range"] == (60, 0) and got["modulo"][1] > 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
