@@ -15,9 +15,10 @@ from sparkloom.functions.text import snippet, tokens
 BLOCK = 65_536
 
 
-def index_long(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf)."""
-    return docs.select("doc_id", F.explode(tokens("text")).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+def index_long(docs: DataFrame, *key: str) -> DataFrame:
+    """(term, doc_id, tf), or with other columns for a key in place of the document's number."""
+    key = key or ("doc_id",)
+    return docs.select(*key, F.explode(tokens("text")).alias("term")).groupBy("term", *key).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _block() -> Column:
@@ -87,10 +88,15 @@ def search(docs: DataFrame, query: str, index: DataFrame | None = None) -> DataF
 
     A term that no document has matches nothing.
     """
-    terms, condition = compile_rpn(query)
-    rows = (index if index is not None else index_long(docs)).where(F.col("term").isin(terms))
-    has = rows.groupBy("doc_id").agg(*[F.bool_or(F.col("term") == t).alias(f"has_{i}") for i, t in enumerate(terms)])
-    return with_snippets(has.where(condition).select("doc_id"), docs)
+    return with_snippets(matches(index if index is not None else index_long(docs), query), docs)
+
+
+def matches(index: DataFrame, query: str, *key: str) -> DataFrame:
+    """The keys that a postfix query matches, by one aggregation over the postings of its terms."""
+    key, (terms, condition) = key or ("doc_id",), compile_rpn(query)
+    rows = index.where(F.col("term").isin(terms))
+    has = rows.groupBy(*key).agg(*[F.bool_or(F.col("term") == t).alias(f"has_{i}") for i, t in enumerate(terms)])
+    return has.where(condition).select(*key)
 
 
 def with_snippets(hits: DataFrame, docs: DataFrame) -> DataFrame:

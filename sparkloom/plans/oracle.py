@@ -146,6 +146,13 @@ SQL |= {
     "ppr_settled": f"with {_NAT}{_ppr_ctes(60, [5])} select id, round(rank, 5) rank from r60",
     "bool_rpn_stored": SQL["bool_rpn"],
     "bool_rpn_compressed": SQL["bool_rpn"],
+    "bool_rpn_keyed": SQL["bool_rpn"],
+    "keyed_word_count": SQL["word_count"],
+    "keyed_get": f"with {_TOK} select word, count(*) n from words where word in ('the', 'und', 'shor', 'nosuchterm') group by 1",
+    "bool_fetch": r"""with l as (select unnest(string_split(text, chr(10))) line from documents),
+t as (select line, list_transform(regexp_split_to_array(lower(line), '[ \t\n\r\f]+'), lambda x: regexp_replace(x, '^[^a-z]+|[^a-z]+$', '', 'g')) w from l)
+select case when length(line) > 80 then substr(line, 1, 80) || '...' else line end snippet, count(*) n from t where (list_contains(w, 'the') and list_contains(w, 'of')) or (list_contains(w, 'de') and list_contains(w, 'la')) group by 1""",
+    "line_offsets": "select count(*) n_lines, count(*) n_keys, cast(sum(length(line)) as bigint) n_chars, cast(sum(octet_length(encode(line)) + 1) as bigint) n_bytes from (select unnest(string_split(text, chr(10))) line from documents)",
     "bool_and_compressed": SQL["bool_and"],
     "index_compressed": f"with {_IDX}, blocks as (select term, doc_id // 65536 range, ceil(count(*) / 128)::bigint n from idx group by 1, 2), b as (select term, cast(sum(n) as bigint) n_blocks from blocks group by 1) select term, n_blocks, count(*) df, min(doc_id) first_doc, max(doc_id) last_doc, cast(sum(tf) as bigint) sum_tf from idx join b using (term) group by 1, 2",
     "index_decode_compressed": SQL["inverted_index_long"],

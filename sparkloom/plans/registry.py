@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import feature_id, tokens
 from sparkloom.operators import classify, graph, log_ranks, partitions, postings, relational, search, text_stats
-from sparkloom.sources import tables
+from sparkloom.sources import lines, tables
+from sparkloom.sources.keyed import KeyedTable
 from sparkloom.sources.shared import materialise, new_path
 from sparkloom.sources.tables import load
 
@@ -162,6 +163,47 @@ def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_lines(spark, path).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("value")).alias("n_chars"))
 
 
+def bool_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the texts through text files, searched by an index of files and byte offsets, and fetched by those: each
+    snippet and how many lines give it."""
+    path = new_path(spark, "collection")
+    load(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value")).write.text(path)
+    rows = lines.read_keyed_lines(spark, path).withColumn("id", F.xxhash64("file"))  # postings carry a number in place of the path
+    hits = search.matches(search.index_long(rows.withColumnRenamed("value", "text"), "id", "offset"), "the of AND de la AND OR nosuchterm OR", "id", "offset")
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct().withColumn("id", F.xxhash64("file"))
+    return lines.fetch_lines(hits.join(files, "id")).groupBy("snippet").agg(F.count(F.lit(1)).alias("n"))
+
+
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed lines: how many there are, different keys, characters, and bytes up to the ends of all files."""
+    path = new_path(spark, "lines")
+    load(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value")).write.text(path)
+    end = F.col("offset") + F.octet_length("value") + 1
+    files = lines.read_keyed_lines(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("offset").alias("keys"), F.sum(F.char_length("value")).alias("chars"), F.max(end).alias("bytes"))
+    return files.agg(F.sum("n").alias("n_lines"), F.sum("keys").alias("n_keys"), F.sum("chars").alias("n_chars"), F.sum("bytes").alias("n_bytes"))
+
+
+def word_table(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """Word counts as cells: those of documents with even numbers first, then those of all, which replace them."""
+    table, docs = KeyedTable.create(spark, new_path(spark, "cells"), buckets=16), load(spark, sf_dir, "documents")
+    for part in (docs.where("doc_id % 2 = 0"), docs):
+        table.put(text_stats.word_count(part).select(F.col("word").alias("key"), F.lit("c:count").alias("qualifier"), F.col("n").alias("value")))
+    return table
+
+
+def _counts(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("key").alias("word"), F.col("value").alias("n"))
+
+
+def bool_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search whose postings are cells, a qualifier a document, got by term."""
+    table, docs = KeyedTable.create(spark, new_path(spark, "cells"), buckets=16), load(spark, sf_dir, "documents")
+    table.put(search.index_long(docs).select(F.col("term").alias("key"), F.concat(F.lit("p:"), F.col("doc_id").cast("string")).alias("qualifier"), F.col("tf").alias("value")))
+    query = "the of AND de la AND OR nosuchterm OR"
+    rows = table.get(*search.compile_rpn(query)[0]).select(F.col("key").alias("term"), F.substring("qualifier", 3, 20).cast("long").alias("doc_id"))
+    return search.with_snippets(search.matches(rows, query), docs)
+
+
 def _ensemble(method: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _instances(spark, sf_dir)
@@ -193,6 +235,11 @@ QUERIES: dict[str, Query] = {
     "bool_and_compressed": bool_compressed("the shor AND"),
     "index_compressed": index_compressed,
     "index_decode_compressed": lambda spark, d: postings.decompress(stored_blocks(spark, d)),
+    "bool_fetch": bool_fetch,
+    "line_offsets": line_offsets,
+    "keyed_word_count": lambda spark, d: _counts(word_table(spark, d).cells()),
+    "keyed_get": lambda spark, d: _counts(word_table(spark, d).get("the", "und", "shor", "nosuchterm")),
+    "bool_rpn_keyed": bool_keyed,
     "word_lookup_stored": lambda spark, d: stored_index(spark, d).where(F.col("term") == "the").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")),
     "bigram_stripes": bigram_stripes,
     "line_scan": line_scan,

@@ -22,7 +22,7 @@ class Folder:
         self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def at(self, name: str):
-        return self._path(f"{self.base}/{name}")
+        return self._path(f"{self.base}/{name}" if name else self.base)
 
     def names(self, below: str) -> list[str]:
         if not self._fs.exists(self.at(below)):
