@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import classify, graph, relational, search, text_stats
-from sparkloom.sources import tables
+from sparkloom.operators import classify, graph, postings, relational, search, text_stats
+from sparkloom.sources import lines, tables
 
 Command = Callable[[SparkSession, argparse.Namespace], DataFrame]
 
@@ -67,7 +67,7 @@ def _partition(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _instances(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return tables.parse_instances(tables.read_lines(spark, a.input))
+    return tables.parse_instances(tables.read_lines(spark, *a.input.split(",")))  # several sets are one, end to end
 
 
 def _model(spark: SparkSession, path: str) -> DataFrame:
@@ -76,6 +76,9 @@ def _model(spark: SparkSession, path: str) -> DataFrame:
 
 def _ensemble(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     paths = a.model.split(",")
+    if len(paths) == 1:  # a folder of part files, a model each
+        models = tables.read_models(spark, paths[0])
+        return classify.apply_ensemble(_instances(spark, a), models, a.method, models.agg(F.max("model_id")).first()[0] or 1)
     models = None
     for i, p in enumerate(paths, 1):
         m = _model(spark, p).select(F.lit(i).alias("model_id"), "feature", "weight")
@@ -93,11 +96,26 @@ def _index_table(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return spark.table(a.table).agg(F.count(F.lit(1)).alias("postings"))
 
 
+def _index_blocks(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The compressed index below ``--table``, and its size."""
+    postings.write_blocks(_lines(spark, a.input), a.table)
+    return spark.read.parquet(a.table).agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("postings"), F.sum(F.octet_length("data")).alias("bytes"))
+
+
+def _fetch(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Matching lines by file and byte offset."""
+    rows = lines.read_keyed_lines(spark, a.input).withColumnRenamed("value", "text")
+    hits = search.matches(search.index_long(rows, "file", "offset"), a.query, "file", "offset")
+    return lines.fetch_lines(hits).select("file", "offset", "snippet").orderBy("file", "offset")
+
+
 COMMANDS: dict[str, Command] = {
     "word-count": _text(text_stats.word_count), "prefix-count": _text(text_stats.prefix_count), "line-count": _text(text_stats.line_count),
     "pmi-pairs": _text(text_stats.pmi_pairs), "pmi-stripes": _text(text_stats.pmi_stripes),
     "bigram-pairs": _text(text_stats.bigram_relfreq_pairs), "bigram-stripes": _text(text_stats.bigram_relfreq_stripes), "bigram-marginals": _text(text_stats.bigram_marginals),
     "build-index": _text(search.inverted_index), "build-index-compressed": lambda s, a: search.encode(_lines(s, a.input)).select("term", "block", "base", F.to_json("postings").alias("postings")),
+    "build-index-blocks": lambda s, a: _index_blocks(s, a), "search-blocks": lambda s, a: search.with_snippets(postings.matches(s.read.parquet(a.table), a.query), _lines(s, a.input)).orderBy("doc_id"),
+    "fetch": _fetch,
     "search": lambda s, a: search.search(_lines(s, a.input), a.query).orderBy("doc_id"),
     "build-graph": lambda s, a: graph.graph_build(*_graph(s, a)), "graph-stats": lambda s, a: graph.graph_stats(*_graph(s, a)), "partition-graph": _partition,
     "pagerank": _pagerank, "personalised-pagerank": _personalised, "components": lambda s, a: graph.weak_components(*_graph(s, a)),

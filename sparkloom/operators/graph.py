@@ -234,6 +234,12 @@ def top_per_source(ranks: DataFrame, n: int) -> DataFrame:
     return ranks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 
 
+def dump_top(ranks: DataFrame, n: int) -> DataFrame:
+    """(source, place, line): the best nodes of each source as lines ``rank id``, the best first."""
+    place = F.row_number().over(W.partitionBy("source").orderBy(F.desc("rank"), "id"))
+    return ranks.withColumn("place", place).where(F.col("place") <= n).select("source", "place", F.format_string("%.5f %d", F.col("rank"), F.col("id")).alias("line"))
+
+
 def range_partition(nodes: DataFrame, partitions: int) -> DataFrame:
     """(bucket, n): dense ids dealt to ranges, int(id / count * partitions) modulo partitions."""
     count = nodes.count()

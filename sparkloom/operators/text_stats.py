@@ -87,6 +87,12 @@ def bigram_stripes(docs: DataFrame) -> DataFrame:
     return bigrams(docs).groupBy("a").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("b", "n")))).alias("stripe"))
 
 
+def bigram_stripe_shares(docs: DataFrame) -> DataFrame:
+    """(a, shares map<b, share>): each word's successors with the share of its bigrams that go on with them."""
+    total = F.aggregate(F.map_values("stripe"), F.lit(0).cast("long"), lambda s, n: s + n)
+    return bigram_stripes(docs).select("a", total.alias("total"), "stripe").select("a", F.transform_values("stripe", lambda _, n: n / F.col("total")).alias("shares"))
+
+
 def bigram_relfreq_stripes(docs: DataFrame) -> DataFrame:
     n = bigrams(docs).groupBy("a").agg(F.count(F.lit(1)).alias("n_successors"), F.sum("n").alias("total"), F.max("n").alias("most"))
     return n.select("a", "n_successors", "total", F.round(F.col("most") / F.col("total"), 8).alias("max_freq"))

@@ -132,6 +132,9 @@ def _placed(strategy: str) -> str:
 
 SQL |= {
     "pagerank_resumed": SQL["pagerank"],
+    "spam_ensemble_files": SQL["spam_ensemble_vote"],
+    "bigram_stripe_shares": f"with {_BI} select a, count(*) n, round(sum(n / t), 6) total, round(max(n / t), 8) most, arg_min(b, b) b, round(arg_min(n / t, b), 8) share from (select a, b, n, sum(n) over (partition by a) t from bi) group by 1",
+    "ppr_dump": f"with {_PUR}{_ppr_ctes(4, _PUR_SOURCES)} select source, place::int place, printf('%.5f %d', rank, id) line from (select source, id, rank, row_number() over (partition by source order by rank desc, id) place from r4 where rank > 0) where place <= 10",
     "pagerank_purchases": f"with {_PUR}{_rank_ctes(4)} select id, round(rank, 8) rank from r4",
     "pagerank_ranged": f"with {_PUR}{_rank_ctes(4)} select id, round(rank, 8) rank from r4",
     "pagerank_log": f"with {_PUR}{_rank_ctes(4)} select id, round(ln(rank), 7) log_rank from r4",
@@ -163,3 +166,4 @@ select case when length(line) > 80 then substr(line, 1, 80) || '...' else line e
     "adjacency_scan": SQL["graph_build"],
     "instance_scan": f"with {_SPAM} select doc_id, label, cast(len(f) as bigint) n_features, cast(coalesce(list_sum(f), 0) as bigint) total from inst",
 }
+SQL["instances_concatenated"] = SQL["instance_scan"]

@@ -149,11 +149,18 @@ def adjacency_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instance_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled instances through text lines: features and their sum a document."""
-    path, rows = new_path(spark, "instances"), _instances(spark, sf_dir)
-    rows.select(F.concat_ws(" ", F.col("doc_id").cast("string"), "label", F.transform("features", lambda x: x.cast("string"))).alias("value")).write.text(path)
-    got = tables.parse_instances(tables.read_lines(spark, path))
+    path = new_path(spark, "instances")
+    _instance_lines(_instances(spark, sf_dir)).write.text(path)
+    return _instance_sums(tables.parse_instances(tables.read_lines(spark, path)))
+
+
+def _instance_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.concat_ws(" ", F.col("doc_id").cast("string"), "label", F.transform("features", lambda x: x.cast("string"))).alias("value"))
+
+
+def _instance_sums(rows: DataFrame) -> DataFrame:
     total = F.aggregate("features", F.lit(0).cast("long"), lambda s, x: s + x)
-    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "label", F.size("features").cast("long").alias("n_features"), total.alias("total"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", F.size("features").cast("long").alias("n_features"), total.alias("total"))
 
 
 def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +170,28 @@ def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_lines(spark, path).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("value")).alias("n_chars"))
 
 
+def spam_ensemble_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ensemble's votes by three written model files, read by one scan."""
+    path, rows = new_path(spark, "models"), _instances(spark, sf_dir)
+    tables.write_models(_models(rows), path, 3)
+    return classify.apply_ensemble(rows, tables.read_models(spark, path), "vote")
+
+
+def instances_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three written training sets as one."""
+    paths, rows = [new_path(spark, "instances") for _ in range(3)], _instances(spark, sf_dir)
+    for i, path in enumerate(paths):
+        _instance_lines(rows.where(F.col("doc_id") % 3 == i)).write.text(path)
+    return _instance_sums(tables.parse_instances(tables.read_lines(spark, *paths)))
+
+
+def bigram_stripe_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word's map of shares, as its size, its sum and its largest share."""
+    shares = F.map_values("shares")
+    total = F.aggregate(shares, F.lit(0.0), lambda s, x: s + x)
+    return text_stats.bigram_stripe_shares(load(spark, sf_dir, "documents")).select("a", F.size("shares").cast("long").alias("n"), F.round(total, 6).alias("total"), F.round(F.array_max(shares), 8).alias("most"), F.element_at(F.map_keys("shares"), 1).alias("b"), F.round(F.element_at(shares, 1), 8).alias("share"))
+
+
 def bool_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the texts through text files, searched by an index of files and byte offsets, and fetched by those: each
     snippet and how many lines give it."""
@@ -246,6 +275,10 @@ QUERIES: dict[str, Query] = {
     "delimited_scan": delimited_scan,
     "adjacency_scan": adjacency_scan,
     "instance_scan": instance_scan,
+    "instances_concatenated": instances_concatenated,
+    "bigram_stripe_shares": bigram_stripe_shares,
+    "spam_ensemble_files": spam_ensemble_files,
+    "ppr_dump": lambda spark, d: graph.dump_top(graph.personalised_reached(*purchases(spark, d), [0, 2, 4, 1, 7, 40], 4), 10),
     "q1": _tables(relational.q1, DAY),
     "q1_prefix_month": _tables(relational.q1, MONTH),
     "q1_prefix_year": _tables(relational.q1, YEAR),

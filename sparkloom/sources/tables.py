@@ -28,8 +28,9 @@ def read_tbl(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(TBL_SCHEMAS[table]).option("sep", "|").option("mode", "PERMISSIVE").csv(path)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """Lines of one or more collections, one after another, by one scan."""
+    return spark.read.text(list(paths))
 
 
 def prefix_range(column: str, prefix: str) -> Column:
@@ -69,11 +70,25 @@ def parse_instances(lines: DataFrame) -> DataFrame:
     return lines.select(f[0].alias("doc_id"), f[1].alias("label"), F.transform(F.slice(f, 3, F.greatest(F.size(f) - 2, F.lit(0))), lambda x: x.cast("int")).alias("features"))
 
 
-def parse_model(lines: DataFrame) -> DataFrame:
-    """(feature, weight) of lines ``(feature,weight)`` or ``feature TAB weight``; other lines are left out."""
+def parse_model(lines: DataFrame, *keep: str) -> DataFrame:
+    """(feature, weight) of lines ``(feature,weight)`` or ``feature TAB weight``, after the columns to keep; other lines are left out."""
     f = F.split(F.regexp_replace("value", "[()\\s]+", ","), ",")
-    rows = lines.select(F.filter(f, lambda x: x != "").alias("f")).where(F.size("f") == 2)
-    return rows.select(F.col("f")[0].cast("int").alias("feature"), F.col("f")[1].cast("double").alias("weight"))
+    rows = lines.select(*keep, F.filter(f, lambda x: x != "").alias("f")).where(F.size("f") == 2)
+    return rows.select(*keep, F.col("f")[0].cast("int").alias("feature"), F.col("f")[1].cast("double").alias("weight"))
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """(model_id, feature, weight) of a folder of models, a file each: the number of ``part-NNNNN`` and 1.  One scan reads
+    all; files of other names are an error, as their models have no number."""
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    known = F.when(number == "", F.raise_error(F.concat(F.lit("no number in the name of "), F.col("_metadata.file_name")))).otherwise(number)
+    return parse_model(spark.read.text(path).select("value", (known.cast("int") + 1).alias("model_id")), "model_id")
+
+
+def write_models(models: DataFrame, path: str, n_models: int) -> None:
+    """Models 1 to ``n_models`` of (model_id, feature, weight) as files part-00000 and on; one without features has no file."""
+    rows = models.repartitionById(n_models, F.col("model_id").cast("int") - 1)
+    rows.select(F.concat(F.lit("("), F.col("feature").cast("string"), F.lit(","), F.col("weight").cast("string"), F.lit(")")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

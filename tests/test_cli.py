@@ -3,6 +3,7 @@
 import pytest
 
 from sparkloom.__main__ import main
+from sparkloom.sources import tables
 
 
 @pytest.fixture
@@ -61,3 +62,26 @@ def test_tables(run, spark, tmp_path):
     assert spark.table("cli_words").where("word = 'b'").first().n == 2
     main(["index-table", "--input", str(tmp_path / "t.txt"), "--table", "cli_index"], spark)
     main(["search-table", "--input", str(tmp_path / "t.txt"), "--table", "cli_index", "--query", "a"], spark)
+
+
+def test_models_by_part_file_and_sets_end_to_end(run, spark, tmp_path):
+    train = "d1 spam 1 2\nd2 ham 3 4\nd3 spam 1 5\n"
+    models = spark.createDataFrame([(1, 1, 0.5), (1, 3, -0.25), (3, 1, 0.125)], "model_id int, feature int, weight double")
+    tables.write_models(models, str(tmp_path / "models"), 3)
+    assert sorted(map(tuple, tables.read_models(spark, str(tmp_path / "models")).collect())) == [(1, 1, 0.5), (1, 3, -0.25), (3, 1, 0.125)]
+    got = run("apply-ensemble", train, model=str(tmp_path / "models"), method="vote")
+    assert [(r[0], float(r[2])) for r in got] == [("d1", 1.0), ("d2", -3.0), ("d3", 1.0)]
+    (tmp_path / "more.txt").write_text("d4 ham 7\n")
+    main(["train-spam", "--input", f"{tmp_path}/in.txt,{tmp_path}/more.txt", "--output", str(tmp_path / "w")], spark)
+    assert spark.read.csv(str(tmp_path / "w"), sep="\t").count() == 6
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "model.txt").write_text("(1,2.0)\n")
+    with pytest.raises(Exception, match="no number"):
+        tables.read_models(spark, str(tmp_path / "odd")).collect()
+
+
+def test_index_blocks_and_fetch(run, spark, tmp_path):
+    text = "The cat sat.\nthe dog\n\ncat dog cat\n"
+    assert [r[1:] for r in run("fetch", text, query="cat the AND dog OR")] == [("0", "The cat sat."), ("13", "the dog"), ("22", "cat dog cat")]
+    assert [r[:2] for r in run("build-index-blocks", text, table=str(tmp_path / "blocks"))] == [("4", "7")]
+    assert [r[1] for r in run("search-blocks", text, table=str(tmp_path / "blocks"), query="cat the AND")] == ["The cat sat."]
