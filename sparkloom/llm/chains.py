@@ -445,7 +445,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, similarity: float = 0.8,
     """(id_col, start_word, end_word, n_words, other_id, group_id): a row for each passage of ``least`` words or more of a
     row that repeats, exactly or nearly, in another row; rows without such passages are left out.
 
-    Positions count the text's words (letters, digits, anything beyond ASCII; A-Z lower-cased).  ``other_id`` is a row
+    Ids are whole numbers.  Where a row is linked and covered already, no further partner is asked for, so the ends of a
+    fuzzy passage are those of the partners read.  Positions count the text's words (letters, digits, anything beyond ASCII; A-Z lower-cased).  ``other_id`` is a row
     that has the passage too; ``group_id`` is the smallest id among the rows linked by passages, over any number of
     links.  Overlapping passages of a row are one row; equal texts of ``least`` words or more repeat as a whole.
 

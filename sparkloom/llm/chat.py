@@ -64,7 +64,7 @@ def cut_answers(conversations: DataFrame) -> DataFrame:
     """
     rows = need(conversations, "conv_id", "turn", "role", "text")
     last = rows.where("conv_id is not null").groupBy("conv_id").agg(F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"))
-    rows = salted_join(rows, last, "conv_id", F.col("turn"))
+    rows = salted_join(rows, last, "conv_id", F.col("turn"), "left")
     words = F.split("text", " ")
     cut = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.array_join(F.slice(words, 1, F.floor(F.size(words) / 2).cast("int")), " ")).otherwise(F.col("text"))
     sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), cut.alias("text")))

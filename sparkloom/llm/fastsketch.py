@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import connected_components, hot_join, join_counted, materialise, need, salted_join
 from sparkloom.llm.winnow import grams
+from sparkloom.sources.shared import discard
 
 #: Coordinates, a power of two, and the bits of a coordinate's number.
 T, T_BITS = 128, 7
@@ -213,10 +214,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: int = 85, id_co
     rows, least = band_rows(bound), least_agreements(bound)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = need(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("id", text).alias("k"), text.alias("text"))
+    spent: list[DataFrame] = []  # written tables that the result doesn't read
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        spent.append(materialise(df, name))
+        return spent[-1]
+
     own = materialise(sketches(keyed, words), "sketches")
     nodes = own.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     nodes = materialise(nodes, "nodes")
-    short = materialise(_short(nodes), "short")
+    short = step(_short(nodes), "short")
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that agree in enough coordinates."""
@@ -232,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: int = 85, id_co
 
     def texts_of(asked: DataFrame) -> DataFrame:
         """(node, text) of rows (node)."""
-        asked = materialise(asked.join(nodes.select("node", "first.k"), "node"), "asked")
+        asked = step(asked.join(nodes.select("node", "first.k"), "node"), "asked")
         return join_counted(keyed.select("k", "text"), asked, ["k"]).groupBy("node").agg(F.first("text").alias("text"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,19 +256,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: int = 85, id_co
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are alike."""
-        texts = materialise(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "texts")
+        texts = step(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "texts")
         full = hot_join(pairs.withColumnRenamed("a", "node"), texts, "node", F.col("b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("text").alias("x"))
         full = hot_join(full, texts, "node", F.col("a"), counted=pairs.withColumnRenamed("b", "node")).select("a", F.col("node").alias("b"), "x", F.col("text").alias("y"))
-        return materialise(full.mapInArrow(confirm, "a long, b long"), "links")
+        return step(full.mapInArrow(confirm, "a long, b long"), "links")
 
     # each set of a group with the smallest one of the group
     bands = _bands(nodes.select("node", "sketch"), rows)
     lead = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("key", "a")
     stars = salted_join(bands, lead, "key", F.col("node")).where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = linked(materialise(near(materialise(stars, "stars")), "near"))
+    links = linked(step(near(step(stars, "stars")), "near"))
     # what shares a group and lies in different components yet: near ones first by sketch, then by the full sets
     roots = connected_components(links)
-    grouped = materialise(nodes.join(roots, "node", "left").select("node", "n", "sketch", F.coalesce("root", "node").alias("root")), "grouped")
+    grouped = step(nodes.join(roots, "node", "left").select("node", "n", "sketch", F.coalesce("root", "node").alias("root")), "grouped")
     bands = _bands(grouped, rows)
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     mixed = bands.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("key", "blocks")
@@ -288,13 +295,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: int = 85, id_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], names=["node", "hashes"])
 
     kinds = "task long, node long, root long, block int, across int, band int, short binary"
-    close = materialise(members.repartition("task").sortWithinPartitions("task").mapInArrow(between, kinds), "close")
+    close = step(members.repartition("task").sortWithinPartitions("task").mapInArrow(between, kinds), "close")
     if not close.isEmpty():
-        sets = materialise(texts_of(close.select("node").distinct()).mapInArrow(whole_sets, "node long, hashes binary"), "sets")
+        sets = step(texts_of(close.select("node").distinct()).mapInArrow(whole_sets, "node long, hashes binary"), "sets")
         tied = close.join(sets, "node").select(*close.columns, "hashes").repartition("task").sortWithinPartitions("task")
-        links = links.unionByName(materialise(tied.mapInArrow(inside, "a long, b long"), "tied"))
+        links = links.unionByName(step(tied.mapInArrow(inside, "a long, b long"), "tied"))
         roots = connected_components(links)
     roots = materialise(roots, "roots")
+    discard(*spent)
     whole = nodes.join(roots, "node", "left").select("node", "first.id", F.coalesce("root", "node").alias("root"))
     component = whole.groupBy("root").agg(F.min("id").alias("component"))
     by_node = salted_join(whole.select("node", "root"), component, "root", F.col("node")).select("node", "component")

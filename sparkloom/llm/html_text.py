@@ -45,6 +45,13 @@ ASIDE = {
     "cookies", "disqus", "footer", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "replies", "respond", "search",
     "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Words that stand beside one of those in the name of a whole element ("site-footer", "related-posts-2"); in a name with
+#: any other word ("search-results", "related-work", "ad-astra") the word marks nothing.
+FRAME = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "desktop", "footer", "form", "global", "header", "icons", "inline", "inner", "item", "items",
+    "left", "link", "links", "list", "main", "mobile", "outer", "overlay", "page", "policy", "posts", "primary", "right", "secondary", "section", "site", "slot", "sticky", "thread", "top",
+    "unit", "wrap", "wrapper",
+}
 #: Start tags that close an open element of the names given, up to the nearest of the stops.
 BLOCKS = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
@@ -77,10 +84,12 @@ def _aside(attributes: str) -> tuple[bool, bool]:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True, False
         if name in ("class", "id", "role"):
-            words = re.split(r"[^a-z0-9]+", value)
-            if not ASIDE.isdisjoint(words):
-                return True, False
-            header |= "header" in words
+            for token in value.split():
+                words = {w for w in re.split(r"[^a-z0-9]+", token) if w and not w.isdigit()}
+                rest = words - ASIDE - FRAME
+                if not rest and not ASIDE.isdisjoint(words):
+                    return True, False
+                header |= not rest and "header" in words
     return False, header
 
 

@@ -117,7 +117,8 @@ def neighbour_prints(docs: DataFrame, parts: int | None = None, id_col: str = "d
     The edited text of a row has its last floor(n/4) code points replaced by the first as many (or all) of the next
     row's text in order of id, then text; the last row's next is the first.  Rows are dealt by ranges of the id, four a
     partition, cut at quantiles; the first row of each range is sent to the range before too,
-    so each row meets its next without a window over all rows.
+    so each row meets its next without a window over all rows.  Ids are whole numbers; rows of one id, and those of a null
+    one, fall in one range and so in one task.
 
     Null and empty texts have an empty fingerprint; empty and empty are alike (1), empty and other unlike (0).  Null
     ids come first; rows that repeat follow one another; a table of one row is its own next.

@@ -173,7 +173,7 @@ def pack(
     tokens each; the last of a block's groups may have fewer.  Each id of each document, and the end id after it, lies
     in exactly one piece.
 
-    Null and empty texts give the end id alone; rows that repeat are packed each; a null id stays null; an empty table
+    Ids are whole numbers.  Null and empty texts give the end id alone; rows that repeat are packed each; a null id stays null; an empty table
     gives no rows.  Sequence ids are those of the task that reads the rows and the place in it: a task that runs again
     on the same rows gives the same ids.  Memory: ``block_tokens`` and one document.
     """

@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
     """(id_col, fp, component_id): one row per row of ``docs``.
 
     Two texts are linked if their fingerprints differ in ``radius`` bits or fewer; component_id is the smallest id
-    reachable over links.  Null and empty texts have fingerprint 0 and are linked like any other; repeated rows stay;
+    reachable over links.  Ids are whole numbers.  Null and empty texts have fingerprint 0 and are linked like any other; repeated rows stay;
     a null id takes part and its row is returned, but it is never a component_id unless the component has only null
     ids (then null).  An empty table gives an empty result.
     """

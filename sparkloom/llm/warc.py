@@ -243,7 +243,7 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 
 def roundtrip(pages: DataFrame, out_dir: str | None = None, **options) -> DataFrame:
-    """Write the archives (below the shared folder unless ``out_dir`` is given) and read them back."""
+    """Write the archives (below the shared folder unless ``out_dir`` is given) and read them back; ids are whole numbers."""
     return read_archives(write_archives(pages, out_dir or new_path(pages.sparkSession, "warc"), **options))
 
 

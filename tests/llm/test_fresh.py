@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import audit, fastsketch, fim
+from sparkloom.llm import audit, chat, fastsketch, fim, html_text
 
 
 def clash(df):
@@ -219,3 +219,35 @@ def test_audit_of_nothing(spark):
     assert audit.audit(docs, labels).count() == 0
     one = audit.audit(spark.createDataFrame([(1, "en", "x")], docs.schema), labels)
     assert one.count() == 600 and one.where("filter_order = 'ABCDE' and step = 1").first().removed == 1
+
+
+# --- names of elements, null conversations
+
+
+def test_compound_names_mark_only_with_words_of_the_frame():
+    for name in ("ad-astra", "search-results", "related-work", "share-price", "social_history", "notice-period article", "menu-of-the-day"):
+        for a in ("class", "id"):
+            assert html_text._aside(f' {a}="{name}"') == (False, False), name
+            assert html_text.main_text(f'<body><div {a}="{name}"><p>These words are the text.</p></div></body>') == "These words are the text."
+    for name in ("ad", "story ad", "related-posts", "comment-list", "site-footer", "main-nav", "ad-slot-3", "cookie_banner", "sidebar-left", "share buttons"):
+        assert html_text._aside(f' class="{name}"')[0], name
+        assert html_text.main_text(f'<body><article><p>These words are the text.</p><div class="{name}">Others are not.</div></article></body>') == "These words are the text."
+    assert html_text._aside(' class="site-header"') == (False, True) and html_text._aside(' class="header-image-of-it"') == (False, False)
+
+
+def test_null_conversations_are_not_cut(spark):
+    rows = [(None, 1, "assistant", "one two three four"), (None, 2, "user", None), (7, 1, "assistant", "one two three four")]
+    got = chat.cut_answers(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = [(i, s, t, r, x if s == "chosen" or i is None else "one two") for i, t, r, x in rows for s in ("chosen", "rejected")]
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert {r.pair_id for r in chat.format_preferences(chat.cut_answers(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()} == {7}
+
+
+def test_sketching_leaves_no_spent_tables(spark, sf):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:").replace("//", "/"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = set(shared.iterdir()) if shared.exists() else set()
+    assert fastsketch.near_duplicates(docs).count() == docs.count()
+    assert not {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before} & {"short", "stars", "near", "texts", "sets", "close", "grouped", "asked"}
