@@ -17,27 +17,30 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Junk and toxic documents go."""
+    """Junk and toxic documents go.  Null and empty texts are scored like any other; rows that repeat are scored alike, so all
+    stay or all go; very long texts are read whole."""
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8)."""
+    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8), that with the smallest id.
+    Null and empty texts are one group, rows that repeat too; of rows with a null id one stays before others."""
     return simhash.deduplicate(docs, words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share ten words in a row with a benchmark item go."""
+    """Documents that share ten words in a row with a benchmark item go.  Null and empty texts have no words and stay; rows
+    that repeat stay or go alike; without items all stay."""
     return winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, a null text as null; n_chars counts the new text."""
     return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: one row per piece."""
+    """Token sequences: one row per piece.  Null and empty texts give the end id alone; rows that repeat are packed each."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
