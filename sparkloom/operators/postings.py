@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.search import compile_rpn, index_long
+from sparkloom.functions.text import tokens
+from sparkloom.operators.search import compile_rpn
+from sparkloom.sources.shared import discard, materialise
 from sparkloom.sources.tables import write_sorted
 
 BLOCK_POSTINGS = 128
@@ -51,7 +53,12 @@ def unpack_integers(data: np.ndarray) -> np.ndarray:
 
 def compress(index: DataFrame) -> DataFrame:
     """(term, first_doc, last_doc, n, sum_tf, data) of an index (term, doc_id, tf); document numbers from 0 up."""
-    lists = index.groupBy("term", F.floor(F.col("doc_id") / RANGE).alias("range")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
+    return _compressed(index.withColumn("range", F.floor(F.col("doc_id") / RANGE)))
+
+
+def _compressed(index: DataFrame) -> DataFrame:
+    """The blocks of (term, range, doc_id, tf)."""
+    lists = index.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
     names = ["term", "first_doc", "last_doc", "n", "sum_tf", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +103,15 @@ def decompress(blocks: DataFrame) -> DataFrame:
 
 
 def write_blocks(docs: DataFrame, path: str) -> None:
-    """The compressed index of (doc_id, text) as a table sorted by term and first document, for scans that prune."""
-    write_sorted(compress(index_long(docs)), path, "term", "first_doc")
+    """The compressed index of (doc_id, text) as a table sorted by term and first document, for scans that prune.
+
+    Tokens are dealt by term and range once, for their counts and for their lists; the blocks are written before they are
+    sorted, as the sort reads its input twice to find its bounds.
+    """
+    words = docs.select("doc_id", F.floor(F.col("doc_id") / RANGE).alias("range"), F.explode(tokens("text")).alias("term")).repartition("term", "range")
+    blocks = materialise(_compressed(words.groupBy("term", "range", "doc_id").agg(F.count(F.lit(1)).alias("tf"))), "blocks")
+    write_sorted(blocks, path, "term", "first_doc")
+    discard(blocks)
 
 
 def _hull(query: str) -> tuple[list[str], Column, Column]:
