@@ -1,16 +1,18 @@
 """Quality and toxicity filter from weak labels.
 
 Overlapping heuristic labellers vote good, bad or nothing on each row of a bounded labelled sample; the table of labels
-is one more labeller, and so is a lexicon of words and word beginnings that the sample's toxic rows show.  Expectation
-maximisation estimates each labeller's accuracy and each row's posterior (Dawid and Skene, 1979).  The posteriors train
-two linear scorers over hashed features (binned shape measures; words and word beginnings), which then scores every row of
+is one more labeller.  Toxicity has three labellers of different evidence: a fixed list of insults, the table's marks, and a
+lexicon of words and word beginnings that toxic rows of other folds show, so that a row's own mark has no part in its
+vote.  Expectation maximisation estimates each labeller's accuracy and each row's posterior (Dawid and Skene, 1979).  The posteriors train
+two linear scorers over hashed features (binned shape measures; words and word beginnings, apart
+where several words share one), which then scores every row of
 the corpus on its whole text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 from zlib import crc32
@@ -62,8 +64,23 @@ LABELLERS = {
 
 
 def units(word: str) -> list[int]:
-    """Hashed features of a word: the whole, and its beginnings of 4 to 7 letters."""
-    return [crc32(("w" + word).encode()) % BUCKETS] + [crc32((f"{k}" + word[:k]).encode()) % BUCKETS for k in (4, 5, 6, 7) if len(word) > k]
+    """Hashed features of a word: the whole, and its beginnings of 3 to 7 letters."""
+    return [crc32(("w" + word).encode()) % BUCKETS] + [crc32((f"{k}" + word[:k]).encode()) % BUCKETS for k in (3, 4, 5, 6, 7) if len(word) > k]
+
+
+def again(unit: int) -> int:
+    """The feature of a text that has ``unit`` in more than one of its different words."""
+    return (unit * 2654435761 + 97) % BUCKETS
+
+
+def word_units(words: Iterable[str]) -> set[int]:
+    """Hashed features of a text's different words; those of more than one word count apart."""
+    once: set[int] = set()
+    twice: set[int] = set()
+    for w in words:
+        for u in units(w):
+            (twice if u in once else once).add(u)
+    return once.union(map(again, twice))
 
 
 def shape_units(n: int, s: list[float]) -> list[int]:
@@ -112,17 +129,20 @@ class Model:
 
     KEPT = 300_000
 
-    def scores(self, text: str, memo: dict[str, float]) -> tuple[float, float]:
-        """(junk, toxic) probabilities of a whole text; ``memo`` keeps words' weights, boundedly."""
-        junk, toxic = float(self.junk.weights[shape_units(*shapes(text))].sum()), 0.0
+    def scores(self, text: str, memo: dict[str, tuple[int, ...]]) -> tuple[float, float]:
+        """(junk, toxic) probabilities of a whole text; ``memo`` keeps words' features that carry a weight, boundedly."""
+        junk, weights = float(self.junk.weights[shape_units(*shapes(text))].sum()), self.toxic.weights
+        once: set[int] = set()
+        twice: set[int] = set()
         for w in set(WORD.findall(text.lower())):
             got = memo.get(w)
             if got is None:
                 if len(memo) >= self.KEPT:
                     memo.clear()
-                got = memo[w] = float(self.toxic.weights[units(w)].sum())
-            toxic += got
-        return self.junk.probability(junk), self.toxic.probability(toxic)
+                got = memo[w] = tuple(u for u in units(w) if weights[u] or weights[again(u)])
+            for u in got:
+                (twice if u in once else once).add(u)
+        return self.junk.probability(junk), self.toxic.probability(float(sum(weights[sorted(once.union(map(again, twice)))])))
 
 
 def _train(rows: list[np.ndarray], goal: np.ndarray, held: np.ndarray, most_false: float, steps: int = 150) -> tuple[np.ndarray, float, float]:
@@ -160,7 +180,7 @@ def _train(rows: list[np.ndarray], goal: np.ndarray, held: np.ndarray, most_fals
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, sample_words: int = 4_000, most_false: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on ``sample_rows`` labelled rows (all of them if there are fewer), those with the smallest hashes of id and text.
 
-    ``labels``: (id_col, quality, toxic).  The driver holds the sample's hashed features, some 4 KB a row, of a row at
+    ``labels``: (id_col, quality, toxic).  The driver holds the sample's hashed features, some 5 KB a row, of a row at
     most those of its first ``sample_words`` different words by hash.  Labels of
     rows that ``docs`` lacks are left out; null labels are votes for nothing; without labels, heuristics alone vote.
     """
@@ -171,51 +191,65 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, sample_wor
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     chosen = need(docs, id_col, text_col).where(F.xxhash64(F.col(f"`{id_col}`")) <= few).join(marks, id_col)
     chosen = chosen.where(key <= hash_bound(chosen.select(key.alias("k")), sample_rows))
-    names = list(LABELLERS)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, quality, toxic in zip(*(b.column(i).to_pylist() for i in range(4) if i != 0), strict=True):
-                text = text or ""
-                n, s = shapes(text)
-                words = set(WORD.findall(text.lower()))
-                own = {u for w in (words if len(words) <= sample_words else sorted(words, key=lambda w: crc32(w.encode()))[:sample_words]) for u in units(w)}
-                votes = [LABELLERS[k](n, s) for k in names] + [NOTHING if quality is None else int(quality == 0)]
-                insult = BAD if words & INSULTS else NOTHING
-                out.append((np.array(sorted(own), "<u4").tobytes(), np.array(shape_units(n, s), "<u4").tobytes(), bytes(votes), insult, NOTHING if toxic is None else int(toxic != 0)))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["words", "shape", "votes", "insult", "toxic"])
+            out = [_row(text or "", quality, toxic, sample_words) for text, quality, toxic in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            cols = list(zip(*out, strict=True)) or [[]] * len(ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, ROW.values(), strict=True)], names=list(ROW))
 
     got = chosen.mapInArrow(features, "words binary, shape binary, votes binary, insult int, toxic int").collect()
-    got.sort(key=lambda r: (bytes(r.words), bytes(r.shape), bytes(r.votes), r.toxic))
+    return _learn([tuple(r) for r in got], most_false)
+
+
+ROW = {"words": pa.binary(), "shape": pa.binary(), "votes": pa.binary(), "insult": pa.int32(), "toxic": pa.int32()}
+
+
+def _row(text: str, quality: int | None, toxic: int | None, sample_words: int) -> tuple[bytes, bytes, bytes, int, int]:
+    """What the driver learns from a labelled row: hashed features of words and of shape, votes on quality and toxicity."""
+    n, s = shapes(text)
+    words = set(WORD.findall(text.lower()))
+    own = word_units(words if len(words) <= sample_words else sorted(words, key=lambda w: crc32(w.encode()))[:sample_words])
+    votes = [vote(n, s) for vote in LABELLERS.values()] + [NOTHING if quality is None else int(quality == 0)]
+    return (
+        np.array(sorted(own), "<u4").tobytes(), np.array(shape_units(n, s), "<u4").tobytes(), bytes(votes),
+        BAD if words & INSULTS else NOTHING, NOTHING if toxic is None else int(toxic != 0),
+    )
+
+
+def _learn(got: list[tuple], most_false: float) -> Model:
+    """Both scorers, from the sample's rows."""
+    got = sorted(got, key=lambda r: (bytes(r[0]), bytes(r[1]), bytes(r[2]), r[4]))
+    names = [*LABELLERS, "labels"]
     rows, forms = ([np.frombuffer(bytes(r[i]), "<u4") for r in got] for i in (0, 1))
     held = np.arange(len(rows)) * 2654435761 % 1000 < 200
-    quality_votes = np.array([list(bytes(r.votes)) for r in got], dtype=np.int64).reshape(len(rows), len(names) + 1)
-    junk, accuracy, _ = estimate(quality_votes)
-    made = _train(forms, junk, held, most_false)
-    junk_scorer = Scorer(*made, dict(zip([*names, "labels"], accuracy.round(4).tolist(), strict=True)))
-
-    marked = np.array([r.toxic for r in got], dtype=np.int64)
-    lexicon = _lexicon(rows, marked, held)
-    hits = np.array([int(lexicon[r].sum()) for r in rows], dtype=np.int64)
-    insult = np.array([r.insult for r in got], dtype=np.int64)
-    clean = np.where((hits == 0) & (insult == NOTHING), GOOD, NOTHING)
-    toxic_votes = np.stack([insult, np.where(hits >= 1, BAD, NOTHING), np.where(hits >= 3, BAD, NOTHING), clean, marked], axis=1)
-    toxic, accuracy, _ = estimate(toxic_votes)
-    made = _train(rows, toxic, held, most_false)
-    return Model(junk_scorer, Scorer(*made, dict(zip(("insults", "lexicon", "lexicon_dense", "clean", "labels"), accuracy.round(4).tolist(), strict=True))), len(rows))
-
-
-def _lexicon(rows: list[np.ndarray], marked: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Features that the sample's toxic rows show and its other rows hardly do."""
-    count = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for r, t, h in zip(rows, marked, held, strict=True):
-        if t != NOTHING and not h:
-            count[t][r] += 1
-    total = [max(float(((marked == t) & ~held).sum()), 1.0) for t in (GOOD, BAD)]
-    return (count[BAD] >= 3) & (count[BAD] / total[BAD] > 30 * (count[GOOD] + 0.5) / total[GOOD])
+    junk, accuracy, _ = estimate(np.array([list(bytes(r[2])) for r in got], dtype=np.int64).reshape(len(rows), len(names)))
+    junk_scorer = Scorer(*_train(forms, junk, held, most_false), dict(zip(names, accuracy.round(4).tolist(), strict=True)))
+
+    marked, insult = (np.array([r[i] for r in got], dtype=np.int64) for i in (4, 3))
+    toxic, accuracy, _ = estimate(np.stack([insult, _lexicon_votes(rows, marked), marked], axis=1))
+    toxic_scorer = Scorer(*_train(rows, toxic, held, most_false), dict(zip(("insults", "lexicon", "labels"), accuracy.round(4).tolist(), strict=True)))
+    return Model(junk_scorer, toxic_scorer, len(rows))
+
+
+def _lexicon_votes(rows: list[np.ndarray], marked: np.ndarray, folds: int = 5) -> np.ndarray:
+    """A vote on each row by the features that the other folds' toxic rows show and their other rows hardly do: a row's own
+    mark has no part in its vote, so the lexicon and the marks err apart."""
+    fold = np.arange(len(rows)) * 40503 % 65536 % folds
+    votes = np.full(len(rows), NOTHING)
+    count = np.zeros((folds, 2, BUCKETS), np.int32)
+    for r, t, k in zip(rows, marked, fold, strict=True):
+        if t != NOTHING:
+            count[k, t][r] += 1
+    number = np.array([[((marked == t) & (fold == k)).sum() for t in (GOOD, BAD)] for k in range(folds)])
+    for k in range(folds):
+        good, bad = count.sum(axis=0) - count[k]
+        n_good, n_bad = np.maximum(number.sum(axis=0) - number[k], 1)
+        telling = (bad >= 3) & (bad / n_bad > 20 * (good + 0.5) / n_good)
+        if telling.any():
+            for i in np.flatnonzero(fold == k):
+                votes[i] = BAD if telling[rows[i]].any() else GOOD
+    return votes
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
