@@ -164,6 +164,19 @@ def pagerank_copartitioned(nodes: DataFrame, edges: DataFrame, iterations: int,
 CHUNK = 32
 
 
+def _present(nodes: DataFrame, sources: list[int]) -> list[int]:
+    """The sources that are nodes, each once, in order."""
+    known = {r[0] for r in nodes.where(F.col("id").isin(sources)).select("id").distinct().collect()}
+    return [s for s in dict.fromkeys(sources) if s in known]
+
+
+def _all_present(nodes: DataFrame, sources: list[int]) -> list[int]:
+    known = _present(nodes, sources)
+    if missing := set(sources) - set(known):
+        raise ValueError(f"not in the graph: {sorted(missing)}")
+    return known
+
+
 def _personal_rounds(nodes: DataFrame, edges: DataFrame, sources: list[int], alpha: float) -> Iterator[DataFrame]:
     """(id, chunk, pairs map<position, rank>) at the start and after each iteration, of the nodes that any source of the
     chunk reaches: a row a node, with the sources that reach it only.  A round's table goes once the next one is written.
@@ -171,9 +184,6 @@ def _personal_rounds(nodes: DataFrame, edges: DataFrame, sources: list[int], alp
     Messages carry a node's pairs; they are summed position by position, partially before the shuffle.
     """
     spark = nodes.sparkSession
-    known = {r[0] for r in nodes.where(F.col("id").isin(sources)).select("id").collect()}
-    if missing := set(sources) - known:
-        raise ValueError(f"not in the graph: {sorted(missing)}")
     width = min(CHUNK, len(sources))
     kinds = "id long, chunk int, pairs map<int,double>"
     at_home = lambda value: spark.createDataFrame([(int(s), i // CHUNK, {i % CHUNK: value}) for i, s in enumerate(sources)], kinds)
@@ -208,15 +218,18 @@ def _long(ranks: DataFrame, sources: list[int]) -> DataFrame:
 def personalised_reached(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA) -> DataFrame:
     """(source, id, rank) for every source in one run, of the nodes that it reaches.
 
-    At the source r' = alpha + (1 - alpha) (inc + miss), elsewhere (1 - alpha) inc.  The sources are a short list.
+    At the source r' = alpha + (1 - alpha) (inc + miss), elsewhere (1 - alpha) inc.  The sources are a short list; one
+    that isn't a node reaches nothing and has no row.
     """
-    sources = list(dict.fromkeys(sources))
+    sources = _present(nodes, sources)
+    if not sources:
+        return nodes.sparkSession.createDataFrame([], "source long, id long, rank double")
     return _long(next(islice(_personal_rounds(nodes, edges, sources, alpha), iterations, None)), sources)
 
 
 def personalised(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA) -> DataFrame:
-    """(source, id, rank) as above for all nodes, 0 where a source doesn't reach."""
-    sources = list(dict.fromkeys(sources))
+    """(source, id, rank) as above for all nodes, 0 where a source doesn't reach; a source that isn't a node is an error."""
+    sources = _all_present(nodes, sources)
     return _all_nodes(nodes, personalised_reached(nodes, edges, sources, iterations, alpha), sources)
 
 
@@ -268,7 +281,7 @@ def sequential_pagerank(nodes: DataFrame, edges: DataFrame, jump: float = ALPHA,
 
 def sequential_personalised(nodes: DataFrame, edges: DataFrame, source: int, jump: float = ALPHA, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
     """(id, rank) from one source, of distinct edges, iterated as above."""
-    rounds = (_long(r, [source]) for r in _personal_rounds(nodes, edges.distinct(), [source], jump))
+    rounds = (_long(r, [source]) for r in _personal_rounds(nodes, edges.distinct(), _all_present(nodes, [source]), jump))
     return _all_nodes(nodes, _settled(rounds, tolerance, most, ["source", "id"]), [source]).drop("source")
 
 

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import first_words, raw_tokens, snippet, tokens
-from sparkloom.operators import classify, graph, search, text_stats
+from sparkloom.operators import classify, graph, log_ranks, search, text_stats
 from sparkloom.operators.joins import connected_components
+from sparkloom.plans import oracle, registry
 from sparkloom.sources import shared, tables
 
 
@@ -113,6 +114,30 @@ def test_personalised_toy(spark):
         graph.personalised(nodes, edges, [77], 1)
 
 
+def test_a_source_without_a_record_reaches_nothing(spark, tmp_path):
+    nodes, edges = _toy(spark)
+    with_it, without = (sorted(map(tuple, graph.personalised_reached(nodes, edges, s, 2).collect())) for s in ([77, 1, 78, 2], [1, 2]))
+    assert with_it == without and {r[0] for r in with_it} == {1, 2}
+    assert graph.personalised_reached(nodes, edges, [77], 2).count() == 0
+    assert {(r.id, r.log_rank) for r in log_ranks.personalised(nodes, edges, 77, 2).collect()} == {(i, None) for i in (1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("name", ["ppr_dump", "ppr_vectors", "ppr_vectors_top"])
+def test_a_large_part_among_the_sources(spark, sf, tmp_path, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for table in ("customer", "orders", "lineitem", "part"):
+        rows = spark.read.parquet(f"{sf}/{table}.parquet")
+        if table == "part":  # source 7 has no record
+            rows = rows.withColumn("p_size", F.when(F.col("p_partkey") == 3, 50).otherwise(F.col("p_size")))
+        rows.write.parquet(f"{tmp_path}/{table}.parquet")
+        duck.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), duck.execute(oracle.SQL[name]).df()
+    rows = lambda d: sorted(map(str, d[sorted(d.columns)].itertuples(index=False)))
+    assert rows(got) == rows(want) and set(got.source) == {0, 2, 4, 1, 40}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (70, 70)] + [(100, k) for k in range(101, 140)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
