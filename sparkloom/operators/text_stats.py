@@ -88,9 +88,13 @@ def bigram_stripes(docs: DataFrame) -> DataFrame:
 
 
 def bigram_stripe_shares(docs: DataFrame) -> DataFrame:
-    """(a, shares map<b, share>): each word's successors with the share of its bigrams that go on with them."""
-    total = F.aggregate(F.map_values("stripe"), F.lit(0).cast("long"), lambda s, n: s + n)
-    return bigram_stripes(docs).select("a", total.alias("total"), "stripe").select("a", F.transform_values("stripe", lambda _, n: n / F.col("total")).alias("shares"))
+    """(a, shares map<b, share>): each word's successors with the share of its bigrams that go on with them.
+
+    The sum is an aggregate of its own: as an expression over the map it would move into the function that is applied to
+    every entry, and be taken as often.
+    """
+    got = bigrams(docs).groupBy("a").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("b", "n"))).alias("p"))
+    return got.select("a", F.map_from_entries(F.transform("p", lambda x: F.struct(x["b"], x["n"] / F.col("total")))).alias("shares"))
 
 
 def bigram_relfreq_stripes(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,17 @@ def test_first_words_go_on_past_an_empty_one(spark):
     assert got == names[:99] + ["survivor"]
 
 
+def test_shares_take_each_sum_once(spark):
+    """A word with very many successors: a sum taken for every successor would need 10**10 steps."""
+    import time
+
+    n = 100_000
+    text = spark.range(n).agg(F.array_join(F.collect_list(F.concat(F.lit("hub w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))), " ").alias("text"))
+    start = time.monotonic()
+    got = text_stats.bigram_stripe_shares(text).where("a = 'hub'").select(F.size("shares").alias("n"), F.element_at("shares", "wa").alias("share")).first()
+    assert (got.n, got.share) == (n, 1 / n) and time.monotonic() - start < 60
+
+
 def test_snippet(spark):
     rows = spark.createDataFrame([("a" * 81 + "\nb",), ("short\nnext",)], "text string").select(snippet("text").alias("s")).collect()
     assert [r.s for r in rows] == ["a" * 80 + "...", "short"]
