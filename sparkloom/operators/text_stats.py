@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import first_words, raw_tokens, tokens
+from sparkloom.functions.text import head_parts, head_words, tokens
 from sparkloom.operators.joins import salted_join
 from sparkloom.sources.shared import materialise
 
@@ -32,23 +36,88 @@ def word_lookup(docs: DataFrame, word: str) -> DataFrame:
     return word_count(docs.select("text")).where(F.col("word") == word)
 
 
+def _numbered(words: DataFrame) -> tuple[DataFrame, int]:
+    """``words`` with dense numbers ``id`` from 0, and their count; written, as numbers follow from the order of the rows."""
+    rows = materialise(words.withColumn("at", F.monotonically_increasing_id()), "numbered")  # partition << 33, row
+    part = F.shiftright("at", 33)
+    sizes = sorted(tuple(r) for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # one a partition
+    base, total = {}, 0
+    for k, n in sizes:
+        base[k], total = total, total + n
+    starts = F.create_map(*[F.lit(x).cast("long") for k, b in base.items() for x in (k, b)]) if base else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return rows.withColumn("id", F.element_at(starts, part.cast("long")) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at"), total
+
+
+#: Codes of pairs that a task makes at once, and different ones that it holds before it tells their counts.
+PAIRS_AT_ONCE, PAIRS_HELD = 1 << 22, 1 << 23
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order with the sums of their counts."""
+    c, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(c, kind="stable")
+    c, n = c[order], n[order]
+    starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    return c[starts], np.add.reduceat(n, starts)
+
+
+def pair_counts(lists: DataFrame, n_ids: int) -> DataFrame:
+    """(code, n) of (ids array<long>, each once and sorted): in how many rows ids x < y below ``n_ids`` meet, as x * n_ids + y.
+
+    Tasks count in numpy what they read, in bounded memory, and tell each pair once or a few times; Spark adds up.
+    """
+
+    def tell(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(codes), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + (1 << 18)]), pa.array(counts[i : i + (1 << 18)])], names=["code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        held = 0
+        for b in batches:
+            column = b.column(0)
+            flat, starts = np.asarray(column.flatten()), np.asarray(column.offsets)
+            starts, sizes = starts[:-1] - starts[0], np.diff(starts)
+            for size in np.unique(sizes[sizes > 1]):
+                i, j = np.triu_indices(size, 1)
+                rows = starts[sizes == size]
+                step = max(1, PAIRS_AT_ONCE // len(i))
+                for at in range(0, len(rows), step):
+                    ids = flat[rows[at : at + step, None] + np.arange(size)]
+                    made = np.sort((ids[:, i] * n_ids + ids[:, j]).ravel())
+                    ends = np.flatnonzero(np.append(made[1:] != made[:-1], True))
+                    codes.append(made[ends])
+                    counts.append(np.diff(ends, prepend=-1))
+                    held += len(ends)
+                    if held > PAIRS_HELD:
+                        one, n = _summed(codes, counts)
+                        codes, counts, held = [one], [n], len(one)
+                        if held > PAIRS_HELD // 2:
+                            yield from tell(one, n)
+                            codes, counts, held = [], [], 0
+        if codes:
+            yield from tell(*_summed(codes, counts))
+
+    return lists.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def pmi_pairs(docs: DataFrame, least: int = 10, at: int = 100) -> DataFrame:
     """(x, y, n, pmi) of ordered pairs of words that ``least`` or more records share.
 
-    A pair that frequent has two words that frequent, so rarer words go before pairs are made; pairs are counted once
-    and mirrored at the end.
+    A pair that frequent has two words that frequent, so rarer words go before pairs are made; words are numbered, pairs
+    are counted once, as one number each, and mirrored at the end.
     """
-    total = docs.count()
-    raw = docs.select("doc_id", raw_tokens("text").alias("raw"))
-    seen = materialise(raw.select("doc_id", F.explode(first_words(F.col("raw"), at)).alias("w")), "seen")
-    counts = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    kept = seen.join(counts.select("w"), "w").groupBy("doc_id").agg(F.sort_array(F.collect_list("w")).alias("ws"))  # at most ``at`` words a record
-    left = kept.select("ws", F.posexplode("ws").alias("i", "x"))
-    pairs = left.select("x", F.explode(F.expr("slice(ws, i + 2, size(ws))")).alias("y"))
-    pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    x, y = counts.toDF("x", "nx"), counts.toDF("y", "ny")
-    one = pairs.join(x, "x").join(y, "y").select("x", "y", "n", F.round(F.log10(F.col("n") * F.lit(float(total)) / (F.col("nx") * F.col("ny"))), 6).alias("pmi"))
-    return one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"), "n", "pmi"))
+    total, spark = docs.count(), docs.sparkSession
+    seen = materialise(docs.select("doc_id", head_parts("text", at).alias("p")).select("doc_id", F.explode(head_words(F.col("p"), at)).alias("w")), "seen")
+    counts, size = _numbered(seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    # the pairs outweigh what is read, so the records are dealt over as many tasks as a shuffle has, however small they are
+    kept = seen.join(counts.select("w", "id"), "w").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    lists = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")  # at most ``at`` words a record
+    pairs = pair_counts(lists, size).where(F.col("n") >= least).select(F.expr(f"code div {max(size, 1)}").alias("i"), (F.col("code") % max(size, 1)).alias("j"), "n")
+    x, y = counts.toDF("x", "nx", "i"), counts.toDF("y", "ny", "j")
+    one = pairs.join(x, "i").join(y, "j").select("x", "y", "n", F.round(F.log10(F.col("n") * F.lit(float(total)) / (F.col("nx") * F.col("ny"))), 6).alias("pmi"))
+    return one.select(F.explode(F.array(F.struct("x", "y", "n", "pmi"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "n", "pmi"))).alias("r")).select("r.*")
 
 
 def pmi_stripes(docs: DataFrame, least: int = 10) -> DataFrame:

@@ -1,13 +1,15 @@
 """Hand fixtures and invariants."""
 
 import math
+from collections import Counter
+from itertools import combinations
 from pathlib import Path
 from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import first_words, raw_tokens, snippet, tokens
+from sparkloom.functions.text import clean, first_words, head_parts, head_words, raw_tokens, snippet, tokens
 from sparkloom.operators import classify, graph, log_ranks, search, text_stats
 from sparkloom.operators.joins import connected_components
 from sparkloom.plans import oracle, registry
@@ -37,6 +39,42 @@ def test_shares_take_each_sum_once(spark):
     assert (got.n, got.share) == (n, 1 / n) and time.monotonic() - start < 60
 
 
+ODD_TEXTS = ["", " ", "a", "-", " 1'a--b'' x9 9x", "\n\ta\r\fb\x0bc ", "42 " * 120 + "late later", "x " * 98 + "7 8 9 y", "w " * 99 + "7", "é-É aéb İI \u212aelvin", None]
+
+
+def test_tokens_are_found_without_a_function_on_each(spark):
+    rows = spark.createDataFrame([(t,) for t in ODD_TEXTS], "text string")
+    plain = F.filter(F.transform(raw_tokens("text"), clean), lambda x: x != "")
+    got = rows.select("text", tokens("text").alias("t"), plain.alias("p"))
+    assert all(r.t == r.p for r in got.collect())
+    assert "lambda" not in got.select("t")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("at", [1, 2, 99, 100])
+def test_head_words(spark, at):
+    rows = spark.createDataFrame([(t,) for t in ODD_TEXTS if t is not None], "text string")
+    got = rows.select(head_words(head_parts("text", at), at).alias("h"), first_words(raw_tokens("text"), at).alias("f"))
+    assert all(r.h == r.f for r in got.collect())
+
+
+def test_pair_counts_in_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(text_stats, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(text_stats, "PAIRS_HELD", 120)
+    lists = [sorted({(k * i * i + 3 * i) % 41 for i in range(k % 23)}) for k in range(60)] + [[], [5]]
+    want = Counter(x * 41 + y for ids in lists for x, y in combinations(ids, 2))
+    rows = spark.createDataFrame([(ids,) for ids in lists], "ids array<long>").repartition(3)
+    got = text_stats.pair_counts(rows, 41)
+    assert {r.code: r.n for r in got.collect()} == want
+    # a task tells counts, not pairs
+    one = text_stats.pair_counts(spark.createDataFrame([([1, 2, 3],)] * 40, "ids array<long>").coalesce(1), 41)
+    assert sorted(r.n for r in one.collect()) == [40, 40, 40]
+    assert text_stats.pair_counts(rows.limit(0), 1).count() == 0
+
+
+def test_pmi_without_frequent_words(spark):
+    assert text_stats.pmi_pairs(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")).count() == 0
+
+
 def test_snippet(spark):
     rows = spark.createDataFrame([("a" * 81 + "\nb",), ("short\nnext",)], "text string").select(snippet("text").alias("s")).collect()
     assert [r.s for r in rows] == ["a" * 80 + "...", "short"]
