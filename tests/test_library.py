@@ -205,6 +205,18 @@ def test_training_matches_plain_gradient_steps(spark):
     assert got.keys() == w.keys() and all(math.isclose(got[k], w[k], rel_tol=1e-12) for k in w)
 
 
+def test_the_training_task_reads_packed_rows(spark):
+    """1,000 features a row are read by the one task in under two bytes each; odd rows count as before."""
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "spam").otherwise("ham").alias("label"),
+                                   F.expr("transform(sequence(1, 1000), i -> cast(pmod(xxhash64(id, i), 20000) as int))").alias("features"))
+    batches = [b for b in rows.select("doc_id", "doc_id", F.lit(True), "features").toArrow().to_batches()]
+    assert sum(len(x) for b in classify._pack(iter(batches)) for x in b.column(3).to_pylist()) < 2 * 200 * 1000 * 1.5
+    odd = spark.createDataFrame([(1, "spam", [5, 5, 0]), (2, None, []), (3, "ham", None), (4, "spam", [2**20 - 1])], "doc_id long, label string, features array<int>")
+    for seed in (None, 42):
+        got = {r.feature: r.weight for r in classify.train(odd, seed).collect()}
+        assert got.keys() == {0, 5, 2**20 - 1} and math.isclose(got[5], 2 * got[0], rel_tol=1e-12)
+
+
 def test_vote_counts_zero_as_against(spark):
     inst = spark.createDataFrame([(1, "spam", [1])], "doc_id long, label string, features array<int>")
     models = spark.createDataFrame([(1, 1, 0.0), (2, 1, 2.0), (3, 1, -1.0)], "model_id int, feature int, weight double")
