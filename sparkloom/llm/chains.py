@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import connected_components, hot_join, join_counted, materialise, need, salted_join
-from sparkloom.llm.winnow import grams, kept, mixed, words
+from sparkloom.llm.winnow import grams, hashed, kept, mixed, rightmost, words
 
 K, WINDOW = 5, 4
 #: Texts that a seed may stand in to tie each to each.
@@ -224,6 +224,29 @@ def _seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g[at].view(np.int64), at.astype(np.int64), often
 
 
+def seeds_of_texts(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_seeds() of texts of ``n`` words each, whose words' hashes follow one another, and the number of each seed's text."""
+    if not len(n):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+    begin = np.cumsum(n) - n
+    if n.min() < K + WINDOW:  # too few for a window
+        got = [(*_seeds(hashes[b : b + size]), i) for i, (b, size) in enumerate(zip(begin.tolist(), n.tolist(), strict=True))]
+        return *(np.concatenate([x[i] for x in got]) for i in range(3)), np.repeat([x[3] for x in got], [len(x[0]) for x in got])
+    g = grams(hashes, K)
+    windows = np.ones(len(g) - WINDOW + 1, bool)
+    for b in range(1, K + WINDOW - 1):  # windows that reach into the next text
+        windows[(begin - b)[1:]] = False
+    text = np.repeat(np.arange(len(n)), n)[: len(windows)][windows]
+    at = np.flatnonzero(windows) + rightmost(g, WINDOW)[windows]
+    keep = np.concatenate(([True], at[1:] != at[:-1]))
+    at, text = at[keep], text[keep]
+    seed = g[at]
+    new = np.flatnonzero(np.concatenate(([True], (seed[1:] != seed[:-1]) | (text[1:] != text[:-1]))))
+    often = np.diff(np.append(new, len(seed))) > 1
+    at, text = at[new], text[new]
+    return seed[new].view(np.int64), at - begin[text], often, text
+
+
 def runs_of(x: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of ``n`` words, of the words' hashes."""
     weight = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(x), 0x9E3779B97F4A7C15, np.uint64))))
@@ -458,20 +481,18 @@ def repeated_passages(docs: DataFrame, least: int = 50, similarity: float = 0.8,
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ss, ps = [], [], []
-            for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ws = words(t.as_py())
-                if len(ws) >= least:
-                    s, at, often = _seeds(mixed(ws))
-                    again = s[often]
-                    s, first, times = np.unique(s, return_index=True, return_counts=True)
-                    if len(again):
-                        times[np.searchsorted(s, again)] += 1
-                    hs.append(np.full(len(s), h, np.int64))
-                    ss.append(s)
-                    ps.append(np.where(times > 1, -1 - at[first], at[first]))  # repeated ones are marked
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ss, hs, [p.astype(np.int32) for p in ps])], names=["seed", "h", "pos"])
+            hs = np.asarray(b.column(0))
+            for lo, hashes, n in hashed(b.column(1)):
+                long = n >= least
+                s, at, often, text = seeds_of_texts(hashes[np.repeat(long, n)], n[long])
+                if not len(s):
+                    continue
+                order = np.lexsort((s, text))  # the first place of a text's seed stays first
+                s, at, often, text = s[order], at[order], often[order], text[order]
+                first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (text[1:] != text[:-1]))))
+                times = np.add.reduceat(1 + often.astype(np.int64), first)
+                at = np.where(times > 1, -1 - at[first], at[first])  # repeated ones are marked
+                yield pa.RecordBatch.from_arrays([pa.array(s[first]), pa.array(hs[lo + np.flatnonzero(long)[text[first]]]), pa.array(at.astype(np.int32))], names=["seed", "h", "pos"])
 
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, none = Groups(), np.zeros(0, np.int64)
@@ -532,16 +553,18 @@ def repeated_passages(docs: DataFrame, least: int = 50, similarity: float = 0.8,
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for h, own, marks, t in zip(b.column(0).to_pylist(), *b.columns[1:], strict=True):
-                hashes = mixed(words(t.as_py()))
-                s, at, _ = _seeds(hashes)
-                seeds, many = np.asarray(own.values), np.asarray(marks.values)
-                order = np.argsort(seeds)
-                seeds, many = seeds[order], many[order]
-                place = np.minimum(np.searchsorted(seeds, s), len(seeds) - 1)
-                got = seeds[place] == s
-                out.append((h, shared_runs(hashes, at, got, least), s[got], at[got].astype(np.int32), many[place[got]]))
+            out, hs = [], b.column(0).to_pylist()
+            for lo, all_hashes, n in hashed(b.column(3)):
+                all_s, all_at, _, text = seeds_of_texts(all_hashes, n)
+                cuts, of = [0, *np.cumsum(n).tolist()], np.searchsorted(text, np.arange(len(n) + 1)).tolist()
+                for i in range(len(n)):
+                    hashes, s, at = all_hashes[cuts[i] : cuts[i + 1]], all_s[of[i] : of[i + 1]], all_at[of[i] : of[i + 1]]
+                    seeds, many = np.asarray(b.column(1)[lo + i].values), np.asarray(b.column(2)[lo + i].values)
+                    order = np.argsort(seeds)
+                    seeds, many = seeds[order], many[order]
+                    place = np.minimum(np.searchsorted(seeds, s), len(seeds) - 1)
+                    got = seeds[place] == s
+                    out.append((hs[lo + i], shared_runs(hashes, at, got, least), s[got], at[got].astype(np.int32), many[place[got]]))
             kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "runs", "seeds", "places", "many"])

@@ -28,17 +28,70 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Of each byte: a-z for A-Z, a blank for what is in no word, else itself.
+FOLD = bytes(c[0] if WORD.match(c) else 32 for c in (bytes([i]).lower() for i in range(256)))
+FOLD_ARRAY = np.frombuffer(FOLD, np.uint8)
+#: CRC-32 of each byte; bytes of texts that are hashed at once; bytes of a word beyond which it is hashed alone.
+CRC = np.array([crc32(bytes([i])) for i in range(256)], np.uint32)
+CRC ^= CRC[0]
+CHUNK, LONG = 1 << 18, 24
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of digits, letters and anything beyond ASCII, A-Z lower-cased."""
-    return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
 def mixed(tokens: list[bytes]) -> np.ndarray:
-    h = np.fromiter(map(crc32, tokens), np.uint64, len(tokens)) + np.uint64(1)
+    return _mix(np.fromiter(map(crc32, tokens), np.uint64, len(tokens)))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h += np.uint64(1)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     return h ^ h >> np.uint64(29)
 
 
+def hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, hashes of the words, words of each text) of some texts at a time, without nulls: mixed()
+    of words() of one text after another."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    cuts = [0, *(np.flatnonzero(np.diff((offsets[1:] - offsets[0]) // CHUNK)) + 1).tolist(), len(texts)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if lo == hi:
+            continue
+        bounds = offsets[lo : hi + 1].astype(np.int64)
+        own = FOLD_ARRAY[data[bounds[0] : bounds[-1]]]
+        bounds -= bounds[0]
+        inside = np.zeros(len(own) + 2, bool)
+        inside[1:-1] = own != 32
+        first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+        edge = bounds[(bounds > 0) & (bounds < len(own))]  # texts are parted though no blank stands between them
+        first[edge], last[edge - 1] = inside[1:-1][edge], inside[1:-1][edge - 1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        yield lo, _mix(_crc(own, starts, ends).astype(np.uint64)), np.diff(np.searchsorted(starts, bounds))
+
+
+def _crc(own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """CRC-32 of the bytes from starts to ends: all words' first bytes, all words' second bytes, and so on."""
+    size = np.minimum(ends - starts, LONG + 1).astype(np.uint8)
+    order = np.argsort(LONG + 1 - size, kind="stable")
+    at, longer = starts[order], np.cumsum(np.bincount(size, minlength=LONG + 2)[::-1])[::-1]
+    state = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    for place in range(int(size.max()) if len(size) else 0):
+        at, some = at[: int(longer[place + 1])], state[: int(longer[place + 1])]
+        low = some.astype(np.uint8) ^ own.take(at)
+        some >>= np.uint32(8)
+        some ^= CRC.take(low)
+        at += 1
+    out = np.empty(len(state), np.uint32)
+    out[order] = ~state
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = crc32(own[starts[i] : ends[i]])
+    return out
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of k words."""
     n = len(h) - k + 1
@@ -58,14 +111,22 @@ def kept(g: np.ndarray, window: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(g) <= window:
         return np.array([len(g) - 1 - int(np.argmin(g[::-1]))])
+    at = np.arange(len(g) - window + 1) + rightmost(g, window)
+    return at[np.concatenate((_TRUE, at[1:] != at[:-1]))]  # places never fall from window to window
+
+
+_TRUE = np.ones(1, bool)
+
+
+def rightmost(g: np.ndarray, window: int) -> np.ndarray:
+    """How far in each window its rightmost smallest hash is."""
     n = len(g) - window + 1
-    least, at = g[:n].copy(), np.arange(n)
+    least, at = g[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, window):
         other = g[j : j + n]
-        lower = other <= least
-        least[lower] = other[lower]
-        at[lower] += j - (at[lower] - np.flatnonzero(lower))
-    return np.unique(at)
+        at[other <= least] = j
+        np.minimum(least, other, out=least)
+    return at
 
 
 @dataclass

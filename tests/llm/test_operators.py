@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
@@ -549,6 +550,24 @@ def test_odd_rows_of_quality(spark, sf):
 # --- chains
 
 
+def test_hashes_and_seeds_of_many_texts_are_those_of_each(monkeypatch):
+    """A column of texts is hashed and seeded at once; texts that no blank parts stay apart."""
+    r = random.Random(7)
+    texts = ["", "end", "Start", "A" * 70 + " b" + "c" * 24, "é Ünï-x 12", "a b c d e f g h i j k" * 3] + ["".join(r.choice("aB1 .é\n\x80") for _ in range(r.randrange(300))) for _ in range(200)]
+    want = [winnow.mixed(chains.words(t)) for t in texts]
+    assert all(chains.words(t) == winnow.WORD.findall(t.encode().lower()) for t in texts)
+    for chunk in (64, 1 << 18):
+        monkeypatch.setattr(winnow, "CHUNK", chunk)
+        for least in (0, chains.K + chains.WINDOW):
+            for lo, h, n in winnow.hashed(pa.array(["skipped", *texts]).slice(1)):
+                own = want[lo : lo + len(n)]
+                assert n.tolist() == [len(x) for x in own] and h.tolist() == np.concatenate(own).tolist()
+                long = n >= least
+                got = chains.seeds_of_texts(h[np.repeat(long, n)], n[long])
+                for i, x in enumerate(x for x in own if len(x) >= least):
+                    assert all((c[got[3] == i] == w).all() and (got[3] == i).sum() == len(w) for c, w in zip(got, chains._seeds(x), strict=False))
+
+
 def test_chain_is_the_best_by_all_predecessors():
     r = random.Random(6)
     for _ in range(60):
