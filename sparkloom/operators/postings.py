@@ -9,48 +9,24 @@ decoded.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import tokens
+from sparkloom.operators import packed
+from sparkloom.operators.packed import RANGE, pack_integers, unpack_integers
 from sparkloom.operators.search import compile_rpn
 from sparkloom.sources.shared import discard, materialise
-from sparkloom.sources.tables import write_sorted
 
 BLOCK_POSTINGS = 128
-#: Documents of a range that blocks don't cross, so that a very frequent term is spread over many rows and tasks, and of
-#: a zone, by which the ranges of different terms are compared: a block reaches 64 zones at most.
-RANGE, ZONE = 65_536, 1_024
+#: Documents of a zone, by which the ranges of different terms are compared: a block reaches 64 zones at most.
+ZONE = 1_024
 SCHEMA = "term string, first_doc long, last_doc long, n int, sum_tf long, data binary"
 
 
-def pack_integers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bytes of each value) of numbers from 0, seven bits a byte, the lowest first; the top bit says that more follow."""
-    values = values.astype(np.uint64)
-    size = np.ones(len(values), np.int64)
-    for k in range(1, 10):
-        size += values >> np.uint64(7 * k) != 0
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(int(size.max()) if len(size) else 0):
-        own = size > k
-        low = (values[own] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8)
-        out[ends[own] - size[own] + k] = low | np.where(size[own] > k + 1, 128, 0).astype(np.uint8)
-    return out, size
-
-
-def unpack_integers(data: np.ndarray) -> np.ndarray:
-    last = np.flatnonzero(data < 128)
-    if not len(last):
-        return np.zeros(0, np.int64)
-    starts = np.concatenate(([0], last[:-1] + 1))
-    place = np.arange(len(data)) - np.repeat(starts, last - starts + 1)
-    return np.add.reduceat((data & 127).astype(np.uint64) << (7 * place).astype(np.uint64), starts).astype(np.int64)
-
-
 def compress(index: DataFrame) -> DataFrame:
     """(term, first_doc, last_doc, n, sum_tf, data) of an index (term, doc_id, tf); document numbers from 0 up."""
     return _compressed(index.withColumn("range", F.floor(F.col("doc_id") / RANGE)))
@@ -59,30 +35,33 @@ def compress(index: DataFrame) -> DataFrame:
 def _compressed(index: DataFrame) -> DataFrame:
     """The blocks of (term, range, doc_id, tf)."""
     lists = index.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
-    names = ["term", "first_doc", "last_doc", "n", "sum_tf", "data"]
+    made = partial(_blocks, BLOCK_POSTINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column(1)
-            postings, counts = lists.flatten(), np.diff(np.asarray(lists.offsets))
-            doc, tf = (np.asarray(postings.field(i)) for i in (0, 1))
-            of = np.repeat(np.arange(b.num_rows), counts)
-            place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-            starts = np.flatnonzero(place % BLOCK_POSTINGS == 0)
-            ends = np.append(starts[1:], len(doc))
-            gap = np.diff(doc, prepend=0)
-            gap[starts] = 0
-            data, size = pack_integers(np.stack([gap, tf], axis=1).ravel())
-            to = np.cumsum(size.reshape(-1, 2).sum(axis=1))[ends - 1]
-            blob = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.concatenate(([0], to)).astype(np.int32)), pa.py_buffer(data)])
-            arrays = [b.column(0).take(pa.array(of[starts])), pa.array(doc[starts]), pa.array(doc[ends - 1]), pa.array((ends - starts).astype(np.int32)), pa.array(np.add.reduceat(tf, starts)), blob]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            if b.num_rows:
+                lists = b.column(1)
+                postings, offsets = lists.flatten(), np.asarray(lists.offsets)
+                yield made(b.column(0), None, offsets[:-1] - offsets[0], *(np.asarray(postings.field(i)) for i in (0, 1)))
 
     return lists.select("term", "p").mapInArrow(run, SCHEMA)
 
 
+def _blocks(most: int, terms: pa.Array, _: np.ndarray | None, lists: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+    """The blocks of ``most`` postings at most of lists of postings, list i from ``lists[i]`` on."""
+    counts = packed.sizes(lists, len(doc))
+    of = np.repeat(np.arange(len(terms)), counts)
+    place = np.arange(len(doc)) - np.repeat(lists, counts)
+    starts = np.flatnonzero(place % most == 0)
+    ends = np.append(starts[1:], len(doc))
+    gap = np.diff(doc, prepend=0)
+    gap[starts] = 0
+    data, size = pack_integers(np.stack([gap, tf], axis=1).ravel())
+    blob = packed.binary(data, size.reshape(-1, 2).sum(axis=1), starts)
+    arrays = [terms.take(pa.array(of[starts])), pa.array(doc[starts]), pa.array(doc[ends - 1]), pa.array((ends - starts).astype(np.int32)), pa.array(np.add.reduceat(tf, starts)), blob]
+    return pa.RecordBatch.from_arrays(arrays, names=["term", "first_doc", "last_doc", "n", "sum_tf", "data"])
+
+
 def decompress(blocks: DataFrame) -> DataFrame:
     """(term, doc_id, tf)."""
 
@@ -105,13 +84,12 @@ def decompress(blocks: DataFrame) -> DataFrame:
 def write_blocks(docs: DataFrame, path: str) -> None:
     """The compressed index of (doc_id, text) as a table sorted by term and first document, for scans that prune.
 
-    Tokens are dealt by term and range once, for their counts and for their lists; the blocks are written before they are
-    sorted, as the sort reads its input twice to find its bounds.
+    Postings are counted and packed by the tasks that read the texts, and written before they are sorted, as the sort
+    reads its input twice to find its bounds; blocks are made of the sorted rows.
     """
-    words = docs.select("doc_id", F.floor(F.col("doc_id") / RANGE).alias("range"), F.explode(tokens("text")).alias("term")).repartition("term", "range")
-    blocks = materialise(_compressed(words.groupBy("term", "range", "doc_id").agg(F.count(F.lit(1)).alias("tf"))), "blocks")
-    write_sorted(blocks, path, "term", "first_doc")
-    discard(blocks)
+    rows = materialise(packed.packed(docs), "packed")
+    packed.merged(packed.by_range(rows), partial(_blocks, BLOCK_POSTINGS), SCHEMA).write.mode("overwrite").parquet(path)
+    discard(rows)
 
 
 def _hull(query: str) -> tuple[list[str], Column, Column]:
