@@ -6,13 +6,18 @@ over as many rows as there are blocks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import snippet, tokens
+from sparkloom.operators import packed
+from sparkloom.sources.shared import discard, materialise
 
-BLOCK = 65_536
+BLOCK = packed.RANGE
 
 
 def index_long(docs: DataFrame, *key: str) -> DataFrame:
@@ -28,12 +33,26 @@ def _block() -> Column:
 
 def inverted_index(docs: DataFrame) -> DataFrame:
     """(term, block, df, first_doc, last_doc, sum_tf, postings): sorted postings of each term and block of documents."""
-    one = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
-    got = index_long(docs).groupBy("term", _block()).agg(
-        F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("tf").alias("sum_tf"), one.alias("p")
-    )
-    text = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["tf"].cast("string"))), ",")
-    return got.withColumn("postings", text).drop("p")
+    return packed.merged(packed.by_hash(packed.packed(docs)), _listed, "term string, block long, df long, first_doc long, last_doc long, sum_tf long, postings string")
+
+
+def _listed(terms: pa.Array, block: np.ndarray, starts: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+    ends = np.append(starts[1:], len(doc))
+    each = pc.binary_join_element_wise(*(pa.array(x).cast(pa.string()) for x in (doc, tf)), ":")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)).astype(np.int32)), each)
+    arrays = [terms, pa.array(block), pa.array(ends - starts), pa.array(doc[starts]), pa.array(doc[ends - 1]), pa.array(np.add.reduceat(tf, starts)), pc.binary_join(lists, ",")]
+    return pa.RecordBatch.from_arrays(arrays, names=["term", "block", "df", "first_doc", "last_doc", "sum_tf", "postings"])
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """(term, doc_id, tf) of (doc_id, text) as a table sorted by term and document, for point lookups.
+
+    Packed postings are written before they are sorted, as the sort reads its input twice to find its bounds; a frequent
+    term is spread over the files of its ranges of documents.
+    """
+    rows = materialise(packed.packed(docs), "packed")
+    packed.long_rows(packed.by_range(rows)).write.mode("overwrite").parquet(path)
+    discard(rows)
 
 
 def index_gaps(docs: DataFrame) -> DataFrame:

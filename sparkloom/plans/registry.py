@@ -101,7 +101,7 @@ def spam_apply_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, doc_id, tf) of an index that is written sorted by term, so that a lookup reads few row groups."""
     path = new_path(spark, "index")
-    tables.write_sorted(search.index_long(load(spark, sf_dir, "documents")), path, "term")
+    search.write_index(load(spark, sf_dir, "documents"), path)
     return spark.read.parquet(path)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import postings, search, text_stats
+from sparkloom.operators import packed, postings, search, text_stats
 from sparkloom.sources import tables
 
 
@@ -74,3 +74,41 @@ def test_texts_are_cleaned_once(spark, sf, query):
     plan = df._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def odd_docs(spark):
+    """Texts of odd letters and blanks, some null or empty, some under one number; numbers on both sides of ranges."""
+    r = random.Random(3)
+    docs = [(d, "".join(r.choice("abAé1 .\t\n\x0b'K-") for _ in range(r.randrange(80)))) for d in (r.choice((0, 65_530, 131_070)) + r.randrange(12) for _ in range(400))]
+    return spark.createDataFrame([*docs, (7, None), (8, ""), (9, "end"), (65_535, "Start the"), (65_536, "the")], "doc_id long, text string").repartition(3)
+
+
+def test_packed_postings_are_those_of_the_plain_index(spark, monkeypatch):
+    """Pieces of the input are merged, also where a term and range come in many rows; the sizes are those of tiny pieces."""
+    docs = odd_docs(spark)
+    want = sorted(map(tuple, search.index_long(docs).collect()))
+    for name, value in (("CHUNK", 64), ("PIECE", 200), ("MERGED", 5)):
+        monkeypatch.setattr(packed, name, value)
+    texts = docs.selectExpr("doc_id", "lower(text) as text").where("text is not null").toArrow().combine_chunks().to_batches()[0]
+    bounds = np.frombuffer(texts.column(1).buffers()[1], np.int32)[: texts.num_rows + 1]
+    data, size, of = packed.tokens_of(np.frombuffer(texts.column(1).buffers()[2], np.uint8), bounds[:-1].astype(np.int64))
+    assert packed.packed(docs).count() > len(want) / 2  # most terms come in several rows
+    got = np.split(data, np.cumsum(size)[:-1])
+    assert sorted((texts.column(0)[i].as_py(), x.tobytes().decode()) for i, x in zip(of.tolist(), got, strict=True)) == sorted(map(tuple, docs.selectExpr("doc_id", "text").select("doc_id", F.explode(search.tokens("text"))).collect()))
+    for deal in (packed.by_hash, packed.by_range):
+        assert sorted(map(tuple, packed.long_rows(deal(packed.packed(docs))).collect())) == want
+    lists = {(x.term, x.block): x for x in search.inverted_index(docs).collect()}
+    assert sum(x.df for x in lists.values()) == len(want) and all(x.block == x.first_doc // 65_536 == x.last_doc // 65_536 for x in lists.values())
+    assert sorted((t, *map(int, p.split(":"))) for (t, _), x in lists.items() for p in x.postings.split(",")) == want
+    assert search.inverted_index(docs.limit(0)).count() == 0 and search.inverted_index(docs.where("text is null or text = ''")).count() == 0
+
+
+@pytest.mark.parametrize("write", [postings.write_blocks, search.write_index])
+def test_an_index_is_shuffled_packed(spark, tmp_path, write):
+    """One shuffle of a row a term and piece of the input, not of a row a token or posting; files are sorted."""
+    docs = spark.range(0, 4000, 1, 2).selectExpr("id as doc_id", "concat('the of and ', repeat('the ', 20), chr(97 + id % 3)) as text")
+    assert packed.packed(docs).count() <= 2 * 6
+    write(docs, str(tmp_path / "index"))
+    got = spark.read.parquet(str(tmp_path / "index"))
+    got = postings.decompress(got) if "data" in got.columns else got
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.index_long(docs).collect()))
