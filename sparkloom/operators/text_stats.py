@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import head_parts, head_words, tokens
 from sparkloom.operators.joins import salted_join
+from sparkloom.operators.meetings import AT_ONCE, meetings
 from sparkloom.sources.shared import materialise
 
 
@@ -102,9 +103,58 @@ def pair_counts(lists: DataFrame, n_ids: int) -> DataFrame:
     return lists.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def pmi_pairs(docs: DataFrame, least: int = 10, at: int = 100) -> DataFrame:
+def _pmi(n: np.ndarray, nx: np.ndarray, ny: np.ndarray, total: int) -> np.ndarray:
+    return np.round(np.log10(n * float(total) / (nx * ny)), 6) + 0.0  # no negative zero
+
+
+def _whole(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, id) of the words of each whole record that ``least`` or more records have, (w, n, id) of these words, and how many."""
+    seen = materialise(docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("w")), "seen")
+    counts, size = _numbered(seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy("n", "w"))
+    ids = counts.select("w", F.col("id").cast("int").alias("id")).hint("shuffle_hash")  # the words alone are built; records needn't be sorted
+    return seen.where("doc_id is not null").join(ids, "w").select("doc_id", "id"), counts, size
+
+
+def pmi_pairs(docs: DataFrame, least: int = 10) -> DataFrame:
     """(x, y, n, pmi) of ordered pairs of words that ``least`` or more records share.
 
+    A pair that frequent has two words that frequent, so rarer words go before pairs are made; each pair is counted once,
+    by the task that has its rarer word, and mirrored there.
+    """
+    total = docs.count()
+    rows, counts, size = _whole(docs, least)
+
+    def tell(found: Iterator[tuple[int, np.ndarray, np.ndarray]], words: pa.Array, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def both() -> Iterator[pa.RecordBatch]:
+            x, y, n = np.repeat(xs, [len(k) for k in ys]), np.concatenate(ys), np.concatenate(ns)
+            pmi, first, second = pa.array(_pmi(n, totals[x], totals[y], total)), words.take(pa.array(x)), words.take(pa.array(y))
+            for a, b in ((first, second), (second, first)):
+                whole = pa.RecordBatch.from_arrays([a, b, pa.array(n), pmi], names=["x", "y", "n", "pmi"])
+                yield from (whole.slice(i, 1 << 16) for i in range(0, len(n), 1 << 16))
+
+        xs, ys, ns, held = [], [], [], 0
+        for x, y, n in found:
+            xs.append(x)
+            ys.append(y)
+            ns.append(n)
+            held += len(y)
+            if held >= AT_ONCE:
+                yield from both()
+                xs, ys, ns, held = [], [], [], 0
+        if held:
+            yield from both()
+
+    return meetings(rows, counts, size, least, tell, "x string, y string, n long, pmi double")
+
+
+def pmi_stripes(docs: DataFrame, least: int = 10) -> DataFrame:
+    """(x, n_successors, total, max_pmi): each word's map of partners, summed up; the map itself stays in long form."""
+    return head_pmi_pairs(docs, least).groupBy("x").agg(F.count(F.lit(1)).alias("n_successors"), F.sum("n").alias("total"), F.max("pmi").alias("max_pmi"))
+
+
+def head_pmi_pairs(docs: DataFrame, least: int = 10, at: int = 100) -> DataFrame:
+    """(x, y, n, pmi) of ordered pairs of words that the heads of ``least`` or more records share; see ``head_words``.
+
     A pair that frequent has two words that frequent, so rarer words go before pairs are made; words are numbered, pairs
     are counted once, as one number each, and mirrored at the end.
     """
@@ -120,13 +170,9 @@ def pmi_pairs(docs: DataFrame, least: int = 10, at: int = 100) -> DataFrame:
     return one.select(F.explode(F.array(F.struct("x", "y", "n", "pmi"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "n", "pmi"))).alias("r")).select("r.*")
 
 
-def pmi_stripes(docs: DataFrame, least: int = 10) -> DataFrame:
-    """(x, n_successors, total, max_pmi): each word's map of partners, summed up; the map itself stays in long form."""
-    return pmi_pairs(docs, least).groupBy("x").agg(F.count(F.lit(1)).alias("n_successors"), F.sum("n").alias("total"), F.max("pmi").alias("max_pmi"))
-
-
 def pmi_top_for_word(docs: DataFrame, word: str, top: int = 10) -> DataFrame:
-    return pmi_pairs(docs).where(F.col("x") == word).select("y", "pmi").orderBy(F.desc("pmi"), "y").limit(top)
+    """The partners of ``word`` of greatest PMI in the heads of records."""
+    return head_pmi_pairs(docs).where(F.col("x") == word).select("y", "pmi").orderBy(F.desc("pmi"), "y").limit(top)
 
 
 def bigrams(docs: DataFrame) -> DataFrame:

@@ -7,12 +7,19 @@ tok as (select doc_id, list_filter(list_transform(r, lambda x: regexp_replace(x,
 words as (select doc_id, unnest(w) word from tok),
 cleaned as (select doc_id, list_transform(r, lambda x: regexp_replace(x, '^[^a-z]+|[^a-z]+$', '', 'g')) c from raw)"""
 
+_PAIRS = """wc as (select word, count(*) n from fw group by 1 having count(*) >= 10),
+pairs as (select a.word x, b.word y, count(*) n from fw a join fw b using (doc_id) where a.word <> b.word and a.word in (select word from wc) and b.word in (select word from wc) group by 1, 2 having count(*) >= 10),
+pmi as (select x, y, pairs.n, round(log10(pairs.n * cast((select count(*) from documents) as double) / (a.n * b.n)), 6) pmi from pairs join wc a on a.word = x join wc b on b.word = y)"""
+
 _PMI = f"""{_TOK},
 firsts as (select doc_id, list_distinct(list_concat(list_filter(c[1:99], lambda x: x <> ''), list_filter(c[100:], lambda x: x <> '')[1:1])) w from cleaned),
 fw as (select doc_id, unnest(w) word from firsts),
-wc as (select word, count(*) n from fw group by 1 having count(*) >= 10),
-pairs as (select a.word x, b.word y, count(*) n from fw a join fw b using (doc_id) where a.word <> b.word and a.word in (select word from wc) and b.word in (select word from wc) group by 1, 2 having count(*) >= 10),
-pmi as (select x, y, pairs.n, round(log10(pairs.n * cast((select count(*) from documents) as double) / (a.n * b.n)), 6) pmi from pairs join wc a on a.word = x join wc b on b.word = y)"""
+{_PAIRS}"""
+
+#: The same of whole texts.
+_PMI_WHOLE = f"""{_TOK},
+fw as (select doc_id, unnest(list_distinct(w)) word from tok),
+{_PAIRS}"""
 
 _BI = f"""{_TOK},
 bi as (select w[i] a, w[i + 1] b, count(*) n from (select w, unnest(range(1, len(w))) i from tok where len(w) >= 2) group by 1, 2)"""
@@ -81,7 +88,7 @@ SQL: dict[str, str] = {
     "prefix_count": f"with {_TOK} select substr(word, 1, 2) prefix, count(*) n from words where length(word) >= 2 group by 1",
     "line_count": "select count(*) n from documents",
     "word_lookup": f"with {_TOK} select word, count(*) n from words where word = 'the' group by 1",
-    "pmi_pairs": f"with {_PMI} select x, y, n, pmi from pmi",
+    "pmi_pairs": f"with {_PMI_WHOLE} select x, y, n, pmi from pmi",
     "pmi_stripes": f"with {_PMI} select x, count(*) n_successors, cast(sum(n) as bigint) total, max(pmi) max_pmi from pmi group by 1",
     "pmi_top_for_word": f"with {_PMI} select y, pmi from pmi where x = 'the' order by pmi desc, y limit 10",
     "bigram_relfreq_pairs": f"with {_BI} select a, b, n, round(n / sum(n) over (partition by a), 8) freq from bi",

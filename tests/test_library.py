@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import clean, first_words, head_parts, head_words, raw_tokens, snippet, tokens
-from sparkloom.operators import classify, graph, log_ranks, search, text_stats
+from sparkloom.operators import classify, graph, log_ranks, meetings, search, text_stats
 from sparkloom.operators.joins import connected_components
 from sparkloom.plans import oracle, registry
 from sparkloom.sources import shared, tables
@@ -93,6 +93,33 @@ def test_pmi_is_symmetric_and_frequencies_sum_to_one(spark, sf):
     assert worst < 1e-4
 
 
+def _plain_pmi(texts, least=10):
+    """(x, y) -> (n, pmi), by brute force over the words of whole texts."""
+    sets = [set(t.split()) for t in texts]
+    one = Counter(w for s in sets for w in s)
+    two = Counter((x, y) for s in sets for x in s for y in s if x != y)
+    return {(x, y): (n, round(math.log10(n * len(texts) / (one[x] * one[y])), 6)) for (x, y), n in two.items() if n >= least}
+
+
+LATE_TEXTS = [" ".join(f"w{chr(97 + i % 7)}{chr(97 + k)}x" for k in range(18)) + " 7" * 120 + (" late later" if i % 3 else " late") + " 8" * 300 + " last" for i in range(90)]
+
+
+def _small_blocks(monkeypatch):
+    for name, value in (("BLOCK_MEETINGS", 300), ("PACKED", 100), ("RANGES", 16), ("AT_ONCE", 5)):
+        monkeypatch.setattr(meetings, name, value)
+    monkeypatch.setattr(text_stats, "AT_ONCE", 50)
+
+
+def test_pmi_pairs_takes_whole_texts(spark, monkeypatch):
+    _small_blocks(monkeypatch)
+    docs = spark.createDataFrame(list(enumerate(LATE_TEXTS)) + [(90, None), (91, "")], "doc_id long, text string").repartition(3)
+    want = _plain_pmi([*LATE_TEXTS, "", ""])
+    want = {k: v for k, v in want.items() if not {"7", "8"} & set(k)}
+    assert ("later", "last") in want and ("wbcx", "late") in want
+    rows = text_stats.pmi_pairs(docs).collect()
+    assert len(rows) == len(want) and {(r.x, r.y): (r.n, r.pmi) for r in rows} == want
+
+
 def test_decode_gives_the_index_back_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 3)
     docs = spark.createDataFrame([(i, "the cat" if i % 2 else "the dog the") for i in range(20)], "doc_id long, text string")
