@@ -148,8 +148,26 @@ def pmi_pairs(docs: DataFrame, least: int = 10) -> DataFrame:
 
 
 def pmi_stripes(docs: DataFrame, least: int = 10) -> DataFrame:
-    """(x, n_successors, total, max_pmi): each word's map of partners, summed up; the map itself stays in long form."""
-    return head_pmi_pairs(docs, least).groupBy("x").agg(F.count(F.lit(1)).alias("n_successors"), F.sum("n").alias("total"), F.max("pmi").alias("max_pmi"))
+    """(x, n_successors, total, max_pmi): each word's map of partners, summed up; tasks sum up what they count themselves."""
+    total = docs.count()
+    rows, counts, size = _whole(docs, least)
+
+    def tell(found: Iterator[tuple[int, np.ndarray, np.ndarray]], words: pa.Array, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+        partners, sums, most = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.full(size, -np.inf)
+        for x, y, n in found:
+            pmi = _pmi(n, totals[x], totals[y], total)
+            partners[x] += len(y)
+            sums[x] += n.sum()
+            most[x] = max(most[x], pmi.max())
+            partners[y] += 1  # each once
+            sums[y] += n
+            most[y] = np.maximum(most[y], pmi)
+        some = np.flatnonzero(partners)
+        whole = pa.RecordBatch.from_arrays([words.take(pa.array(some)), pa.array(partners[some]), pa.array(sums[some]), pa.array(most[some])], names=["x", "n", "total", "pmi"])
+        yield from (whole.slice(i, 1 << 16) for i in range(0, len(some), 1 << 16))
+
+    told = meetings(rows, counts, size, least, tell, "x string, n long, total long, pmi double")
+    return told.groupBy("x").agg(F.sum("n").alias("n_successors"), F.sum("total").alias("total"), F.max("pmi").alias("max_pmi"))
 
 
 def head_pmi_pairs(docs: DataFrame, least: int = 10, at: int = 100) -> DataFrame:

@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
     "line_count": "select count(*) n from documents",
     "word_lookup": f"with {_TOK} select word, count(*) n from words where word = 'the' group by 1",
     "pmi_pairs": f"with {_PMI_WHOLE} select x, y, n, pmi from pmi",
-    "pmi_stripes": f"with {_PMI} select x, count(*) n_successors, cast(sum(n) as bigint) total, max(pmi) max_pmi from pmi group by 1",
+    "pmi_stripes": f"with {_PMI_WHOLE} select x, count(*) n_successors, cast(sum(n) as bigint) total, max(pmi) max_pmi from pmi group by 1",
     "pmi_top_for_word": f"with {_PMI} select y, pmi from pmi where x = 'the' order by pmi desc, y limit 10",
     "bigram_relfreq_pairs": f"with {_BI} select a, b, n, round(n / sum(n) over (partition by a), 8) freq from bi",
     "bigram_marginals": f"with {_BI} select a, cast(sum(n) as bigint) n from bi group by 1",

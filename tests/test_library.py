@@ -120,6 +120,18 @@ def test_pmi_pairs_takes_whole_texts(spark, monkeypatch):
     assert len(rows) == len(want) and {(r.x, r.y): (r.n, r.pmi) for r in rows} == want
 
 
+def test_pmi_stripes_takes_whole_texts(spark, monkeypatch):
+    _small_blocks(monkeypatch)
+    docs = spark.createDataFrame(list(enumerate(LATE_TEXTS)), "doc_id long, text string").repartition(3)
+    want = {}
+    for (x, y), (n, pmi) in _plain_pmi(LATE_TEXTS).items():
+        if not {"7", "8"} & {x, y}:
+            k, total, most = want.get(x, (0, 0, -math.inf))
+            want[x] = k + 1, total + n, max(most, pmi)
+    assert "later" in want
+    assert {r.x: (r.n_successors, r.total, r.max_pmi) for r in text_stats.pmi_stripes(docs).collect()} == want
+
+
 def test_decode_gives_the_index_back_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 3)
     docs = spark.createDataFrame([(i, "the cat" if i % 2 else "the dog the") for i in range(20)], "doc_id long, text string")
