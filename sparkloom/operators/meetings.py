@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sparkloom.sources.shared import materialise
 
 #: Meetings of a block of words, beyond LEAST_BLOCKS blocks; ids of a packed row; ranges of words whose meetings are told
-#: apart; partners of a word, and rows told, at once.
-BLOCK_MEETINGS, LEAST_BLOCKS, PACKED, RANGES, AT_ONCE = 1 << 31, 24, 1 << 20, 4096, 1 << 20
+#: apart; partners of a word that are held at once.
+BLOCK_MEETINGS, LEAST_BLOCKS, PACKED, RANGES, AT_ONCE = 1 << 31, 64, 1 << 18, 4096, 1 << 20
 PACKED_ROW = pa.schema([("ids", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
 PACKED_DDL = "ids binary, sizes binary, words binary"
 
@@ -82,15 +82,29 @@ def _blocks(records: DataFrame, n_ids: int) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(np.append(0, ends[:-1]), ends) if a < b]
 
 
+def _places(ids: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, where it is in ``ids``) of each x from lo to hi; those of about AT_ONCE places are held at once."""
+    step, sums = 1 << 20, np.zeros(hi - lo, dtype=np.int64)
+    for i in range(0, len(ids), step):
+        part = ids[i : i + step]
+        sums += np.bincount(part[part < hi] - lo, minlength=hi - lo)
+    first = lo
+    while first < hi:
+        met = np.cumsum(sums[first - lo :])
+        end = min(hi, first + max(1, int(np.searchsorted(met, AT_ONCE, side="right"))))
+        at = np.concatenate([i + np.flatnonzero((ids[i : i + step] >= first) & (ids[i : i + step] < end)) for i in range(0, len(ids), step)] or [np.zeros(0, np.int64)])
+        at = at[np.argsort(ids[at], kind="stable")]
+        bounds = np.append(0, met[: end - first])
+        yield from ((x, at[bounds[x - first] : bounds[x - first + 1]]) for x in range(first, end))
+        first = end
+
+
 def _counted(ids: np.ndarray, sizes: np.ndarray, lo: int, hi: int, n_ids: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(x, ids y > x, n) of each x from lo to hi: the y that it meets ``least`` times or more; one word's counts are held."""
-    at = np.flatnonzero(ids < hi)
-    ends = np.repeat(np.cumsum(sizes, dtype=np.int64), sizes)[at]
-    order = np.argsort(ids[at], kind="stable")
-    at, ends = at[order], ends[order]
-    starts = np.searchsorted(ids[at], np.arange(lo, hi + 1))
-    for x in range(lo, hi):
-        here, there = at[starts[x - lo] : starts[x - lo + 1]] + 1, ends[starts[x - lo] : starts[x - lo + 1]]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    for x, here in _places(ids, lo, hi):
+        there = ends[np.searchsorted(ends, here, side="right")]
+        here = here + 1
         met = np.cumsum(there - here)
         if not len(met) or not met[-1]:
             continue
@@ -124,7 +138,7 @@ def meetings(rows: DataFrame, counts: DataFrame, n_ids: int, least: int, tell: T
 
     def block(lo: int, hi: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept, sizes, names, totals = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [""] * n_ids, np.zeros(n_ids, dtype=np.int64)
+            kept, sizes, names, totals = bytearray(), bytearray(), [""] * n_ids, np.zeros(n_ids, dtype=np.int64)  # bytes grow in place
             for b in batches:
                 for row in range(b.num_rows):
                     ids = _unpacked(b.column(0)[row], np.int32)
@@ -139,11 +153,11 @@ def meetings(rows: DataFrame, counts: DataFrame, n_ids: int, least: int, tell: T
                     own = own[ends] - own[ends - n]  # ids of each record from lo on
                     own[ids[np.minimum(ends - own, len(ids) - 1)] >= hi] = 0  # none of its words is of this block
                     own[own == 1] = 0
-                    kept.append(ids[np.arange(len(ids)) >= np.repeat(ends - own, n)])
-                    sizes.append(own[own > 0].astype(np.int32))
-            ids, n = np.concatenate(kept), np.concatenate(sizes)
-            kept.clear()
-            yield from tell(_counted(ids, n, lo, hi, n_ids, least), pa.array(names, pa.string()), totals)
+                    kept += ids[np.arange(len(ids)) >= np.repeat(ends - own, n)].data
+                    sizes += own[own > 0].astype(np.int32).data
+                b = ids = n = None  # a batch is large
+            found = _counted(np.frombuffer(kept, np.int32), np.frombuffer(sizes, np.int32), lo, hi, n_ids, least)
+            yield from tell(found, pa.array(names, pa.string()), totals)
 
         return records.union(words).coalesce(1).mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import head_parts, head_words, tokens
 from sparkloom.operators.joins import salted_join
-from sparkloom.operators.meetings import AT_ONCE, meetings
+from sparkloom.operators.meetings import meetings
 from sparkloom.sources.shared import materialise
 
 
@@ -51,6 +51,8 @@ def _numbered(words: DataFrame) -> tuple[DataFrame, int]:
 
 #: Codes of pairs that a task makes at once, and different ones that it holds before it tells their counts.
 PAIRS_AT_ONCE, PAIRS_HELD = 1 << 22, 1 << 23
+#: Rows that a task of ``pmi_pairs`` holds before it tells them.
+ROWS_AT_ONCE = 1 << 18
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +140,7 @@ def pmi_pairs(docs: DataFrame, least: int = 10) -> DataFrame:
             ys.append(y)
             ns.append(n)
             held += len(y)
-            if held >= AT_ONCE:
+            if held >= ROWS_AT_ONCE:
                 yield from both()
                 xs, ys, ns, held = [], [], [], 0
         if held:

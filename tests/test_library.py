@@ -107,7 +107,7 @@ LATE_TEXTS = [" ".join(f"w{chr(97 + i % 7)}{chr(97 + k)}x" for k in range(18)) +
 def _small_blocks(monkeypatch):
     for name, value in (("BLOCK_MEETINGS", 300), ("PACKED", 100), ("RANGES", 16), ("AT_ONCE", 5)):
         monkeypatch.setattr(meetings, name, value)
-    monkeypatch.setattr(text_stats, "AT_ONCE", 50)
+    monkeypatch.setattr(text_stats, "ROWS_AT_ONCE", 50)
 
 
 def test_pmi_pairs_takes_whole_texts(spark, monkeypatch):
